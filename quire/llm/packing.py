@@ -15,13 +15,13 @@ go to the fullest; a null id stays null; other columns are ignored; an empty tab
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,36 +35,49 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class TokenBytes:
-    """Ids of a text as little-endian 32-bit bytes; what one split gives is kept, up to ``keep`` splits."""
+    """Ids of a text as little-endian 32-bit bytes, for a byte-level BPE file of the tokenizers library.
 
-    #: Characters that libraries don't agree to call white space; such texts are given to the tokenizer whole.
-    _UNCLEAR = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
+    Where the file's ids are in the order of its merges they are ranks as well, and the faster of the two encoders for
+    such ranks gives the same ids; any other file is left to the tokenizers library.
+    """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ranks = self._ranks(spec)
+        if ranks is not None:
+            self.encoding = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+            return
+        self.encoding = None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PRETOKENS).findall
-        self.kept: dict[str, bytes] = {}
-        self.keep = keep
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        splits = [None if self._UNCLEAR.search(t) else self.split(t) for t in texts]
-        kept = self.kept
-        new = list(dict.fromkeys(w for s in splits if s is not None for w in s if w not in kept))
-        if len(kept) + len(new) > self.keep:
-            kept.clear()
-            new = list(dict.fromkeys(w for s in splits if s is not None for w in s))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[w] = self._pack(e.ids)
-        get = kept.__getitem__
-        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for t, s in zip(texts, splits, strict=True)]
+
+    @staticmethod
+    def _ranks(spec: dict) -> dict[bytes, int] | None:
+        """Bytes to id, if the file is plain byte-level BPE whose ids follow its merges."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
+        if not plain:
+            return None
+        # bytes that print stand for themselves, the others for code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ids = [model["vocab"].get(a + b) for a, b in pairs]
+        if None in ids or any(x >= y for x, y in zip(ids, ids[1:], strict=False)):
+            return None
+        singles = {c: model["vocab"].get(c) for c in byte_of}
+        if None in singles.values() or max(singles.values()) >= min(ids, default=1 << 32):
+            return None
+        tokens = [*singles, *(a + b for a, b in pairs)]
+        return {bytes(byte_of[c] for c in t): model["vocab"][t] for t in tokens}
+
+    def one(self, text: str) -> bytes:
+        if self.encoding is not None:
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class SumOfSquares:
@@ -178,14 +191,11 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, max_open: int = 4
             return out
 
         for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for at in range(0, len(texts), 64):
-                for i, ids in enumerate(tokens.batch(texts[at : at + 64]), at):
-                    ids += END
-                    total = len(ids) // 4
-                    key = None if pd.isna(frame["doc_id"].iat[i]) else int(frame["doc_id"].iat[i])
-                    for start in range(0, total, size):
-                        bins.place(key, start, ids[4 * start : 4 * (start + size)], total)
+            for key, text in zip(frame["doc_id"], frame["text"], strict=True):
+                ids = (tokens.one(text) if isinstance(text, str) else b"") + END
+                key, total = None if pd.isna(key) else int(key), len(ids) // 4
+                for start in range(0, total, size):
+                    bins.place(key, start, ids[4 * start : 4 * (start + size)], total)
             yield take()
         bins.close(last=True)
         yield take()

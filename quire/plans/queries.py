@@ -1,6 +1,373 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, and the same in SQL where it can say them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import scalars
+from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
+from quire.plans import fixtures as fx
+from quire.sources.tables import table
+
+CAP = 150
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None, *, prelude: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: whole_numbers(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = (f"with recursive {fx.SQL} " if prelude else "") + sql
+        return f
+
+    return add
+
+
+def whole_numbers(df: DataFrame) -> DataFrame:
+    """Counts and positions as bigint, so that results compare by value."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+def _outline(spark, sf_dir):
+    return outline.normalize(fx.raw_outline(spark, sf_dir), fx.outline_pages(spark, sf_dir))
+
+
+def _units(spark, sf_dir):
+    return partition.build_units(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir).select("doc_id", "page_no", "weight"))
+
+
+def _planned(spark, sf_dir):
+    return partition.greedy(_units(spark, sf_dir), F.lit(CAP))
+
+
+# --- scalar functions
+
+@register("select p_partkey, cast(round_even(p_retailprice * case p_size % 3 when 0 then 1000 when 1 then 1000000 else 1000000000 end, 0) as bigint) as bytes from part", prelude=False)
+def f1_to_bytes(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit("KB"), F.lit("MB"), F.lit("GB")), F.col("p_size") % 3 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.to_bytes(F.col("p_retailprice"), unit).alias("bytes"))
+
+
+@register("select o_orderkey, format('{:,}', o_orderkey * 7919) || ' bytes' as exact from orders", prelude=False)
+def f3_format_bytes_exact(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.format_bytes_exact(F.col("o_orderkey") * 7919).alias("exact"))
+
+
+@register(
+    """select o_orderkey, case when n >= 1000000000 then printf('%.2f GB', round_even(n / 1e9, 2)) when n >= 1000000 then printf('%.1f MB', round_even(n / 1e6, 1))
+        when n >= 1000 then printf('%.0f KB', round_even(n / 1e3, 0)) else n || ' bytes' end as shown from (select o_orderkey, (o_orderkey * 104729) % 3000000000 as n from orders)""",
+    prelude=False,
+)
+def f2_format_size(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.format_size(F.col("o_orderkey") * 104729 % 3000000000).alias("shown"))
+
+
+@register(
+    """select p_partkey, (select string_agg(distinct_at, ',' order by distinct_at) from (select distinct p_partkey + cast(round_even(i * (p_size - 1) / greatest(least(5, p_size) - 1, 1)::double, 0) as bigint) as distinct_at
+        from (select unnest(range(0, least(5, p_size))) as i))) as positions from part""",
+    prelude=False,
+)
+def f4_even_sample(spark, sf_dir):
+    at = scalars.even_sample(F.col("p_partkey"), F.col("p_size"), F.lit(5))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(at.cast("array<string>"), ",").alias("positions"))
+
+
+@register(
+    r"""select p_partkey, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(replace('x\y/' || p_name || ' (v.' || p_partkey || ').PDF', '\', '/'), '([^/]*)$', 1), '(?i)\.pdf$', ''),
+        '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), '_+', '_', 'g'), 60), '^[_-]+|[_-]+$', '', 'g'), ''), 'Document') as part_name from part""",
+    prelude=False,
+)
+def f5_safe_name_part(spark, sf_dir):
+    name = F.concat(F.lit("x\\y/"), F.col("p_name"), F.lit(" (v."), F.col("p_partkey").cast("string"), F.lit(").PDF"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.safe_name_part(name).alias("part_name"))
+
+
+@register("select c_custkey, regexp_matches(case when c_custkey % 3 = 0 then upper(md5(c_name)) else md5(c_name) end, '^[a-f0-9]{32}$') as ok from customer", prelude=False)
+def f6_id_pattern(spark, sf_dir):
+    value = F.when(F.col("c_custkey") % 3 == 0, F.upper(F.md5("c_name"))).otherwise(F.md5("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.is_id(value).alias("ok"))
+
+
+@register("select p_partkey, greatest(10, least(40, p_size)) as clamped from part", prelude=False)
+def f8_clamp(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.clamp(F.col("p_size"), 10, 40).alias("clamped"))
+
+
+# --- outlines
+
+@register("select doc_id, id, raw_level, level, title, page, parent from outline")
+def o1_normalize(spark, sf_dir):
+    return _outline(spark, sf_dir)
+
+
+@register("select doc_id, count(*) filter (page is null) as invalid_pages, count(*) filter (raw_level <> level) as corrected_levels from outline group by doc_id")
+def o2_warnings(spark, sf_dir):
+    return outline.warnings(_outline(spark, sf_dir))
+
+
+@register("select doc_id, level, count(*) as count, count(page) as valid, count(*) filter (page is not null and title like 'Annex %') as keyword_hits from outline group by doc_id, level")
+def o4_level_stats(spark, sf_dir):
+    return outline.level_stats(_outline(spark, sf_dir))
+
+
+@register(
+    """, stats as (select doc_id, level, count(page) as valid, count(*) filter (page is not null and title like 'Annex %') as hits from outline group by doc_id, level)
+    select doc_id, coalesce(case when max(hits) filter (valid >= 2) >= 2 then arg_max(level, (hits, -level)) filter (valid >= 2) end, min(level) filter (valid >= 2), min(level) filter (valid >= 1)) as suggested_level from stats group by doc_id"""
+)
+def o6_suggest_level(spark, sf_dir):
+    return outline.suggest_level(outline.level_stats(_outline(spark, sf_dir)))
+
+
+_UP = ", up(doc_id, id, ancestor, distance) as (select doc_id, id, parent, 1 from outline where parent is not null union all select u.doc_id, u.id, o.parent, u.distance + 1 from up u join outline o on o.doc_id = u.doc_id and o.id = u.ancestor where o.parent is not null)"
+
+
+@register(_UP + " select doc_id, id, ancestor, distance from up")
+def o7_ancestors(spark, sf_dir):
+    return outline.ancestors(_outline(spark, sf_dir))
+
+
+@register(
+    _UP
+    + """, kept as (select o.*, v.vol_idx, v.start_page as s from outline o join (select doc_id, 1 as vol_idx, 1 as start_page, page_count // 2 as end_page from outline_pages union all select doc_id, 2, page_count // 2 + 1, page_count from outline_pages) v
+        on v.doc_id = o.doc_id and o.page between v.start_page and v.end_page),
+    firsts as (select k.doc_id, k.vol_idx, u.ancestor, min(k.id) as at_id from kept k join up u using (doc_id, id) where not exists (select 1 from kept x where x.doc_id = k.doc_id and x.vol_idx = k.vol_idx and x.id = u.ancestor) group by all),
+    rows_ as (
+        select f.doc_id, f.vol_idx, f.at_id, o.level, o.title || case when o.page < k.s then ' (continued)' else '' end as title, k.page - k.s + 1 as page, 0 as own
+        from firsts f join outline o on o.doc_id = f.doc_id and o.id = f.ancestor join kept k on k.doc_id = f.doc_id and k.vol_idx = f.vol_idx and k.id = f.at_id
+        union all select doc_id, vol_idx, id, level, title, page - s + 1, 1 from kept)
+    select doc_id, vol_idx, row_number() over (partition by doc_id, vol_idx order by at_id, own, level) as pos, level, title, page from rows_"""
+)
+def o8_remap(spark, sf_dir):
+    p = fx.outline_pages(spark, sf_dir)
+    half = F.floor(F.col("page_count") / 2).cast("int")
+    ranges = p.select("doc_id", F.lit(1).alias("vol_idx"), F.lit(1).alias("start_page"), half.alias("end_page")).unionByName(p.select("doc_id", F.lit(2).alias("vol_idx"), (half + 1).alias("start_page"), F.col("page_count").alias("end_page")))
+    return outline.remap(_outline(spark, sf_dir), ranges)
+
+
+# --- sections
+
+@register(
+    _UP
+    + """, chain as (select u.doc_id, u.id, string_agg(o.title, ' › ' order by u.distance desc) as path from up u join outline o on o.doc_id = u.doc_id and o.id = u.ancestor group by u.doc_id, u.id),
+    chosen as (select o.*, coalesce(c.path, '') as path, max(level) over (partition by o.doc_id, page) as deepest from outline o left join chain c using (doc_id, id) where level <= 2 and page is not null),
+    named as (select doc_id, page, string_agg(title, ' / ' order by id) as title, arg_min(path, id) as path from chosen where level = deepest group by doc_id, page),
+    found as (select n.doc_id, n.title, n.page as start_page, coalesce(lead(n.page) over (partition by n.doc_id order by n.page) - 1, p.page_count) as end_page, true as protected, n.path, 'bookmark' as source from named n join outline_pages p using (doc_id))
+    select * from found
+    union all select doc_id, 'Front pages (before the first bookmark)', 1, min(start_page) - 1, true, '', 'front-matter' from found group by doc_id having min(start_page) > 1
+    union all select doc_id, 'Entire document (no usable bookmarks)', 1, page_count, false, '', 'whole-document' from outline_pages where doc_id not in (select doc_id from found)"""
+)
+def s1_sections_for_level(spark, sf_dir):
+    return intervals.sections_for_level(_outline(spark, sf_dir), fx.outline_pages(spark, sf_dir), 2)
+
+
+@register(
+    """, kept as (select doc_id, case when sec_idx % 5 = 0 then ' ' else title end as title, start_page, end_page from sections where sec_idx % 4 <> 0),
+    marks as (select doc_id, start_page, end_page from kept union all select doc_id, page_count + 1, page_count + 1 from counts),
+    holes as (select doc_id, coalesce(lag(end_page) over (partition by doc_id order by start_page), 0) + 1 as s, start_page - 1 as e from marks)
+    select doc_id, case when trim(title) = '' then 'Pages ' || start_page || '–' || end_page else title end as title, start_page, end_page, false as is_gap from kept
+    union all select doc_id, 'Pages ' || s || '–' || e || ' (not in a defined section)', s, e, true from holes where s <= e"""
+)
+def s8_fill_gaps(spark, sf_dir):
+    s = fx.sections(spark, sf_dir).where("sec_idx % 4 <> 0").select("doc_id", F.when(F.col("sec_idx") % 5 == 0, " ").otherwise(F.col("title")).alias("title"), "start_page", "end_page", "protected", F.lit("").alias("path"), F.lit("manual").alias("source"))
+    return intervals.fill_gaps(s, fx.counts(spark, sf_dir)).select("doc_id", "title", "start_page", "end_page", (F.col("source") == "gap").alias("is_gap"))
+
+
+@register(
+    """, moved as (select doc_id, start_page - case when sec_idx % 4 = 0 then 1 else 0 end as start_page, end_page + case when sec_idx % 9 = 0 then 500 else 0 end as end_page from sections),
+    seen as (select m.*, page_count, max(end_page) over (partition by doc_id order by start_page, end_page rows between unbounded preceding and 1 preceding) as reached from moved m join counts using (doc_id))
+    select doc_id, 'bounds' as code, start_page, end_page from seen where start_page > end_page or end_page > page_count or start_page < 1
+    union all select doc_id, 'overlap', start_page, end_page from seen where start_page <= reached"""
+)
+def s7_violations(spark, sf_dir):
+    s = fx.sections(spark, sf_dir)
+    moved = s.withColumn("start_page", F.col("start_page") - (F.col("sec_idx") % 4 == 0).cast("int")).withColumn("end_page", F.col("end_page") + F.when(F.col("sec_idx") % 9 == 0, 500).otherwise(0))
+    return intervals.violations(moved, fx.counts(spark, sf_dir))
+
+
+@register("select doc_id, start_page, end_page, size_bytes from sections")
+def s11_measure(spark, sf_dir):
+    return intervals.measure(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir))
+
+
+@register(
+    """, picked as (select distinct doc_id, start_page, end_page, size_bytes, start_page + cast(round_even(i * (end_page - start_page) / greatest(least(5, end_page - start_page + 1) - 1, 1)::double, 0) as bigint) as page_no
+        from (select *, unnest(range(0, least(5, end_page - start_page + 1))) as i from sections))
+    select k.doc_id, k.start_page, k.end_page, k.size_bytes, least(k.size_bytes, cast(floor(avg(p.small) * (k.end_page - k.start_page + 1)) as bigint)) as min_size_bytes from picked k join pages p using (doc_id, page_no) group by k.doc_id, k.start_page, k.end_page, k.size_bytes"""
+)
+def s13_minimum_sizes(spark, sf_dir):
+    return intervals.minimum_sizes(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir))
+
+
+@register("select p.doc_id, p.page_no, s.title as section from pages p left join sections s on s.doc_id = p.doc_id and p.page_no between s.start_page and s.end_page")
+def s15_section_of_page(spark, sf_dir):
+    return intervals.section_of_page(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir))
+
+
+# --- partitioning
+
+@register("select doc_id, unit_idx, sec_idx, start_page, end_page, size, protected, min_size from units")
+def p2_build_units(spark, sf_dir):
+    return _units(spark, sf_dir)
+
+
+@register("select doc_id, unit_idx, size, vol_idx from planned")
+def p3_greedy_pack(spark, sf_dir):
+    return _planned(spark, sf_dir).select("doc_id", "unit_idx", "size", "vol_idx")
+
+
+@register(f"select doc_id, vol_idx, start_page, end_page, estimated_bytes, n_units, min_estimated_bytes, end_page - start_page + 1 as page_count, estimated_bytes > {CAP} as over_limit, coalesce(min_estimated_bytes <= {CAP}, true) as achievable from volumes")
+def p13_volume_rollup(spark, sf_dir):
+    return partition.rollup(_planned(spark, sf_dir), CAP).drop("sections", "any_partial")
+
+
+@register(f"select doc_id, count(*) as n_volumes, cast(sum(estimated_bytes) as bigint) as total_bytes, max(estimated_bytes) as largest_bytes, not bool_or(estimated_bytes > {CAP}) as constraints_satisfied from volumes group by doc_id")
+def p20_plan_summary(spark, sf_dir):
+    return partition.summary(partition.rollup(_planned(spark, sf_dir), CAP))
+
+
+@register("select doc_id, 'not contiguous' as code from volumes where false")
+def p19_integrity(spark, sf_dir):
+    return partition.integrity(_planned(spark, sf_dir))
+
+
+@register(
+    """, wanted as (select distinct doc_id, start_page + case when sec_idx % 3 = 0 then 1 else 0 end as start_page from sections where sec_idx % 2 = 1)
+    select w.doc_id, w.start_page, case when s.title is not null then 'inside ' || s.title else 'outside the document' end as error from wanted w left join sections s on s.doc_id = w.doc_id and w.start_page between s.start_page and s.end_page
+    where not exists (select 1 from units u where u.doc_id = w.doc_id and u.start_page = w.start_page)"""
+)
+def p8_start_errors(spark, sf_dir):
+    s = fx.sections(spark, sf_dir)
+    wanted = s.where("sec_idx % 2 = 1").select("doc_id", (F.col("start_page") + (F.col("sec_idx") % 3 == 0).cast("int")).alias("start_page"))
+    return partition.start_errors(_units(spark, sf_dir), s, wanted)
+
+
+@register()
+def p4_min_cap(spark, sf_dir):
+    return partition.min_cap(_units(spark, sf_dir), 4)
+
+
+@register()
+def p5_balanced(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    return partition.balanced(u, partition.min_cap(u, 4), 4).select("doc_id", "unit_idx", "size", "vol_idx")
+
+
+@register()
+def p7_split_to(spark, sf_dir):
+    return partition.split_to(_units(spark, sf_dir), F.lit(400), 6)
+
+
+@register()
+def p10_num_volumes(spark, sf_dir):
+    return partition.plan(_units(spark, sf_dir), "num_volumes", k=3).select("doc_id", "unit_idx", "size", "vol_idx")
+
+
+@register()
+def p11_both(spark, sf_dir):
+    return partition.plan(_units(spark, sf_dir), "both", max_bytes=300, k=3).select("doc_id", "unit_idx", "size", "vol_idx")
+
+
+# --- reduction steps
+
+def _attempts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit(1).alias("vol_idx"), F.octet_length("text").cast("bigint").alias("n"))
+    steps = ladder.ladder(spark)
+    return docs.crossJoin(F.broadcast(steps)).withColumn("size", F.when((F.col("doc_id") + F.col("pos")) % 7 != 0, F.floor(F.col("n") * (20 - F.col("pos")) / 20)))
+
+
+@register(
+    """select doc_id, 1 as vol_idx, min(pos) filter (size <= 1500) as chosen_pos, arg_min(pos, (size, pos)) filter (size is not null) as smallest_pos, arg_min(pos, (size, pos)) filter (size is not null and pos < 2) as lossless_pos,
+        coalesce(min(pos) filter (size <= 1500), arg_min(pos, (size, pos)) filter (size is not null)) as final_pos, case when count(size) = 0 then 'volume_failed' when count(*) filter (size <= 1500) > 0 then 'achieved' else 'over_limit' end as status
+    from (select doc_id, pos, case when (doc_id + pos) % 7 <> 0 then strlen(text) * (20 - pos) // 20 end as size from documents, (select unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]) as pos))
+    group by doc_id""",
+    prelude=False,
+)
+def c7_choose_attempt(spark, sf_dir):
+    return ladder.choose(_attempts(spark, sf_dir), 1500)
+
+
+@register()
+def c1_ladder(spark, sf_dir):
+    return ladder.describe(ladder.ladder(spark)).withColumn("step", F.col("pos")).drop("pos")
+
+
+@register("select p_partkey, least(200000, cast(floor(p_partkey * 1234 * 0.10) as bigint)) as band from part", prelude=False)
+def c15_size_band(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", ladder.size_band(F.col("p_partkey") * 1234).alias("band"))
+
+
+# --- checks and status
+
+@register(r"select doc_id, substr(sha1(regexp_replace(text, '\s+', '', 'g')), 1, 16) as fingerprint from documents", prelude=False)
+def v1_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.page_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+_RANGES = """, ranges as (select doc_id, vol_idx, start_page, end_page + case when vol_idx % 3 = 0 then 2 else 0 end as end_page from volumes where vol_idx % 5 <> 0), guarded as (select doc_id, start_page, end_page from sections where protected)"""
+
+
+def _ranges(spark, sf_dir):
+    v = partition.rollup(_planned(spark, sf_dir)).where("vol_idx % 5 <> 0")
+    return v.select("doc_id", "vol_idx", "start_page", (F.col("end_page") + F.when(F.col("vol_idx") % 3 == 0, 2).otherwise(0)).alias("end_page"))
+
+
+def _guarded(spark, sf_dir):
+    return fx.sections(spark, sf_dir).where("protected").select("doc_id", "start_page", "end_page")
+
+
+@register(_RANGES + """ select r.doc_id, r.vol_idx, count(*) filter (p.start_page >= r.start_page and p.end_page <= r.end_page) as contained, count(*) filter (not (p.start_page >= r.start_page and p.end_page <= r.end_page)) as split
+    from ranges r join guarded p on p.doc_id = r.doc_id and p.start_page <= r.end_page and p.end_page >= r.start_page group by all""")
+def v8_protected(spark, sf_dir):
+    return validate.protected_in_range(_ranges(spark, sf_dir), _guarded(spark, sf_dir))
+
+
+@register(
+    _RANGES
+    + """, spread as (select doc_id, unnest(range(start_page, end_page + 1)) as page_no from ranges), times as (select doc_id, page_no, count(*) as n from spread group by all),
+    missing as (select p.doc_id, count(*) as n from pages p left join times t using (doc_id, page_no) where t.n is null group by p.doc_id),
+    twice as (select doc_id, count(*) as n from times where n > 1 group by doc_id),
+    sorted_ as (select doc_id, bool_and(b is null or start_page >= b) as ok from (select *, lag(end_page) over (partition by doc_id order by vol_idx) as b from ranges) group by doc_id),
+    torn as (select doc_id, count(*) as n from (select g.doc_id, g.start_page, g.end_page, count(*) as k, bool_and(g.start_page >= r.start_page and g.end_page <= r.end_page) as inside from guarded g join ranges r on r.doc_id = g.doc_id and g.start_page <= r.end_page and g.end_page >= r.start_page group by all) where k <> 1 or not inside group by doc_id)
+    select c.doc_id, coalesce(m.n, 0) as missing, coalesce(t.n, 0) as duplicated, coalesce(s.ok, true) as in_order, coalesce(x.n, 0) as protected_split
+    from counts c left join missing m using (doc_id) left join twice t using (doc_id) left join sorted_ s using (doc_id) left join torn x using (doc_id)"""
+)
+def v11_coverage(spark, sf_dir):
+    return validate.coverage(_ranges(spark, sf_dir), fx.counts(spark, sf_dir), _guarded(spark, sf_dir))
+
+
+def _statuses(spark, sf_dir):
+    v = partition.rollup(_planned(spark, sf_dir), CAP)
+    status = validate.volume_status((F.col("doc_id") + F.col("vol_idx")) % 10 != 0, F.col("estimated_bytes"), F.lit(CAP))
+    return v.select("doc_id", "vol_idx", F.col("estimated_bytes").alias("size"), status.alias("status"))
+
+
+@register(
+    f""", st as (select *, case when (doc_id + vol_idx) % 10 = 0 then 'FAIL' when estimated_bytes > {CAP} then 'OVER_LIMIT' else 'PASS' end as status from volumes)
+    select doc_id, cast(sum(estimated_bytes) as bigint) as total_bytes, count(*) as n_volumes, count(*) filter (status = 'OVER_LIMIT') as n_unresolved, count(*) filter (status = 'FAIL') as n_failed, bool_and(status = 'PASS') as ready,
+        case when bool_or(status = 'FAIL') then 'failed' when bool_or(status = 'OVER_LIMIT') then 'unresolved' else 'ok' end as message from st group by doc_id"""
+)
+def j2_summarize(spark, sf_dir):
+    return validate.summarize(_statuses(spark, sf_dir)).select("doc_id", "total_bytes", "n_volumes", F.size("unresolved").alias("n_unresolved"), F.size("failed").alias("n_failed"), "ready", "message")
+
+
+@register("select doc_id, vol_idx, least(floor(cast(sum(end_page - start_page + 1) over (partition by doc_id order by vol_idx) as double) * 750 / sum(end_page - start_page + 1) over (partition by doc_id)) + 50, 1000)::bigint as progress from volumes")
+def j5_progress(spark, sf_dir):
+    v = partition.rollup(_planned(spark, sf_dir))
+    return validate.progress(v.select("doc_id", "vol_idx", F.col("vol_idx").alias("finished"), F.col("page_count").alias("pages")))
+
+
+@register(
+    """select user_id as key from events group by user_id having epoch(max(ts)) < (select epoch(max(ts)) from events) - 86400 and user_id not in (select user_id from events where event_type = 'purchase')""",
+    prelude=False,
+)
+def j6_expired(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    seen = e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"))
+    now = e.agg(F.max("ts").alias("now"))
+    aged = seen.crossJoin(F.broadcast(now))
+    active = e.where("event_type = 'purchase'").select(F.col("user_id").alias("key"))
+    return lifecycle.expired(aged, F.col("now"), 86400, active)

@@ -4,8 +4,8 @@ A window is ``width`` consecutive words of an item (a shorter item is one window
 contain every token of it, so one token is prefix enough: the rarest.  The steps:
 
 1. windows of all items, each once, with the items that have it;
-2. its tokens are the pairs of neighbouring words, ordered by how many windows have them; ties go to the longer;
-3. document positions of a window's rarest pair are candidates; where the window would begin and end there must be
+2. its tokens are shingles of ``SHINGLE`` neighbouring words, ordered by how many windows have them;
+3. document positions of a window's rarest token are candidates; where the window would begin and end there must be
    inside the document (the positional and length bounds);
 4. candidates meet their document again and the window is compared there word by word, exactly.
 
@@ -22,18 +22,27 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a token: what is looked up is so many neighbouring words of a window, or all of a shorter one.
+SHINGLE = 4
+_UPPER = "".join(map(chr, range(65, 91)))
+_OTHERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
-    """Words of a text: runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Words of a text: runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.
+
+    One translation lower-cases and blanks whatever separates words; cutting at blanks is much faster than a pattern.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _OTHERS, _UPPER.lower() + " " * len(_OTHERS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    return F.size(words(text)).cast("long")
+
+
+def _token(parts: list[Column]) -> Column:
+    return F.xxhash64(*parts)
 
 
 def windows_of(items: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -53,26 +62,29 @@ def report(docs: DataFrame, items: DataFrame, *, width: int = 13, share: float =
 
 def matches(docs: DataFrame, items: DataFrame, *, width: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, text_key, n_hit, item_list): what verified windows cover, for each document that has any."""
+    items_type = windows_of(items, width).schema["items"].dataType
     windows = C.materialize(windows_of(items, width).withColumn("window_id", F.monotonically_increasing_id()), "benchmark-windows")
     small = windows.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
 
-    # tokens are pairs of neighbouring words (the word alone in a window of one); the rarest that the items have is the prefix
-    after = F.element_at("window", F.col("offset") + 2)
-    pairs = windows.select("window_id", "n", "window", F.posexplode("window").alias("offset", "word")).where("offset < greatest(n - 1, 1)").withColumn("next", F.when(F.col("n") > 1, after))
-    rarity = pairs.groupBy("word", "next").count().withColumnsRenamed({"word": "_word", "next": "_next"})
-    ranked = pairs.join(hint(rarity), F.equal_null("next", "_next") & (F.col("word") == F.col("_word")))
-    rarest = ranked.groupBy("window_id", "n").agg(F.min(F.struct("count", (-F.length("word") - F.length(F.coalesce("next", F.lit("")))).alias("size"), "offset", "word", "next")).alias("r"))
-    prefix = C.materialize(rarest.select("window_id", "n", "r.offset", "r.word", "r.next"), "benchmark-prefix")
-
-    # hashed and split before the words are dealt out, or each word's row would carry and hash the whole text
     split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    zipped = split.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("at", "pair"))
-    positions = zipped.select("doc_id", "text_key", "at", "pair.word", "pair.next")
-    found = positions.join(hint(prefix.where("n > 1")), ["word", "next"])
-    if not prefix.where("n = 1").isEmpty():
-        found = found.unionByName(positions.join(hint(prefix.where("n = 1").drop("next")), "word"))
-    candidates = found.where("at >= offset").select("doc_id", "text_key", (F.col("at") - F.col("offset")).alias("start"), "window_id", "n")
+    sizes = [r["q"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("q")).distinct().orderBy("q").collect()]  # SHINGLE numbers at most
+    candidates = None
+    for q in sizes:
+        own = windows.where((F.col("n") == q) if q < SHINGLE else (F.col("n") >= q))
+        spread = own.select("window_id", "n", "window", F.explode(F.sequence(F.lit(0), F.col("n") - q)).alias("offset"))
+        tokens = spread.select("window_id", "n", "offset", _token([F.get("window", F.col("offset") + i) for i in range(q)]).alias("token"))
+        rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+        rarest = tokens.join(hint(rarity), "token").groupBy("window_id", "n").agg(F.min(F.struct("times", "offset", "token")).alias("r"))
+        prefix = C.materialize(rarest.select("window_id", "n", "r.offset", "r.token"), "benchmark-prefix")
+        # split before the words are dealt out, or each word's row would carry the whole text
+        shifted = F.arrays_zip(*[(F.col("w") if i == 0 else F.slice("w", F.lit(i + 1), F.size("w"))).alias(f"w{i}") for i in range(q)])
+        zipped = split.select("doc_id", "text_key", F.posexplode(shifted).alias("at", "x"))
+        positions = zipped.select("doc_id", "text_key", "at", _token([F.col(f"x.w{i}") for i in range(q)]).alias("token"))
+        found = positions.join(hint(prefix), "token").where("at >= offset").select("doc_id", "text_key", (F.col("at") - F.col("offset")).alias("start"), "window_id", "n")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    if candidates is None:
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(items_type).alias("item_list")).where(F.lit(False))
     with_words = candidates.join(hint(windows.select("window_id", "window", "items")), "window_id")
     listed = with_words.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "window", "items")).alias("candidates"))
     listed = listed.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})

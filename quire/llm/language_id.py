@@ -151,7 +151,6 @@ def viterbi(scores: np.ndarray, n_words: np.ndarray, penalty: float) -> np.ndarr
 
     # the label after each segment's last word: from the right
     last = np.zeros(segments, dtype=np.int64)
-    every = np.arange(segments)
     out = np.empty((width, segments), dtype=np.int64)
     for i in range(int(n_segments.max()) - 1, -1, -1):
         now = first[n_segments > i] + i
@@ -163,7 +162,6 @@ def viterbi(scores: np.ndarray, n_words: np.ndarray, penalty: float) -> np.ndarr
             label = came[step, now, label].astype(np.int64)
         if i:
             last[now - 1] = label
-    del every
     return out[column, row]
 
 
@@ -205,8 +203,8 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 12.0, text: str =
             own, begin = labels[at[i] : at[i + 1]], bounds[i] + 1
             s, e = starts[at[i] : at[i + 1]] - begin, ends[at[i] : at[i + 1]] - begin
             cut = np.flatnonzero(np.diff(own, prepend=-1))
-            stop = np.append(cut[1:], len(own)) - 1
-            found.append([{"start": int(s[a]), "length": int(e[b] - s[a]), "lang": model.languages[own[a]]} for a, b in zip(cut, stop, strict=True) if len(own)])
+            stop = np.append(cut[1:], len(own))[: len(cut)] - 1
+            found.append([{"start": int(s[a]), "length": int(e[b] - s[a]), "lang": model.languages[own[a]]} for a, b in zip(cut, stop, strict=True)])
         return pd.DataFrame({"lang_pred": names[best], "score": np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0), "spans": found if spans else [None] * n})
 
     made = F.pandas_udf(run, kind)

@@ -96,6 +96,18 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _share_earlier(lists: list[np.ndarray], code: int) -> np.ndarray:
+    """For each pair of vectors whether they share a direction numbered below ``code``."""
+    earlier = [np.asarray(x)[np.asarray(x) < code] for x in lists]
+    member = np.repeat(np.arange(len(lists)), [len(x) for x in earlier])
+    _, number, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    place = np.cumsum(times > 1) - 1
+    has = np.zeros((len(lists), int((times > 1).sum())), dtype=np.float32)
+    has[member[shared], place[number[shared]]] = 1
+    return has @ has.T > 0
+
+
 def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected: float = 8.0, tile: int = 512, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
@@ -158,8 +170,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
             i, j = i[exact], j[exact]
             if not len(i):
                 continue
-            lists = filters_[s:e]
-            first = np.fromiter((np.intersect1d(lists[p], lists[q], assume_unique=True)[0] == code for p, q in zip(i, j, strict=True)), dtype=bool, count=len(i))
+            first = ~_share_earlier(filters_[s:e], code)[i, j]
             i, j = i[first], j[first]
             links = np.bincount(i, weights=times[j], minlength=e - s) + np.bincount(j, weights=times[i], minlength=e - s)
             order = np.argsort(rep, kind="stable")

@@ -2,8 +2,10 @@
 
 Two generative models of hashed word n-grams (single words and pairs, a fixed number of buckets) are fitted: one to the
 target, labelled good documents, one to the raw corpus, all documents.  A document's importance is the ratio of the two
-probabilities, taken per n-gram and for a text of ``reach`` n-grams, so that length alone does not decide; n-grams that
-the target hardly ever has (``STRONG``) count in full, so that a few bad words are not lost in a long text.  A sample
+probabilities, taken per n-gram and for a text of ``reach`` n-grams (a shorter text counts for what it has), so that
+length alone does not decide.  N-grams that the target hardly ever has (``STRONG``) are also counted: of more than target
+text of that length holds, the log likelihood ratio of their number counts against the text, so that a few bad words are
+not lost in a long text, and the few that any long text has do not tell against it.  A sample
 without replacement, in proportion to importance, of k documents is the Gumbel top-k: the k largest sums of the log
 importance and a Gumbel variate.  k is the share of good documents among the labelled ones, of all documents.  The k-th
 largest is found by counting in ever finer ranges; the scores themselves never meet in one place.
@@ -30,7 +32,7 @@ from quire.llm import common as C
 
 BUCKETS = 1 << 18
 SCALE = 1 << 20
-#: Below this log ratio an n-gram tells against a text whatever else stands in it.
+#: Below this log ratio an n-gram is one that the target hardly ever has.
 STRONG = -1.5
 
 
@@ -38,6 +40,8 @@ STRONG = -1.5
 class Model:
     log_ratio: np.ndarray
     share: float
+    #: The share of n-grams below ``STRONG`` in text of the target, by the smoothed model.
+    strong_rate: float = 0.0
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +85,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, doc_id: str
     counts = rows.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    out = np.zeros(BUCKETS)
+    out, strong = np.zeros(BUCKETS), 0.0
     for half in (slice(0, BUCKETS // 2), slice(BUCKETS // 2, BUCKETS)):
         # both are smoothed in proportion, so that what is rare in the raw corpus tells little
         part = max(target[half].sum(), 1.0) / max(raw[half].sum(), 1.0)
         out[half] = np.log((target[half] + smooth * part) / (raw[half] + smooth) / part)
-    return Model(out, float(share))
+        strong += (raw[half] * np.exp(out[half]))[out[half] < STRONG].sum()
+    return Model(out, float(share), float(strong / max(raw.sum(), 1.0)))
+
+
+def _surplus(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of the expected against the found number (Poisson); 0 where no more than expected are found."""
+    more = (found > expected) & (expected > 0)
+    ratio = np.divide(found, expected, out=np.ones(len(found)), where=more)
+    return np.where(more, found - expected - found * np.log(ratio), 0.0)
 
 
 def _score_udf(model: Model, reach: float, seed: int):
@@ -98,8 +110,8 @@ def _score_udf(model: Model, reach: float, seed: int):
             total = np.bincount(text_of, weights=model.log_ratio[bucket], minlength=len(block))
             own = block["i"].fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)
             uniform = ((C.mix(own * np.uint64(2) + np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-            strong = np.bincount(text_of, weights=np.where(model.log_ratio < STRONG, model.log_ratio, 0.0)[bucket], minlength=len(block))
-            log_importance = reach * total / np.maximum(n, 1) + strong
+            strong = np.bincount(text_of, weights=(model.log_ratio < STRONG)[bucket].astype(float), minlength=len(block))
+            log_importance = total * (reach / np.maximum(n, reach)) + _surplus(strong, n * model.strong_rate)
             parts.append(pd.DataFrame({"n_grams": n, "log_importance": log_importance, "key": np.round((log_importance - np.log(-np.log(uniform))) * SCALE).astype(np.int64)}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_grams": [], "log_importance": [], "key": []})
 

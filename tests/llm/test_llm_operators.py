@@ -104,6 +104,21 @@ def test_quality(spark, odd):
     assert quality.select(docs.limit(0), labels).count() == 0
 
 
+def test_quality_by_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    to_fit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = quality.fit(docs, labels.where(to_fit))
+    scores = quality.score(docs, model).join(docs.select("doc_id", F.size(F.split("text", r"\s+")).alias("words")), "doc_id").toPandas()
+    least = scores["key"].nlargest(round(model.share * len(scores))).iloc[-1]
+    held = scores.merge(labels.where(~to_fit).toPandas(), on="doc_id")
+    kept = lambda rows: (rows["key"] >= least).mean()
+    clean = held[(held["quality"] == 1) & (held["toxic"] == 0)]
+    shares = [kept(clean[clean["words"].between(a, b - 1)]) for a, b in ((0, 50), (50, 200), (200, 1000), (1000, 3000), (3000, 1 << 30))]
+    print([round(s, 3) for s in shares], kept(clean), kept(held[held["quality"] == 0]), kept(held[(held["quality"] == 1) & (held["toxic"] == 1)]))
+    assert min(shares) > 0.8 and kept(held[held["quality"] == 0]) < 0.03 and kept(held[(held["quality"] == 1) & (held["toxic"] == 1)]) < 0.4
+
+
 def test_kth_largest(spark):
     values = [random.Random(2).randrange(-(1 << 34), 1 << 34) for _ in range(500)] + [5] * 40
     df = spark.createDataFrame([(v,) for v in values], "key long")

@@ -33,12 +33,13 @@ DICTIONARY = (
     "read write open close file path data base table index image page view list item node tree state event time date "
     "number string object array method class function return import export module package version license include source"
 ).split()
-SHAPES = r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk_(?:live|test)_[A-Za-z0-9]{16,250}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000})"
-RUNS = r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{24,512}={0,2})"
+#: Quantifiers are possessive and have no upper bound: a candidate is always the whole value, and no text is read twice.
+SHAPES = r"\b((?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
+RUNS = r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2})"
 HEADER = r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"
 #: A whole match of any kind; of an assignment the value follows ``LEAD``.
 LEAD = r"""["']?\s*(?:=>|:=|=|:)\s*["']?"""
-MATCH = f"(?i:{NAMES}){LEAD}[A-Za-z0-9_./+=~-]{{8,512}}|{SHAPES}|{HEADER}|{RUNS}"
+MATCH = f"(?i:{NAMES}){LEAD}[A-Za-z0-9_./+=~-]{{8,}}+|{SHAPES}|{HEADER}|{RUNS}"
 CONTEXT = 48
 CLASSES = "vcudo"  # vowel, consonant, upper case, digit, other
 FEATURES = ["f_length", "f_transitions", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_dictionary", "f_path", "f_name", "f_assigned", "f_elsewhere", "f_quoted", "f_shape"]

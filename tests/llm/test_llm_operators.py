@@ -63,6 +63,17 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_long_secrets(spark):
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    values = {1: draw(1600), 2: "ghp_" + draw(400), 3: f"eyJ{draw(40)}.{draw(3000)}.{draw(43)}", 4: "a" * 70 + "/" + draw(40), 5: draw(900), 6: "9" * 70 + draw(20)}
+    docs = make(spark, [(i, f'say token = "{v}" now' if i == 1 else f"say {v} now") for i, v in values.items()])
+    assert {r.doc_id: r.candidate for r in secret_scan.candidates(docs).collect()} == values
+    model = secret_scan.fit(secret_scan.labelled_findings(spark))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()}
+    assert clean[1] == 'say token = "<SECRET>" now' and clean[2] == clean[3] == "say <SECRET> now"
+
+
 def test_language(spark, odd):
     en, de = "the cat and the dog are in the house with this thing ", "der hund und die katze sind nicht in dem haus und das ist gut "
     rows = [(i, (en if i % 2 else de) * 3, "en" if i % 2 else "de") for i in range(20)]

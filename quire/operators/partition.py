@@ -58,20 +58,14 @@ def greedy(units: DataFrame, cap: Column) -> DataFrame:
 def min_cap(units: DataFrame, k: int, upper: Column | None = None) -> DataFrame:
     """(doc_id, cap): the least cap under which greedy filling needs at most k volumes, or the upper bound if none does.
 
-    A cap that matters is 0 or the sum of a run of two units or more, and lies between total / k (unless one unit is
-    larger) and total / k plus the largest unit.  All documents are searched together: each round halves every
-    document's candidates, so rounds grow with the logarithm of the longest list of candidates.
+    The number of volumes never grows with the cap, so each document's range of whole numbers is halved: it lies between
+    total / k (unless one unit is larger) and total / k plus the largest unit, and takes one round for each of its bits.
     """
-    runs = _runs(units).where("first < last").select("doc_id", F.col("bytes").alias("cap"))
-    facts = units.groupBy("doc_id").agg(F.sum("size").alias("total"), F.max("size").alias("largest"))
-    bound = facts.withColumn("upper", F.least(F.ceil(F.col("total") / k) + F.col("largest"), F.col("total")) if upper is None else upper)
-    bound = bound.withColumn("lower", F.when(F.col("largest") * k < F.col("total"), F.floor(F.col("total") / k)).otherwise(0))
-    inside = runs.join(bound, "doc_id").where("cap between lower and upper").select("doc_id", "cap").distinct()
-    listed = bound.select("doc_id", "upper").join(inside.groupBy("doc_id").agg(F.sort_array(F.collect_list("cap")).alias("caps")), "doc_id", "left")
-    zero = F.array(F.lit(0).cast("long"))
-    caps = F.array_distinct(F.concat(zero, F.coalesce("caps", F.array().cast("array<long>")), F.array(F.col("upper").cast("long"))))
-    sizes = units.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("unit_idx", "size"))), lambda u: u["size"]).alias("sizes"))
-    state = listed.select("doc_id", caps.alias("caps")).join(sizes, "doc_id")
+    n = max(k, 1)
+    facts = units.groupBy("doc_id").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.transform(F.sort_array(F.collect_list(F.struct("unit_idx", "size"))), lambda u: u["size"]).alias("sizes"))
+    share = F.expr(f"total div {n}")
+    bound = facts.withColumn("upper", (F.least(share + 1 + F.col("largest"), F.col("total")) if upper is None else upper).cast("long"))
+    state = bound.withColumn("lower", F.least("upper", F.when(F.col("largest") <= share, share).otherwise(F.lit(0))).cast("long"))
 
     def needed(limit: Column) -> Column:
         start = F.struct(F.lit(True).alias("closed"), F.lit(0).cast("long").alias("filled"), F.lit(0).alias("n"))
@@ -82,24 +76,31 @@ def min_cap(units: DataFrame, k: int, upper: Column | None = None) -> DataFrame:
 
         return F.aggregate("sizes", start, step, lambda s: s["n"])
 
-    # the halving itself is a fold over a fixed number of rounds: 40 are enough for any list that fits a row
     def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        fits = needed(F.element_at("caps", middle)) <= k
+        middle = s["lo"] + F.shiftright(s["hi"] - s["lo"], 1)
+        fits = needed(middle) <= k
         return F.struct(F.when(fits, s["lo"]).otherwise(F.least(middle + 1, s["hi"])).alias("lo"), F.when(fits, middle).otherwise(s["hi"]).alias("hi"))
 
-    first = F.struct(F.lit(1).alias("lo"), F.size("caps").alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(24)), first, halve, lambda s: F.element_at("caps", s["hi"]))
-    return state.select("doc_id", found.alias("cap"))
+    first = F.struct(F.col("lower").alias("lo"), F.col("upper").alias("hi"))
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.col("upper") - F.col("lower"))))
+    return state.select("doc_id", F.aggregate(rounds, first, halve, lambda s: s["hi"]).alias("cap"))
 
 
-def _runs(units: DataFrame) -> DataFrame:
-    """(doc_id, first, last, bytes) of every run of a document's units, from running sums."""
+def _runs(units: DataFrame, caps: DataFrame) -> DataFrame:
+    """(doc_id, first, last, bytes) of every single unit and of every longer run within the document's cap.
+
+    Running sums are cut into slots as wide as the cap: a run within it begins and ends in one slot or in neighbours, so
+    that only those are joined.  Sizes are not negative.
+    """
     order = Window.partitionBy("doc_id").orderBy("unit_idx")
-    summed = units.select("doc_id", "unit_idx", "size", F.sum("size").over(order).alias("upto"))
-    a = summed.select("doc_id", F.col("unit_idx").alias("first"), (F.col("upto") - F.col("size")).alias("before"))
-    b = summed.select("doc_id", F.col("unit_idx").alias("last"), "upto")
-    return a.join(b, "doc_id").where("first <= last").select("doc_id", "first", "last", (F.col("upto") - F.col("before")).alias("bytes"))
+    summed = units.select("doc_id", "unit_idx", "size", F.sum("size").over(order).alias("upto")).join(caps, "doc_id")
+    slot = lambda c: F.expr(f"{c} div greatest(cap, 1)")
+    a = summed.select("doc_id", "cap", F.col("unit_idx").alias("first"), (F.col("upto") - F.col("size")).alias("before"))
+    a = a.withColumn("slot", F.explode(F.array(slot("before"), slot("before") + 1)))
+    b = summed.select("doc_id", F.col("unit_idx").alias("last"), "upto", slot("upto").alias("slot"))
+    bytes_ = (F.col("upto") - F.col("before")).alias("bytes")
+    longer = a.join(b, ["doc_id", "slot"]).where("first < last and upto - before <= cap").select("doc_id", "first", "last", bytes_)
+    return summed.select("doc_id", F.col("unit_idx").alias("first"), F.col("unit_idx").alias("last"), F.col("size").alias("bytes")).unionByName(longer)
 
 
 def balanced(units: DataFrame, caps: DataFrame, k: int) -> DataFrame:
@@ -110,7 +111,7 @@ def balanced(units: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     k of 1 or less one volume.  ``caps`` is (doc_id, cap).
     """
     n_units = units.groupBy("doc_id").agg(F.max("unit_idx").alias("n"))
-    allowed = _runs(units).join(caps, "doc_id").where("first = last or bytes <= cap").select("doc_id", "first", "last", "bytes")
+    allowed = _runs(units, caps)
     cost = (F.col("bytes").cast(BIG) * F.col("bytes")).alias("cost")
     middle = n_units.where((F.col("n") > k) & F.lit(k > 1))
     runs = allowed.join(middle.select("doc_id"), "doc_id", "left_semi").select("doc_id", "first", "last", cost)
@@ -136,7 +137,7 @@ def by_starts(units: DataFrame, starts: DataFrame) -> DataFrame:
 
 def work(units: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     """(doc_id, work, exact): units times volumes times the longest run within the cap, and whether that is affordable."""
-    longest = _runs(units).join(caps, "doc_id").where("bytes <= cap").groupBy("doc_id").agg(F.max(F.col("last") - F.col("first") + 1).alias("window"))
+    longest = _runs(units, caps).join(caps, "doc_id").where("bytes <= cap").groupBy("doc_id").agg(F.max(F.col("last") - F.col("first") + 1).alias("window"))
     size = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(longest, "doc_id", "left")
     total = F.col("n") * k * F.greatest(F.coalesce("window", F.lit(1)), F.lit(1))
     return size.select("doc_id", total.alias("work"), (total <= WORK_LIMIT).alias("exact"))

@@ -62,6 +62,32 @@ def test_balanced_against_brute_force(spark, k):
         assert cost(got[d]) == min(map(cost, fair or [got[d]]))
 
 
+def test_min_cap_of_a_long_document(spark):
+    # one unit as large as total / k leaves all runs as candidates: some 50 million pairs of units, over 2^24
+    rng = random.Random(6)
+    sizes = [rng.randint(1, 1 << 40) for _ in range(10_000)]
+    sizes[5000] = sum(sizes)
+    docs = {1: sizes, 2: [5, 1, 1], 3: [0, 0, 0], 4: [7]}
+    k = 40
+
+    def least(sizes):
+        lo, hi = 0, sum(sizes)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            count, filled, closed = 0, 0, True
+            for s in sizes:
+                if s > mid or closed or filled + s > mid:
+                    count, filled = count + 1, s
+                else:
+                    filled += s
+                closed = s > mid
+            lo, hi = (lo, mid) if count <= k else (mid + 1, hi)
+        return hi
+
+    assert {r.doc_id: r.cap for r in partition.min_cap(units(spark, docs), k).collect()} == {d: least(s) for d, s in docs.items()}
+    assert partition.min_cap(units(spark, {1: [5, 6, 7]}), 1, F.lit(9)).first().cap == 9
+
+
 def test_plans(spark):
     exact = {1: [3, 3, 3, 3, 12, 3, 3, 3, 3, 3, 6, 6]}
     got = groups(partition.plan(units(spark, exact), "num_volumes", k=5))[1]

@@ -26,8 +26,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
-
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = (0).to_bytes(4, "little")
 #: How a byte-level tokenizer splits a text before merging (a fixed value of the format).
@@ -38,21 +36,20 @@ class TokenBytes:
     """Ids of a text as little-endian 32-bit bytes, for a byte-level BPE file of the tokenizers library.
 
     Where the file's ids are in the order of its merges they are ranks as well, and the faster of the two encoders for
-    such ranks gives the same ids; any other file is left to the tokenizers library.
+    such ranks gives the same ids; any other file, and any text that is too much for that encoder's patterns (a million
+    blanks), is left to the tokenizers library.  Added tokens in a text get their own ids, as they do there.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ranks = self._ranks(spec)
-        if ranks is not None:
-            self.encoding = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
-            return
+        added = spec.get("added_tokens") or []
+        plain = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        ranks = self._ranks(spec) if plain else None
         self.encoding = None
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if ranks is not None:
+            self.encoding = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -76,8 +73,15 @@ class TokenBytes:
 
     def one(self, text: str) -> bytes:
         if self.encoding is not None:
-            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            try:
+                return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:  # the pattern's stack is limited
+                pass
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class SumOfSquares:
@@ -177,8 +181,6 @@ class SumOfSquares:
 
 def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, max_open: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most ``size`` tokens; ``tokenizer`` is a file of the tokenizers library."""
-    small_batches(docs.sparkSession)
-
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = TokenBytes(tokenizer)
         bins = SumOfSquares(size, TaskContext.get().partitionId() << 33, max_open)

@@ -6,7 +6,9 @@ sequence of blocks main or not, decoded by Viterbi.  It is trained on labelled p
 likelihood; ``labelled_pages`` makes a default set of a fixed size from layouts, and any list of (html, labels of its
 blocks) will do.
 
-Cases: null or empty html has an empty text; markup that is cut off or not closed is read as far as it goes; repeated
+Cases: null or empty html has an empty text; markup that is cut off or not closed is read as far as it goes (a script,
+style, title, textarea or frame that is never closed goes to the end of the page, as in a browser; any other element that
+is never closed takes nothing with it); repeated
 rows are extracted alike; a null id or url stays null; other columns are ignored; an empty table gives no rows.  A page is
 read in one pass and nothing of it is cut.
 """
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+#: A quote counts only where an attribute's value begins, as in HTML.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: Fixed lists of HTML: elements whose content is no text, those that don't break a block, those without content.
-RAW = frozenset("script style title textarea noscript template iframe object svg math head select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
+#: Fixed lists of HTML: elements that are read up to their end tag and hold no text of the page, those that are
+#: only frames of a page, those that don't break a block, those without content.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+FRAME = frozenset("html head body".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img input math mi mo mn mrow msup msub mfrac mtext semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What words in tags, classes, ids and roles tell of.
 REGIONS = {
@@ -39,7 +44,7 @@ REGIONS = {
     "header": "header masthead topbar logo banner",
     "footer": "footer copyright colophon legal contentinfo",
     "side": "aside sidebar widget related recommended complementary rail",
-    "notice": "notice cookie cookies consent gdpr popup modal alert newsletter subscribe subscription paywall dialog toast",
+    "notice": "noscript notice cookie cookies consent gdpr popup modal alert newsletter subscribe subscription paywall dialog toast",
     "ad": "ad ads advert adverts advertisement sponsor sponsored promo",
     "form": "form search login signup button fieldset option",
     "comment": "comment comments reply replies respond discussion",
@@ -47,6 +52,8 @@ REGIONS = {
     "main": "article main content post entry story",
 }
 REGION_OF = {word: region for region, words in REGIONS.items() for word in words.split()}
+#: Elements that end a paragraph, and with it a drawing or a list of choices that was never closed.
+ENDS_P = frozenset("p li td th tr dt dd div ul ol dl table section article footer header nav aside form h1 h2 h3 h4 h5 h6 blockquote pre main figure hr".split())
 NOISE_WORDS = re.compile(r"\b(cookies?|subscribe|newsletter|advert\w*|sponsored|sign (?:in|up)|log ?in|comments?|reply|copyright|all rights reserved|privacy|terms|share|read more|menu|search)\b|[©·»]", re.I)
 
 
@@ -108,7 +115,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
     while at < n:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
-        if text:
+        if text and not (open_tags["svg"] or open_tags["select"]):
             pieces.append(text)
             if open_tags["a"] > 0:
                 linked += len(text)
@@ -128,14 +135,21 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
             continue
         if tag not in INLINE:
             flush()
-            if tag == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option", "div", "ul", "ol", "table", "section", "article", "footer", "header", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "main", "figure", "hr"):
+            if tag in ENDS_P:
+                for lost in ("svg", "select"):
+                    while open_tags[lost] > 0:
+                        close(lost)
                 close("p")
             if tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 pop()
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in RAW:
+        if tag in FRAME:
+            continue
+        if tag in RAW or tag == "template":
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if tag == "template" and not end:
+                continue  # never closed: as if it were not there
             at = end.end() if end else n
             continue
         own = _regions(tag, attributes)
@@ -259,7 +273,13 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         s = words(a, b).capitalize() + rng.choice([".", ".", ".", "!", "?", ""])
         return s if rng.random() < 0.9 else " | ".join(s.split())
 
+    usual = "search menu share terms comments privacy cookie reply subscribe advertising read more sign in copyright".split()
+
     def prose() -> str:
+        if rng.random() < 0.15:  # words of menus and notices are words of articles too
+            parts = sentence().split()
+            parts.insert(rng.randrange(len(parts)), rng.choice(usual))
+            return " ".join(parts)
         return rng.choice(["", "", " ", "\n"]).join(["" if rng.random() < 0.01 else " " + sentence() for _ in range(rng.choice([1, 1, 2, 3, 6]))]).strip() or word()
 
     made = []
@@ -355,7 +375,6 @@ def main_text(page: str | None, field: Field) -> str:
 
 def extract(pages: DataFrame, field: Field | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    C.small_batches(pages.sparkSession)
     trained = field or default_field()
 
     def run(column: pd.Series) -> pd.Series:

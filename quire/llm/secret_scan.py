@@ -8,7 +8,8 @@ labelled findings: a table of (candidate, before, after, path, label); ``labelle
 rules, of a fixed size.
 
 Cases: a null or empty text has no candidates; a value found twice in a text is two findings, numbered in order;
-repeated rows give repeated findings; a null path is an empty one; ``redact`` carries other columns along; empty tables
+repeated rows give repeated findings; ids are whole numbers (others fail in the cast), and one id may have any number of
+texts; a null path is an empty one; ``redact`` carries other columns along; empty tables
 give no rows.
 """
 
@@ -33,13 +34,22 @@ DICTIONARY = (
     "read write open close file path data base table index image page view list item node tree state event time date "
     "number string object array method class function return import export module package version license include source"
 ).split()
-#: Quantifiers are possessive and have no upper bound: a candidate is always the whole value, and no text is read twice.
-SHAPES = r"\b((?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
-RUNS = r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2})"
-HEADER = r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"
-#: A whole match of any kind; of an assignment the value follows ``LEAD``.
-LEAD = r"""["']?\s*(?:=>|:=|=|:)\s*["']?"""
-MATCH = f"(?i:{NAMES}){LEAD}[A-Za-z0-9_./+=~-]{{8,}}+|{SHAPES}|{HEADER}|{RUNS}"
+#: Tokens of well-known shapes: how they begin, and what follows.  No quantifier has an upper bound: a candidate is always
+#: the whole value, and possessive ones see that no text is read twice.
+SHAPED = [("AKIA|ASIA", "[A-Z0-9]{16,}+"), ("gh[pousr]_", "[A-Za-z0-9]{36,}+"), ("xox[abprs]-", "[A-Za-z0-9-]{10,}+"), ("sk_(?:live|test)_", "[A-Za-z0-9]{16,}+"), ("eyJ", r"[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")]
+SHAPES = "|".join(f"(?:{begin}){rest}" for begin, rest in SHAPED)
+RUNS = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}"
+#: A private key from its first line to its last, or, where that is missing, to the end of what looks like its body.
+_KEY = r"(?:[A-Z0-9]++ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+HEADER = rf"-----BEGIN {_KEY}(?:[A-Za-z0-9+/=:,.\s-]*?-----END {_KEY}|(?:\s*+[A-Za-z0-9+/=]{{16,}}+)*+)"
+#: An assignment: the value is what follows ``LEAD``, up to the closing quote, or else up to white space and without the
+#: signs that end a clause.
+LEAD = r"""["']?\s*+(?:=>|:=|=|:)\s*+"""
+VALUE = r"""(?:"[^"\r\n]{8,}+(?=")|'[^'\r\n]{8,}+(?=')|["']?+[^\s"'`<>]{7,}[^\s"'`<>,;.)\]}])"""
+#: A whole match of any kind.
+MATCH = rf"{HEADER}|(?i:{NAMES}){LEAD}{VALUE}|\b(?:{SHAPES})|{RUNS}"
+#: A text without any of these holds no match, and needs no closer look: each alternative of MATCH has its beginning here.
+HINT = f"PRIVATE KEY|(?i:{NAMES})|{'|'.join(begin for begin, _ in SHAPED)}|[A-Za-z0-9+/_-]{{24}}"
 CONTEXT = 48
 CLASSES = "vcudo"  # vowel, consonant, upper case, digit, other
 FEATURES = ["f_length", "f_transitions", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_dictionary", "f_path", "f_name", "f_assigned", "f_elsewhere", "f_quoted", "f_shape"]
@@ -93,7 +103,7 @@ def featured(findings: DataFrame, odds: dict[str, float]) -> DataFrame:
         "f_assigned": before.rlike(r"[=:]\s*[\"']?$"),
         "f_elsewhere": before.rlike(OTHERS) | F.lower(F.col("after")).rlike(rf"^\W*(?:{OTHERS})"),
         "f_quoted": before.rlike("[\"']$") & F.col("after").rlike("^[\"']"),
-        "f_shape": value.rlike(rf"^(?:{SHAPES[2:]})$") | value.rlike("^-----BEGIN"),
+        "f_shape": value.rlike(rf"^(?:{SHAPES})$") | value.rlike("^-----BEGIN"),
     }
     return findings.withColumns({k: c.cast("double") for k, c in columns.items()})
 
@@ -130,17 +140,22 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 7) -> Data
         (F.concat(F.lit("ghp_"), text(full, 36, 36, 14)), one_of(["", "use ", "token=", "git "], 6), 1),
         (F.concat(F.lit("sk_live_"), text(full, 24, 32, 15)), one_of(["", "stripe ", "key = '"], 7), 1),
         (text(lower + digits + "!_-", 10, 20, 16), F.concat(F.lit("password"), sign), 1),
+        (text(full + "!$%&*#@^?", 10, 24, 17), F.concat(one_of(["password", "secret", "pwd", "passwd"], 9), sign), 1),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), text(full + "+/", 64, 200, 18), F.lit("\n-----END RSA PRIVATE KEY-----")), one_of(["", "key: ", "see "], 80), 1),
+        (F.concat(F.lit("-----BEGIN "), one_of(["", "EC ", "RSA ", "OPENSSH "], 81), F.lit("PRIVATE KEY-----")), one_of(["", "key: ", "see "], 82), 1),
         (text(hexa, 32, 64, 20), other, 0),
         (uuid, other, 0),
         (joined, F.concat(name, sign), 0),
         (joined, other, 0),
         (camel, other, 0),
+        (F.concat_ws(" ", word(83), word(84), word(85), word(86)), F.concat(name, sign), 0),
+        (F.concat(word(87), one_of(["", "s", "ed", "ing", "ment"], 88), one_of(["", ",", ":", "?"], 89)), F.concat(name, one_of([": ", " = ", "="], 90)), 0),
         (F.concat(one_of(["your_", "my_", "insert_", "example_"], 50), joined), F.concat(name, sign), 0),
         (F.concat(word(51), F.lit("/"), word(52), F.lit("/"), word(53), F.lit("/"), word(54), draw(55, 900).cast("string")), other, 0),
         (F.regexp_replace(text("x", 12, 40, 21), "x", "x"), F.concat(name, sign), 0),
         (text(digits, 12, 20, 22), one_of(["card ", "phone ", "id=", "order "], 8), 0),
     ]
-    rows = spark.range(n)
+    rows = spark.range(0, n, 1, 2)
     kind = draw(0, len(kinds))
     pick = lambda i: F.element_at(F.array(*(k[i] if isinstance(k[i], Column) else F.lit(k[i]) for k in kinds)), kind + 1)
     lead = F.concat(word(60), F.lit(" "), word(61), F.lit(" "))
@@ -160,21 +175,17 @@ class SecretModel:
 
 
 def fit(labelled: DataFrame, *, trees: int = 24, depth: int = 8, seed: int = 7) -> SecretModel:
-    labelled = labelled.where("candidate is not null and label is not null").select("candidate", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "path", F.col("label").cast("double").alias("label")).repartition(1)
+    labelled = labelled.where("candidate is not null and label is not null").select("candidate", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "path", F.col("label").cast("double").alias("label"))
     odds = transitions(labelled)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(featured(labelled, odds))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
     return SecretModel(forest.fit(data.select("features", "label")), odds)
 
 
-#: A text without any of these holds no candidate, and needs no closer look.
-_HINT = rf"(?i)(?:{NAMES})|AKIA|ASIA|gh[pousr]_|xox|sk_|eyJ|[A-Za-z0-9+/_-]{{24}}"
-
-
 def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(doc_id, path, number, candidate, before, after): every candidate with the characters around it."""
+    """(doc_id, text_key, path, number, start, candidate, before, after): every candidate with the characters around it."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), body.alias("_text")).where(F.col("_text").rlike(_HINT))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.col(path), F.lit("")).alias("path"), body.alias("_text")).where(F.col("_text").rlike(HINT))
     # the whole of each match, then the place of each by counting lengths: matches don't overlap and come in order
     whole = F.regexp_extract_all("_text", F.lit(MATCH), F.lit(0))
     found = rows.withColumn("_all", whole)
@@ -184,13 +195,14 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
         lambda a, m: _step(a, m),
         lambda a: a["got"],
     )
-    each = found.select("doc_id", "path", "_text", F.posexplode(places).alias("number", "hit"))
-    lead = F.regexp_extract(F.col("hit.m"), rf"^(?i:{NAMES}){LEAD}(?=[A-Za-z0-9_./+=~-]{{8}})", 0)
+    each = found.select("doc_id", "text_key", "path", "_text", F.posexplode(places).alias("number", "hit"))
+    lead = F.regexp_extract(F.col("hit.m"), rf"^(?i:{NAMES}){LEAD}[\"']?", 0)
     each = each.withColumn("_lead", F.length(lead))
     start = F.col("hit.at") + F.col("_lead")
     value = F.substr(F.col("hit.m"), F.col("_lead") + 1)
     return each.select(
         "doc_id",
+        "text_key",
         "path",
         "number",
         (start - 1).cast("long").alias("start"),
@@ -206,22 +218,30 @@ def _step(a: Column, m: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: SecretModel, *, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(doc_id, number, start, length, candidate, probability, is_secret): every candidate with the forest's verdict."""
+    """(doc_id, text_key, number, start, length, candidate, probability, is_secret): every candidate with the forest's verdict."""
     judged = model.apply(candidates(docs, doc_id=doc_id, text=text, path=path))
-    return judged.select("doc_id", "number", "start", F.length("candidate").cast("long").alias("length"), "candidate", "probability", (F.col("probability") >= least).alias("is_secret"))
+    return judged.select("doc_id", "text_key", "number", "start", F.length("candidate").cast("long").alias("length"), "candidate", "probability", (F.col("probability") >= least).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: SecretModel, *, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """``docs`` with every secret replaced by a mask, all other columns kept (n_chars is counted anew if there)."""
+    """``docs`` with every secret replaced by a mask, all other columns kept (n_chars is counted anew if there).
+
+    Secrets are masked where they were found and nowhere else.
+    """
     secrets = scan(docs, model, least=least, doc_id=doc_id, text=text, path=path).where("is_secret")
-    lists = secrets.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
-    touched = F.col(text).rlike(_HINT)
-    rest = docs.where(~F.coalesce(touched, F.lit(False)))
-    joined = docs.where(touched).join(lists, F.equal_null(F.col(doc_id).cast("long"), F.col("_doc")), "left")
-    # longer values first, so that one inside another does not break it
-    ordered = F.reverse(F.array_sort(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-    masked = F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(F.aggregate(ordered, F.col(text), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
-    out = joined.withColumn(text, masked).drop("_doc", "_secrets")
+    places = F.array_sort(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))))
+    lists = secrets.groupBy(F.col("doc_id").alias("id"), "text_key").agg(places.alias("places"))
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), F.col(doc_id).cast("long").alias("i"), F.xxhash64(F.col(text)).alias("k"), F.coalesce(F.col(text).rlike(HINT), F.lit(False)).alias("touched"))
+    joined = keyed.where("touched").join(lists, F.equal_null("i", "id") & (F.col("k") == F.col("text_key")), "left")
+    body = F.col("d")[text]
+
+    def cut(done: Column, place: Column) -> Column:
+        return F.struct((place["start"] + place["length"]).alias("at"), F.concat(done["out"], F.substr(body, done["at"] + 1, place["start"] - done["at"]), F.lit(MASK)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("places", start, cut, lambda done: F.concat(done["out"], F.substr(body, done["at"] + 1)))
+    row = F.col("d").withField(text, F.coalesce(masked, body))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.col(text))).cast(docs.schema["n_chars"].dataType))
-    return rest.unionByName(out.select(*docs.columns))
+        count = F.length(F.coalesce(masked, body)).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("d.n_chars").isNotNull(), count))
+    return keyed.where("not touched").select("d.*").unionByName(joined.select(row.alias("d")).select("d.*"))

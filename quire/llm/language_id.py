@@ -88,7 +88,6 @@ def _script(points: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", share: float = 0.01) -> Model:
     """Count trigrams and scripts of all rows of ``docs`` that have a language; a fixed number of counts a language goes to the driver."""
-    C.small_batches(docs.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -104,7 +103,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", share: float
             yield pd.DataFrame({"lang": name, "cell": at, "n": n[at]})
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInPandas(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInPandas(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counts["lang"].unique())
     table = np.zeros((GRAMS + N_SCRIPTS, len(languages)))
     for i, name in enumerate(languages):
@@ -141,12 +140,12 @@ def viterbi(scores: np.ndarray, n_words: np.ndarray, penalty: float) -> np.ndarr
         now = first[n_segments > i] + i
         begin[now] = (begin[now - 1][:, :, None] + through[now - 1]).max(axis=1)
 
-    came = np.empty((width, segments, k), dtype=np.int8)
-    state, same = begin, np.arange(k, dtype=np.int8)
+    came = np.empty((width, segments, k), dtype=np.int32 if k > 127 else np.int8)
+    state, same = begin, np.arange(k, dtype=came.dtype)
     for step in range(width):
         best = state.argmax(axis=1)
         jump = state.max(axis=1, keepdims=True) - penalty
-        came[step] = np.where(jump > state, best[:, None].astype(np.int8), same)
+        came[step] = np.where(jump > state, best[:, None].astype(came.dtype), same)
         state = np.maximum(state, jump) + grid[step]
 
     # the label after each segment's last word: from the right
@@ -182,7 +181,6 @@ def label_words(texts: list[str | None], model: Model, penalty: float):
 
 def predict(docs: DataFrame, model: Model, *, penalty: float = 12.0, text: str = "text", keep: tuple[Column, ...] = (), spans: bool = False) -> DataFrame:
     """The ``keep`` columns of every row with lang_pred and score and, if asked for, spans (start, length, lang) in code points."""
-    C.small_batches(docs.sparkSession)
     kind = "struct<lang_pred:string,score:double,spans:array<struct<start:int,length:int,lang:string>>>"
 
     def run(column: pd.Series) -> pd.DataFrame:

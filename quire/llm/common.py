@@ -2,17 +2,19 @@
 
 *Chunks.*  Some operators must compare every document with the rest of the
 corpus.  They work on chunks: all documents whose id falls into one block of
-``CHUNK_IDS`` consecutive ids.  A chunk holds at most that many different ids,
-however large the corpus grows; sparse ids only make chunks smaller.  A chunk
-sends sorted arrays of 64-bit keys, cut by key range into buckets, and gets an
-aligned array of answers back, so that a key costs a few bytes in a shuffle.
+consecutive ids, as many as hold about ``CHUNK_BYTES`` of text on average
+(``Layout``).  A chunk sends sorted arrays of 64-bit keys, cut by key range
+into buckets, and gets an aligned array of answers back, so that a key costs a
+few bytes in a shuffle.  Both their numbers follow the size of the corpus.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +22,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_IDS = 2048
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 SEGMENT = 1 << 20
+#: Stands for a missing id: the smallest long, which no other id should be.
+NO_ID = -(1 << 63)
 _OWN_DIRS: dict[str, str] = {}
 
 U64 = np.uint64
@@ -31,10 +36,12 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; an own one where none is set."""
+    """The folder that driver and executors share, as the cluster names it; an own one in local mode where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="quire-")
@@ -48,11 +55,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: documents can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
@@ -76,6 +78,35 @@ def blocks_of_rows(frames: Iterator[pd.DataFrame], column: str, limit: int = 4_0
         yield frame.iloc[start:]
 
 
+def by_runs(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``work`` to whole runs of rows with equal ``keys``: rows are dealt by key, sorted, and read run after run.
+
+    ``work`` gets frames of one or more whole runs, in order; a task holds little more than one batch and one run, so
+    runs must be bounded, but there may be any number of them and no fixed number of cells they fall into.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            if waiting and all(waiting[-1][k].iloc[-1] == frame[k].iloc[-1] for k in keys):
+                waiting.append(frame)
+                continue
+            last = np.ones(len(frame), dtype=bool)
+            for k in keys:
+                last &= (frame[k] == frame[k].iloc[-1]).to_numpy()
+            first = int(np.argmax(last))
+            done = pd.concat([*waiting, frame.iloc[:first]], ignore_index=True)
+            if len(done):
+                yield work(done)
+            waiting = [frame.iloc[first:]]
+        if waiting:
+            yield work(pd.concat(waiting, ignore_index=True))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(read, schema)
+
+
 # --- hashing -------------------------------------------------------------------------------------------------------
 
 
@@ -183,10 +214,31 @@ def load(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def pack_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
-    """(chunk, part): the documents of each chunk, compressed, in as many rows as tasks that met it.
+@dataclass
+class Layout:
+    """Ids of a chunk, and how many chunks and buckets there are."""
+
+    ids: int
+    chunks: int
+    buckets: int
+
+
+def layout(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Layout:
+    """A layout after the bytes of all texts and the span of their ids, so that sparse ids make no small chunks."""
+    i = F.col(doc_id).cast("long")
+    facts = docs.agg(F.min(i).cast("decimal(20,0)").alias("first"), F.max(i).cast("decimal(20,0)").alias("last"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    size = int(facts["bytes"])
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    span = int(facts["last"] - facts["first"]) + 1 if facts["first"] is not None else 1
+    least = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return Layout(max(1, min(span // chunks, 1 << 62)), chunks, max(least, -(-size // BUCKET_BYTES)))
+
+
+def pack_chunks(docs: DataFrame, how: Layout, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
+    """(chunk, part): the documents of each chunk, compressed, in as many rows as batches that met it.
 
-    A row without id is kept in a chunk of its own kind; a null text is an empty one.
+    Rows without id come before all others, dealt to chunks of their own by a hash of the text; a null text is an empty
+    one.  Chunks are numbered in the order of their ids.
     """
     flag = F.lit(0) if flag is None else flag
 
@@ -195,7 +247,7 @@ def pack_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fla
             ids = frame["i"].to_numpy(dtype=np.int64)
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["t"]]
             flags, sizes = frame["f"].to_numpy(dtype=np.int8), np.array([len(t) for t in texts], dtype=np.int64)
-            chunk = ids // CHUNK_IDS
+            chunk = np.where(ids == NO_ID, NO_ID + frame["h"].to_numpy(dtype=np.int64), ids // how.ids)
             rows = []
             for c in np.unique(chunk):
                 own = np.flatnonzero(chunk == c)
@@ -203,8 +255,8 @@ def pack_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fla
                 rows.append((int(c), dump(i=ids[own], f=flags[own], s=sizes[own], d=data)))
             yield pd.DataFrame(rows, columns=["chunk", "part"])
 
-    least = F.lit(-(1 << 62)).cast("long")
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), least).alias("i"), F.col(text).alias("t"), flag.cast("byte").alias("f"))
+    spread = F.pmod(F.xxhash64(F.col(text)), F.lit(how.chunks))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID).cast("long")).alias("i"), spread.alias("h"), F.col(text).alias("t"), flag.cast("byte").alias("f"))
     return source.mapInPandas(pack, "chunk long, part binary")
 
 

@@ -28,8 +28,10 @@ from quire.llm import common as C
 UNI, BI = 0, 1
 END_KEY = np.uint64(0x1F83D9ABFB41BD6B)
 START_KEY = np.uint64(0x5BE0CD19137E2179)
-BUCKETS_OF_CONTEXT = 24
-CELLS = 64
+BUCKETS_OF_CONTEXT = 64
+#: Cells of probabilities, by quarters of a power of two down to 2^-63.
+CELLS = 256
+STEPS = 4
 TRAIN, DELETED, UNSEEN = 0, 1, 2
 
 
@@ -52,7 +54,7 @@ def _bigrams(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sums(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted unique keys with the counts of retained and of deleted training tokens."""
     unique, inverse = np.unique(keys, return_inverse=True)
-    return (unique, *(np.bincount(inverse[part == p], minlength=len(unique)).astype(np.uint32) for p in (TRAIN, DELETED)))
+    return (unique, *(np.bincount(inverse[part == p], minlength=len(unique)).astype(np.uint64) for p in (TRAIN, DELETED)))
 
 
 def _read(parts: pd.Series):
@@ -77,10 +79,12 @@ def _ask(parts: pd.Series) -> dict:
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """Sum one bucket's keys over the chunks; a row with chunk null holds the bucket's totals."""
-    read = [C.read_keys(x, "u4", "u4") for x in frame["keys"]]
+    read = [C.read_keys(x, "u8", "u8") for x in frame["keys"]]
     keys = np.concatenate([r[0] for r in read])
     unique, inverse = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(inverse, weights=np.concatenate([r[i] for r in read]), minlength=len(unique)).astype(np.uint32) for i in (1, 2)]
+    sums = [np.zeros(len(unique), dtype=np.uint64) for _ in range(2)]
+    for i, total in enumerate(sums, 1):
+        np.add.at(total, inverse, np.concatenate([r[i] for r in read]))
     rows, at, kind, bucket = [], 0, int(frame["kind"].iloc[0]), int(frame["bucket"].iloc[0])
     for chunk, r in zip(frame["chunk"].tolist(), read, strict=True):
         own = inverse[at : at + len(r[0])]
@@ -88,7 +92,7 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
         rows.append((chunk, kind, bucket, C.dump(n=np.concatenate([s[own] for s in sums])), None, None, None))
     if kind == UNI:
         real = unique != START_KEY
-        total = sums[0].astype(np.int64) + sums[1]
+        total = (sums[0] + sums[1]).astype(np.int64)
         rows.append((None, kind, bucket, None, int(total[real].sum()), int((total[real] > 0).sum()), int(sums[0][real].sum())))
     return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "answer", "tokens", "types", "retained"])
 
@@ -115,7 +119,7 @@ class _Counts:
     @staticmethod
     def _counts(answers: pd.DataFrame, kind: int, retained: bool) -> np.ndarray:
         own = answers[answers["kind"] == kind].sort_values("bucket")
-        halves = [C.load(x, "u4")[0].reshape(2, -1) for x in own["answer"]]
+        halves = [C.load(x, "u8")[0].reshape(2, -1) for x in own["answer"]]
         both = np.concatenate(halves, axis=1).astype(np.int64)
         return both[0] if retained else both.sum(axis=0)
 
@@ -126,11 +130,11 @@ class _Counts:
 def _cell(p: np.ndarray) -> np.ndarray:
     """Probabilities by quarters of a power of two; cell 0 is zero."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(CELLS - 1 + np.round(2 * np.log2(np.maximum(p, 1e-300))), 1, CELLS - 1), 0).astype(np.int64)
+        return np.where(p > 0, np.clip(CELLS - 1 + np.round(STEPS * np.log2(np.maximum(p, 1e-300))), 1, CELLS - 1), 0).astype(np.int64)
 
 
 def _of_cell(cell: np.ndarray) -> np.ndarray:
-    return np.where(cell > 0, 2.0 ** ((cell - (CELLS - 1)) / 2), 0.0)
+    return np.where(cell > 0, 2.0 ** ((cell - (CELLS - 1)) / STEPS), 0.0)
 
 
 def learn_weights(cells: pd.DataFrame, types: int, rounds: int = 60) -> np.ndarray:
@@ -158,11 +162,10 @@ def score(docs: DataFrame, *, train, deleted, buckets: int | None = None, doc_id
     part whose tokens the weights are learned on.  Columns: doc_id, trained, n_tokens, n_known, train_tokens,
     base_score (add-half unigrams), score.
     """
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    how = C.layout(docs, doc_id, text)
+    buckets = buckets or how.buckets
     flag = F.when(train & deleted, DELETED).when(train, TRAIN).otherwise(UNSEEN)
-    chunks = C.pack_chunks(docs, doc_id, text, flag)
+    chunks = C.pack_chunks(docs, how, doc_id, text, flag)
     answers = C.ask(chunks, _ask, buckets).groupBy("kind", "bucket").applyInPandas(_answer, _ANSWER)
     answers = C.materialize(answers, "lm-counts")
     total = answers.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "retained"))).first()
@@ -179,7 +182,7 @@ def score(docs: DataFrame, *, train, deleted, buckets: int | None = None, doc_id
 
     by_chunk = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     table = by_chunk.applyInPandas(cells, "b long, p2 long, p1 long, n long").groupBy("b", "p2", "p1").agg(F.sum("n").alias("n"))
-    weights = learn_weights(table.toPandas(), v)
+    weights = learn_weights(table.toArrow().to_pandas(), v)
 
     def scored(_, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         c = _Counts(own, got, retained=False)
@@ -188,10 +191,9 @@ def score(docs: DataFrame, *, train, deleted, buckets: int | None = None, doc_id
         model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
         base = np.log10((c.word + 0.5) / (n + 0.5 * (v + 1)))
         over = lambda x: np.add.reduceat(x, c.at[:-1]) if len(c.at) > 1 else x[:0]
-        least = -(1 << 62)
         return pd.DataFrame(
             {
-                "doc_id": pd.array([None if i == least else i for i in c.ids.tolist()], dtype="Int64"),
+                "doc_id": pd.array([None if i == C.NO_ID else i for i in c.ids.tolist()], dtype="Int64"),
                 "trained": c.flags != UNSEEN,
                 "n_tokens": np.diff(c.at),
                 "n_known": over((c.word > 0).astype(np.int64)),

@@ -62,7 +62,6 @@ def _bytes(texts) -> list[bytes]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, doc_id: str = "doc_id", text: str = "text", smooth: float = 64.0) -> Model:
     """Fit both models; ``labels`` has doc_id, quality and toxic (0 or 1)."""
-    C.small_batches(docs.sparkSession)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("good"))
     share = good.agg(F.avg(F.col("good").cast("double")).alias("s")).first()["s"]
     if share is None:
@@ -82,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, doc_id: str
 
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left")
     rows = rows.select("t", F.coalesce("_good", F.lit(False)).alias("g"))
-    counts = rows.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = rows.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_pandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     out, strong = np.zeros(BUCKETS), 0.0
@@ -123,7 +122,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     lower, rest = None, k
     for shift in (24, 12, 0):
         within = keys if lower is None else keys.where(F.shiftright(F.col(column), shift + 12) == lower)
-        counts = within.groupBy(F.shiftright(F.col(column), shift).alias("range")).count().orderBy(F.desc("range")).toPandas()
+        counts = within.groupBy(F.shiftright(F.col(column), shift).alias("range")).count().orderBy(F.desc("range")).toArrow().to_pandas()
         reached = counts["count"].cumsum()
         at = int(np.searchsorted(reached, rest))
         if at >= len(counts):
@@ -135,7 +134,6 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 def score(docs: DataFrame, model: Model, *, reach: float = 150.0, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_grams, log_importance and key of every document."""
-    C.small_batches(docs.sparkSession)
     found = _score_udf(model, reach, seed)(F.col(doc_id).cast("long"), F.col(text))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), found.alias("_found")).select("doc_id", "_found.*")
 

@@ -1,4 +1,4 @@
-"""Connected components by alternating stars, and pairs of a group dealt out in tiles."""
+"""Connected components by stars with shortcuts, and pairs of a group dealt out in tiles."""
 
 from __future__ import annotations
 
@@ -11,34 +11,38 @@ from quire.llm import common as C
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that can be reached.
 
-    Each round joins neighbours to the smallest of a node's larger, then smaller neighbours; rounds grow with the
-    logarithm of the longest chain.  Nothing but two totals goes to the driver.
+    An edge points from its larger node a to its smaller b.  In a round each node finds the smallest node it points to,
+    m, and where m itself points on, takes that instead; then the node and all it pointed to point there.  Ways halve
+    with every round, until two totals no longer change; nothing else goes to the driver.
+    The tables of a round are written before they are joined, so that Spark can split the rows of a hub.
     """
-    now = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        out = C.materialize(rows, "edges")
+        return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    now, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = C.materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        least = C.materialize(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        onward = least.select(F.col("a").alias("m"), F.col("m").alias("next"))
+        target = least.join(onward, "m", "left").select("a", F.coalesce("next", "m").alias("r"))
+        pointed = now.join(target, "a").select(F.explode(F.array(F.struct("a", F.col("r").alias("b")), F.struct(F.col("b").alias("a"), F.col("r").alias("b")))).alias("e"))
+        now, after = written(pointed.select("e.a", "e.b").where("a <> b").distinct())
+        if after == state:
             break
-        before = state
+        state = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def tiled(members: DataFrame, key: list[str], member: str, size: int, n: Column) -> DataFrame:
+def tiled(members: DataFrame, member: str, parts: Column) -> DataFrame:
     """Members of groups, once for each tile of pairs: tile_a <= tile_b, and part, which of the two a row is of.
 
-    A group of ``n`` members has ceil(n / size) parts by hash; every pair of members meets in exactly one tile.
+    A group is cut into ``parts`` by hash of the member; every pair of members meets in exactly one tile.
     """
-    parts = F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
-    part = F.pmod(F.xxhash64(F.col(member)), parts).cast("int")
-    spread = members.withColumn("_parts", parts).withColumn("part", part)
+    n = F.greatest(parts, F.lit(1)).cast("int")
+    part = F.pmod(F.xxhash64(F.col(member)), n).cast("int")
+    spread = members.withColumn("_parts", n).withColumn("part", part)
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")
     out = spread.select("*", other)
     return out.withColumn("tile_a", F.least("part", "_other")).withColumn("tile_b", F.greatest("part", "_other")).drop("_parts", "_other")

@@ -10,7 +10,7 @@ Equal vectors of a label are one vector with a count; a direction's group is com
 task holds a large group.  Links are counted where they are verified; only a spanning set of them is passed on.
 
 Cases: a null or zero vector, one with null or non-finite components, or a null label has no links and is its own
-component; vectors of different length have no links; repeated rows (same id) are linked copies; ids are expected to be
+component; labels are of any type that can be compared, ids are whole numbers (others fail in the cast); vectors of different length have no links; repeated rows (same id) are linked copies; ids are expected to be
 set (a null id gives a component of its own); other columns are ignored; an empty table gives no rows.
 """
 
@@ -47,6 +47,11 @@ class ProductCode:
         # the inner product of random unit vectors is close to normal with variance 1 / dim
         self.threshold = NormalDist().inv_cdf(1 - min(0.5, expected / self.size ** len(self.cuts))) / np.sqrt(dim)
 
+    @property
+    def columns(self) -> int:
+        """Sums that decoding a vector makes of each half."""
+        return self.size ** ((len(self.cuts) + 1) // 2)
+
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = x @ self.rotation
         dots = [y[:, cut] @ v.T for cut, v in zip(self.cuts, self.vectors, strict=True)]
@@ -110,8 +115,6 @@ def _share_earlier(lists: list[np.ndarray], code: int) -> np.ndarray:
 
 def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected: float = 8.0, tile: int = 512, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    spark = vectors.sparkSession
-    C.small_batches(spark, 2048)
     whole = F.col("v")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -119,10 +122,10 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
     ready = rows.where(usable)
     classes = C.materialize(ready.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "vectors")
     facts = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    made = {int(f["dim"]): [ProductCode(int(f["dim"]), min(max(128 * int(f["n"]), 256), 1 << 24), expected, seed) for seed in range(codes)] for f in facts}
+    made = {int(f["dim"]): [ProductCode(int(f["dim"]), max(128 * int(f["n"]), 256), expected, seed) for seed in range(codes)] for f in facts}
 
     def filters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[at : at + 1024] for f in frames for at in range(0, len(f), 1024)):
             dims = frame["v"].map(len).to_numpy()
             found: list[np.ndarray] = [None] * len(frame)  # type: ignore[list-item]
             for dim in np.unique(dims):
@@ -132,9 +135,11 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 row, code = [], []
                 for c, product in enumerate(made[int(dim)]):
-                    r, d = product.decode(x)
-                    row.append(r)
-                    code.append((d * len(made[int(dim)]) + c) * 65536 + int(dim))
+                    step = max(1, 4_000_000 // product.columns)
+                    for at in range(0, len(x), step):
+                        r, d = product.decode(x[at : at + step])
+                        row.append(r + at)
+                        code.append((d * len(made[int(dim)]) + c) * 65536 + int(dim))
                 row, code = np.concatenate(row), np.concatenate(code)
                 order = np.lexsort((code, row))
                 for i, part in zip(own, np.split(code[order], np.cumsum(np.bincount(row, minlength=len(own)))[:-1]), strict=True):
@@ -144,13 +149,12 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
     coded = C.materialize(classes.mapInPandas(filters, f"label {classes.schema['label'].dataType.simpleString()}, v array<double>, rep long, times long, filters array<long>"), "filters")
     dealt = coded.select("label", "rep", F.explode("filters").alias("filter"))
     groups = dealt.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = tiled(dealt.join(groups, ["label", "filter"]), ["label", "filter"], "rep", tile, F.col("n"))
+    met = tiled(dealt.join(groups, ["label", "filter"]), "rep", F.ceil(F.col("n") / tile)).drop("n")
     full = met.join(coded.withColumnRenamed("label", "_label"), "rep").drop("_label")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        frame = frame.sort_values(["label", "filter", "tile_a", "tile_b"], kind="stable")
-        keys = frame[["label", "filter", "tile_a", "tile_b", "part"]].to_numpy(dtype=np.int64)
+        keys = np.column_stack([pd.factorize(frame["label"])[0], frame[["filter", "tile_a", "tile_b", "part"]].to_numpy(dtype=np.int64)])
         cut = np.flatnonzero(np.append(True, (keys[1:, :4] != keys[:-1, :4]).any(axis=1)))
         reps, counts, vectors_, filters_ = frame["rep"].to_numpy(), frame["times"].to_numpy(), frame["v"].to_list(), frame["filters"].to_list()
         for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(frame)], strict=True):
@@ -181,9 +185,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
             out.append(pd.DataFrame({"rep": rep[at], "links": links[at].astype(np.int64), "root": root[at]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"rep": [], "links": [], "root": []})
 
-    cells = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    keyed = full.withColumn("cell", F.pmod(F.xxhash64("label", "filter", "tile_a", "tile_b"), F.lit(cells)))
-    verified = C.materialize(keyed.groupBy("cell").applyInPandas(compare, "rep long, links long, root long"), "links")
+    verified = C.materialize(C.by_runs(full, ["label", "filter", "tile_a", "tile_b"], [], compare, "rep long, links long, root long"), "links")
     counted = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     per_class = classes.join(counted, "rep", "left").join(joined, "rep", "left")

@@ -104,14 +104,29 @@ def choose(attempts: DataFrame, target: int | None, mode: str = "automatic") ->
 def predicted(samples: DataFrame, target: int, slack: float = 1.35, last: int = 4) -> DataFrame:
     """Steps worth trying, from trials on sample pages (doc_id, vol_idx, pos, sample, sample_plain, full).
 
-    A prediction is full * sample / sample_plain; one that failed counts as plausible.  Kept are the steps from the
-    first plausible one on; if none is, the last few.
+    A prediction is full * sample / sample_plain; one that failed counts as plausible.  Kept are the plausible steps, and
+    all after the last of them; if none is plausible, the last few; where the plain sample failed or is empty, all.
     """
-    value = F.col("full") * F.col("sample") / F.col("sample_plain")
+    value = F.try_divide(F.col("full") * F.col("sample"), F.col("sample_plain"))
+    blind = F.coalesce(F.col("sample_plain") == 0, F.lit(True))
     plausible = F.coalesce(value <= slack * target, F.lit(True))
     whole = Window.partitionBy("doc_id", "vol_idx")
-    marked = samples.withColumn("first", F.min(F.when(plausible, F.col("pos"))).over(whole)).withColumn("from_end", F.row_number().over(whole.orderBy(F.desc("pos"))))
-    return marked.where(F.when(F.col("first").isNotNull(), F.col("pos") >= F.col("first")).otherwise(F.col("from_end") <= last)).select("doc_id", "vol_idx", "pos")
+    marked = samples.withColumn("last_good", F.max(F.when(plausible, F.col("pos"))).over(whole)).withColumn("from_end", F.row_number().over(whole.orderBy(F.desc("pos"))))
+    keep = F.when(blind, True).when(F.col("last_good").isNull(), F.col("from_end") <= last).otherwise(plausible | (F.col("pos") > F.col("last_good")))
+    return marked.where(keep).select("doc_id", "vol_idx", "pos")
+
+
+def tunable_instead(attempts: DataFrame, choice: DataFrame, target: int) -> DataFrame:
+    """(doc_id, vol_idx, pos): for a chosen step that has no settings to tune, the next step that has, if it fits and keeps more.
+
+    ``choice`` is (doc_id, vol_idx, chosen_pos).  The next step is the first of kind images or raster of the same level
+    or a higher one behind the chosen one.
+    """
+    own = attempts.select("doc_id", "vol_idx", F.col("pos").alias("chosen_pos"), F.col("kind").alias("chosen_kind"), F.col("level").alias("chosen_level"), F.col("size").alias("chosen_size"))
+    fixed = choice.join(own, ["doc_id", "vol_idx", "chosen_pos"]).where("chosen_kind = 'ghostscript'")
+    others = attempts.where("kind in ('images', 'raster')").join(fixed, ["doc_id", "vol_idx"]).where("pos > chosen_pos and level >= chosen_level")
+    first = others.groupBy("doc_id", "vol_idx").agg(F.min(F.struct("pos", "size", "chosen_size")).alias("f"))
+    return first.where((F.col("f.size") <= target) & (F.col("f.size") > F.col("f.chosen_size"))).select("doc_id", "vol_idx", F.col("f.pos").alias("pos"))
 
 
 def sharper_too_big(attempts: DataFrame, target: int) -> DataFrame:

@@ -22,3 +22,9 @@ def downloadable(volumes: DataFrame) -> DataFrame:
     done = volumes.where("state = 'completed'")
     ready = done.groupBy("doc_id").agg(F.bool_and(F.col("status").isin("PASS", "ACCEPTED_OVER_LIMIT")).alias("archive_ready"))
     return done.where("status <> 'FAIL'").join(ready, "doc_id").select("doc_id", "vol_idx", "archive_ready")
+
+
+def latest(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, last_event, n_events) of the wanted keys, from events (key, event_id, ts); the larger id on equal times."""
+    wanted = events.join(keys.select("key").distinct(), "key", "left_semi")
+    return wanted.groupBy("key").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last_event"), F.count(F.lit(1)).alias("n_events"))

@@ -9,35 +9,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words that tell of an annexed part (a fixed list), matched between characters that are no letters.
+#: Words that tell of an annexed part (a fixed list), matched as whole words of any script.
 KEYWORDS = "annex(?:ure)?s?|appendi(?:x|ces)|schedules?|exhibits?|attachments?|enclosures?|encl"
-TOP_LEVEL = 20
 
 
 def is_keyword(title: Column) -> Column:
-    return F.lower(title).rlike(rf"(^|[^a-z0-9_])({KEYWORDS})([^a-z0-9_]|$)")
+    return F.lower(title).rlike(rf"(?U)\b({KEYWORDS})\b")
+
+
+def _last(entries: Column) -> Column:
+    """The last of an array, null if it is empty."""
+    return F.get(entries, F.size(entries) - 1)
 
 
 def normalize(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """Correct levels that jump, drop destinations outside the document, name blank titles, find parents.
 
     ``raw`` is (doc_id, id, level, title, page), ``pages`` is (doc_id, page_count).  A level may be one deeper than the
-    corrected level before it, so the correction is a fold over the document's entries; a parent is then the last entry
-    before of the level above.
+    corrected level before it, so the correction is a fold over the document's entries; it carries the entries that are
+    still open, whose last is the parent, to any depth.
     """
     listed = raw.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "level", "title", "page"))).alias("entries"))
 
     def step(state: Column, entry: Column) -> Column:
-        fixed = F.greatest(F.least(entry["level"], state["last"] + 1), F.lit(1))
-        return F.struct(fixed.alias("last"), F.concat(state["levels"], F.array(fixed)).alias("levels"))
-
-    start = F.struct(F.lit(0).cast("int").alias("last"), F.array().cast("array<int>").alias("levels"))
-    folded = listed.withColumn("levels", F.aggregate("entries", start, step, lambda s: s["levels"]))
-    rows = folded.select("doc_id", F.explode(F.arrays_zip("entries", "levels")).alias("e"))
-    rows = rows.select("doc_id", "e.entries.id", F.col("e.entries.level").alias("raw_level"), F.col("e.levels").alias("level"), "e.entries.title", "e.entries.page")
+        fixed = F.greatest(F.least(entry["level"], F.coalesce(_last(state["open"])["level"], F.lit(0)) + 1), F.lit(1))
+        above = F.filter(state["open"], lambda x: x["level"] < fixed)
+        own = F.struct(fixed.alias("level"), _last(above)["id"].alias("parent"))
+        return F.struct(F.concat(above, F.array(F.struct(fixed.alias("level"), entry["id"].alias("id")))).alias("open"), F.concat(state["found"], F.array(own)).alias("found"))
+
+    id_type = raw.schema["id"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<struct<level:int,id:{id_type}>>").alias("open"), F.array().cast(f"array<struct<level:int,parent:{id_type}>>").alias("found"))
+    folded = listed.withColumn("found", F.aggregate("entries", start, step, lambda s: s["found"]))
+    rows = folded.select("doc_id", F.explode(F.arrays_zip("entries", "found")).alias("e"))
+    rows = rows.select("doc_id", "e.entries.id", F.col("e.entries.level").alias("raw_level"), F.col("e.found.level").alias("level"), "e.entries.title", "e.entries.page", "e.found.parent")
     rows = rows.join(pages, "doc_id")
-    before = Window.partitionBy("doc_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    by_level = [F.when(F.col("level") == n + 1, F.last(F.when(F.col("level") == n, F.col("id")), ignorenulls=True).over(before)) for n in range(1, TOP_LEVEL)]
     return rows.select(
         "doc_id",
         "id",
@@ -45,7 +50,7 @@ def normalize(raw: DataFrame, pages: DataFrame) -> DataFrame:
         "level",
         F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.concat(F.lit("(untitled bookmark "), F.col("id").cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"),
         F.when(F.col("page").between(1, F.col("page_count")), F.col("page")).alias("page"),
-        F.coalesce(*by_level).alias("parent"),
+        "parent",
     )
 
 
@@ -69,27 +74,46 @@ def suggest_level(stats: DataFrame) -> DataFrame:
     return picked.select("doc_id", F.coalesce(F.when(F.col("best.keyword_hits") >= 2, -F.col("best.neg")), "first", "any").alias("suggested_level"))
 
 
-def ancestors(outline: DataFrame, levels: int = TOP_LEVEL) -> DataFrame:
-    """(doc_id, id, ancestor, distance): one row for every ancestor of every entry.
+def ancestors(outline: DataFrame) -> DataFrame:
+    """(doc_id, id, ancestor, distance): one row for every ancestor of every entry, to any depth.
 
-    An entry's ancestor at each level above is the last entry before it of that level, so windows find them all; no
-    recursion over the data is needed.
+    A fold over a document's entries carries those that are still open; no recursion over the data is needed.
     """
-    before = Window.partitionBy("doc_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = {f"_a{n}": F.last(F.when(F.col("level") == n, F.col("id")), ignorenulls=True).over(before) for n in range(1, levels)}
-    each = [F.when(F.col("level") > n, F.struct(F.col(f"_a{n}").alias("ancestor"), (F.col("level") - n).alias("distance"))) for n in range(1, levels)]
-    found = outline.withColumns(last).select("doc_id", "id", F.explode(F.array_compact(F.array(*each))).alias("a"))
-    return found.select("doc_id", "id", "a.ancestor", "a.distance").where("ancestor is not null")
+    id_type = outline.schema["id"].dataType.simpleString()
+    listed = outline.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("entries"))
+
+    def step(state: Column, entry: Column) -> Column:
+        above = F.filter(state["open"], lambda x: x["level"] < entry["level"])
+        own = F.struct(entry["id"].alias("id"), F.transform(above, lambda x: x["id"]).alias("above"))
+        return F.struct(F.concat(above, F.array(entry)).alias("open"), F.concat(state["found"], F.array(own)).alias("found"))
+
+    entry_type = outline.select(F.struct("id", "level").alias("e")).schema["e"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{entry_type}>").alias("open"), F.array().cast(f"array<struct<id:{id_type},above:array<{id_type}>>>").alias("found"))
+    each = listed.select("doc_id", F.explode(F.aggregate("entries", start, step, lambda s: s["found"])).alias("f"))
+    every = each.select("doc_id", F.col("f.id").alias("id"), F.size("f.above").alias("n"), F.posexplode("f.above").alias("at", "ancestor"))
+    return every.select("doc_id", "id", "ancestor", (F.col("n") - F.col("at")).alias("distance"))
+
+
+def expected_count(remapped: DataFrame) -> DataFrame:
+    """(doc_id, vol_idx, expected): the number of outline entries that each page range is to have."""
+    return remapped.groupBy("doc_id", "vol_idx").agg(F.count(F.lit(1)).alias("expected"))
+
+
+def children(outline: DataFrame) -> DataFrame:
+    """The tree as rows: (doc_id, id, n_children, children), the ids of an entry's children in order; id null holds the roots."""
+    named = outline.groupBy("doc_id", F.col("parent").alias("id")).agg(F.sort_array(F.collect_list(F.col("id"))).alias("children"))
+    leaves = outline.select("doc_id", "id").join(named.where("id is not null"), ["doc_id", "id"], "left_anti").withColumn("children", F.array().cast(named.schema["children"].dataType))
+    return named.unionByName(leaves).select("doc_id", "id", F.size("children").alias("n_children"), "children")
 
 
-def paths(outline: DataFrame, levels: int = TOP_LEVEL) -> DataFrame:
+def paths(outline: DataFrame) -> DataFrame:
     """Titles of all ancestors, root first, joined."""
     titles = outline.select("doc_id", F.col("id").alias("ancestor"), "title")
-    chain = ancestors(outline, levels).join(titles, ["doc_id", "ancestor"]).groupBy("doc_id", "id").agg(F.sort_array(F.collect_list(F.struct("distance", "title")), asc=False).alias("chain"))
+    chain = ancestors(outline).join(titles, ["doc_id", "ancestor"]).groupBy("doc_id", "id").agg(F.sort_array(F.collect_list(F.struct("distance", "title")), asc=False).alias("chain"))
     return outline.join(chain, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce(F.array_join(F.col("chain.title"), " › "), F.lit("")).alias("path"))
 
 
-def remap(outline: DataFrame, ranges: DataFrame, levels: int = TOP_LEVEL) -> DataFrame:
+def remap(outline: DataFrame, ranges: DataFrame) -> DataFrame:
     """The outline of each page range: (doc_id, vol_idx, pos, level, title, page).
 
     Entries with a page in range are renumbered.  Before each comes every ancestor that has not been given yet, on the
@@ -97,7 +121,7 @@ def remap(outline: DataFrame, ranges: DataFrame, levels: int = TOP_LEVEL) -> Dat
     """
     r = ranges.select("doc_id", "vol_idx", F.col("start_page").alias("s"), F.col("end_page").alias("e"))
     kept = outline.where("page is not null").join(r, "doc_id").where("page between s and e").select("doc_id", "vol_idx", "id", "level", "title", "page", "s")
-    above = kept.join(ancestors(outline, levels), ["doc_id", "id"])
+    above = kept.join(ancestors(outline), ["doc_id", "id"])
     first = above.groupBy("doc_id", "vol_idx", "ancestor").agg(F.min(F.struct("id", "page", "s")).alias("f"))
     added = first.join(kept.select("doc_id", "vol_idx", F.col("id").alias("ancestor")), ["doc_id", "vol_idx", "ancestor"], "left_anti")
     named = outline.select("doc_id", F.col("id").alias("ancestor"), F.col("level"), F.col("title"), F.col("page").alias("own_page"))

@@ -6,7 +6,6 @@ volume is a run of units.  A run of one unit may exceed the cap, longer runs may
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,15 +54,30 @@ def greedy(units: DataFrame, cap: Column) -> DataFrame:
     return units.join(starts, ["doc_id", "unit_idx"], "left").withColumn("vol_idx", F.sum(F.coalesce("begins", F.lit(0))).over(order).cast("int")).drop("begins")
 
 
-def min_cap(units: DataFrame, k: int, upper: Column | None = None) -> DataFrame:
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns computed once: else a fold would compute the arrays it reads at every step."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+
+
+def _listed(units: DataFrame, counts: DataFrame | int) -> DataFrame:
+    """One row per document: k, and arrays of its units in order: sizes, and the bytes up to each unit's end (upto)."""
+    order = Window.partitionBy("doc_id").orderBy("unit_idx")
+    summed = units.select("doc_id", "unit_idx", "size", F.sum("size").over(order).alias("upto"))
+    rows = summed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit_idx", "size", "upto"))).alias("u"))
+    rows = rows.select("doc_id", F.col("u.size").alias("sizes"), F.col("u.upto").alias("upto"), F.size("u").alias("n"))
+    rows = _settled(rows)
+    return rows.withColumn("k", F.lit(counts)) if isinstance(counts, int) else rows.join(counts.select("doc_id", F.col("k").cast("int").alias("k")), "doc_id")
+
+
+def min_cap(units: DataFrame, k: int | DataFrame, upper: Column | None = None) -> DataFrame:
     """(doc_id, cap): the least cap under which greedy filling needs at most k volumes, or the upper bound if none does.
 
     The number of volumes never grows with the cap, so each document's range of whole numbers is halved: it lies between
     total / k (unless one unit is larger) and total / k plus the largest unit, and takes one round for each of its bits.
+    ``k`` is one number, or (doc_id, k).
     """
-    n = max(k, 1)
-    facts = units.groupBy("doc_id").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.transform(F.sort_array(F.collect_list(F.struct("unit_idx", "size"))), lambda u: u["size"]).alias("sizes"))
-    share = F.expr(f"total div {n}")
+    facts = _listed(units, k).withColumn("total", F.element_at("upto", -1)).withColumn("largest", F.array_max("sizes"))
+    share = F.expr("total div greatest(k, 1)")
     bound = facts.withColumn("upper", (F.least(share + 1 + F.col("largest"), F.col("total")) if upper is None else upper).cast("long"))
     state = bound.withColumn("lower", F.least("upper", F.when(F.col("largest") <= share, share).otherwise(F.lit(0))).cast("long"))
 
@@ -78,7 +92,7 @@ def min_cap(units: DataFrame, k: int, upper: Column | None = None) -> DataFrame:
 
     def halve(s: Column, _: Column) -> Column:
         middle = s["lo"] + F.shiftright(s["hi"] - s["lo"], 1)
-        fits = needed(middle) <= k
+        fits = needed(middle) <= F.col("k")
         return F.struct(F.when(fits, s["lo"]).otherwise(F.least(middle + 1, s["hi"])).alias("lo"), F.when(fits, middle).otherwise(s["hi"]).alias("hi"))
 
     first = F.struct(F.col("lower").alias("lo"), F.col("upper").alias("hi"))
@@ -86,45 +100,65 @@ def min_cap(units: DataFrame, k: int, upper: Column | None = None) -> DataFrame:
     return state.select("doc_id", F.aggregate(rounds, first, halve, lambda s: s["hi"]).alias("cap"))
 
 
-def _runs(units: DataFrame, caps: DataFrame) -> DataFrame:
-    """(doc_id, first, last, bytes) of every single unit and of every longer run within the document's cap.
+def _upto(i: Column) -> Column:
+    """Bytes of the first i units."""
+    return F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0).cast("long"))
+
 
-    Running sums are cut into slots as wide as the cap: a run within it begins and ends in one slot or in neighbours, so
-    that only those are joined.  Sizes are not negative.
+def work(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
+    """A document's arrays with first (for each unit the earliest one that a run within the cap can begin with), work and exact.
+
+    Work is units times volumes times the longest run; beyond WORK_LIMIT an exact partition is not tried.
     """
-    order = Window.partitionBy("doc_id").orderBy("unit_idx")
-    summed = units.select("doc_id", "unit_idx", "size", F.sum("size").over(order).alias("upto")).join(caps, "doc_id")
-    slot = lambda c: F.expr(f"{c} div greatest(cap, 1)")
-    a = summed.select("doc_id", "cap", F.col("unit_idx").alias("first"), (F.col("upto") - F.col("size")).alias("before"))
-    a = a.withColumn("slot", F.explode(F.array(slot("before"), slot("before") + 1)))
-    b = summed.select("doc_id", F.col("unit_idx").alias("last"), "upto", slot("upto").alias("slot"))
-    bytes_ = (F.col("upto") - F.col("before")).alias("bytes")
-    longer = a.join(b, ["doc_id", "slot"]).where("first < last and upto - before <= cap").select("doc_id", "first", "last", bytes_)
-    return summed.select("doc_id", F.col("unit_idx").alias("first"), F.col("unit_idx").alias("last"), F.col("size").alias("bytes")).unionByName(longer)
+    rows = _listed(units, k).join(caps.select("doc_id", "cap"), "doc_id")
+
+    def earliest(i: Column) -> Column:
+        """Halving between 1 and i: running sums don't fall."""
+        bits = F.sequence(F.lit(1), F.length(F.bin(i.cast("long"))))
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.shiftright(s["lo"] + s["hi"], 1)
+            fits = _upto(i) - _upto(middle - 1) <= F.col("cap")
+            return F.struct(F.when(fits, s["lo"]).otherwise(F.least(middle + 1, s["hi"])).alias("lo"), F.when(fits, middle).otherwise(s["hi"]).alias("hi"))
+
+        return F.aggregate(bits, F.struct(F.lit(1).alias("lo"), i.alias("hi")), halve, lambda s: s["hi"])
 
+    found = _settled(rows.withColumn("first", F.transform(F.sequence(F.lit(1), F.col("n")), earliest)))
+    longest = F.array_max(F.transform("first", lambda s, i: i + 2 - s))
+    total = F.col("n").cast("long") * F.col("k") * longest
+    return found.withColumn("work", total).withColumn("exact", (total <= WORK_LIMIT) | (F.col("k") <= 1) | (F.col("k") >= F.col("n")))
 
-def balanced(units: DataFrame, caps: DataFrame, k: int) -> DataFrame:
+
+def balanced(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
     """Exactly k volumes of each document, runs of two units or more within the cap, least sum of squared sizes.
 
-    A shortest path of k layers over all documents at once: each layer joins the runs that the cap allows to the best
-    way to where they begin.  On equal cost the later cut wins.  k at or above the number of units gives single units,
-    k of 1 or less one volume.  ``caps`` is (doc_id, cap).
+    A shortest path of k layers, folded within each document's row: a node is a number of units, its way the starts of
+    the volumes up to there.  On equal cost the later cut wins.  k at or above the number of units gives single units,
+    k of 1 or less one volume.  The fold is bounded by WORK_LIMIT; documents beyond are filled greedily and split
+    (``split_to``), which gives other volumes.  ``caps`` is (doc_id, cap), ``k`` one number or (doc_id, k).
     """
-    n_units = units.groupBy("doc_id").agg(F.max("unit_idx").alias("n"))
-    allowed = _runs(units, caps)
-    cost = (F.col("bytes").cast(BIG) * F.col("bytes")).alias("cost")
-    middle = n_units.where((F.col("n") > k) & F.lit(k > 1))
-    runs = allowed.join(middle.select("doc_id"), "doc_id", "left_semi").select("doc_id", "first", "last", cost)
-    best = runs.where("first = 1").select("doc_id", F.col("last").alias("node"), "cost", F.array(F.col("first")).alias("starts"))
-    for _ in range(2, k + 1):
-        step = runs.join(best.select("doc_id", (F.col("node") + 1).alias("first"), F.col("cost").alias("so_far"), "starts"), ["doc_id", "first"])
-        total = (F.col("cost") + F.col("so_far")).alias("total")
-        best = step.groupBy("doc_id", "last").agg(F.min(F.struct(total, (-F.col("first")).alias("late"), F.col("starts"))).alias("b"))
-        best = best.select("doc_id", F.col("last").alias("node"), F.col("b.total").alias("cost"), F.concat("b.starts", F.array(-F.col("b.late"))).alias("starts"))
-    done = best.join(middle, "doc_id").where("node = n").select("doc_id", F.explode("starts").alias("unit_idx"))
-    singles = units.join(n_units.where(F.col("n") <= k), "doc_id", "left_semi").select("doc_id", "unit_idx")
-    one = n_units.where((F.col("n") > k) & F.lit(k <= 1)).select("doc_id", F.lit(1).alias("unit_idx"))
-    return by_starts(units, done.unionByName(singles).unionByName(one))
+    rows = work(units, caps, k)
+    cost = lambda a, b: (_upto(b) - _upto(a)).cast("decimal(18,0)") * (_upto(b) - _upto(a)).cast("decimal(18,0)")
+    way = "struct<cost:decimal(38,0),starts:array<int>>"
+    nodes = F.sequence(F.lit(1), F.col("n"))
+    begin = F.transform(nodes, lambda i: F.when((i == 1) | (_upto(i) <= F.col("cap")), F.struct(cost(F.lit(0), i).cast(BIG).alias("cost"), F.array(F.lit(1)).alias("starts"))).cast(way))
+
+    def layer(ways: Column, g: Column) -> Column:
+        def to(i: Column) -> Column:
+            cuts = F.sequence(F.greatest(F.get("first", i - 1), g), i)
+            open_ = F.filter(cuts, lambda s: F.get(ways, s - 2).isNotNull())
+            best = F.array_min(F.transform(open_, lambda s: F.struct((F.get(ways, s - 2)["cost"] + cost(s - 1, i)).cast(BIG).alias("cost"), (-s).alias("late"))))
+            return F.when(i >= g, F.struct(best["cost"].alias("cost"), F.concat(F.get(ways, -best["late"] - 2)["starts"], F.array(-best["late"])).alias("starts"))).cast(way)
+
+        return F.transform(F.transform(nodes, to), lambda w: F.when(w["cost"].isNotNull(), w))
+
+    last = F.element_at(F.aggregate(F.sequence(F.lit(2), F.col("k")), begin, layer), -1)["starts"]
+    starts = F.when(F.col("k") >= F.col("n"), nodes).when(F.col("k") <= 1, F.array(F.lit(1))).otherwise(last)
+    found = rows.where("exact").select("doc_id", F.explode(starts).alias("unit_idx"))
+    # a run is no longer than its document, so documents that can't be too much work are told by n and k alone
+    large = rows.where((F.col("n").cast("long") * F.col("n") * F.col("k") > WORK_LIMIT) & ~F.col("exact")).select("doc_id", "cap", "k")
+    split = split_to(units.join(large.select("doc_id", "cap"), "doc_id"), F.col("cap"), large.select("doc_id", "k"))
+    return by_starts(units, found.unionByName(split.groupBy("doc_id", "vol_idx").agg(F.min("unit_idx").alias("unit_idx")).select("doc_id", "unit_idx")))
 
 
 def by_starts(units: DataFrame, starts: DataFrame) -> DataFrame:
@@ -135,47 +169,29 @@ def by_starts(units: DataFrame, starts: DataFrame) -> DataFrame:
     return marked.withColumn("b", begins).withColumn("vol_idx", F.sum("b").over(order).cast("int")).drop("b", "begins")
 
 
-def work(units: DataFrame, caps: DataFrame, k: int) -> DataFrame:
-    """(doc_id, work, exact): units times volumes times the longest run within the cap, and whether that is affordable."""
-    longest = _runs(units, caps).join(caps, "doc_id").where("bytes <= cap").groupBy("doc_id").agg(F.max(F.col("last") - F.col("first") + 1).alias("window"))
-    size = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(longest, "doc_id", "left")
-    total = F.col("n") * k * F.greatest(F.coalesce("window", F.lit(1)), F.lit(1))
-    return size.select("doc_id", total.alias("work"), (total <= WORK_LIMIT).alias("exact"))
+def split_to(units: DataFrame, cap: Column, k: int | DataFrame) -> DataFrame:
+    """(doc_id, unit_idx, vol_idx): greedy volumes, then the largest of two units or more cut most evenly, until there are k.
 
+    Ties go to the volume and to the cut further left.  A fold over the cuts still to make carries the volumes as
+    (first, last, bytes); nothing leaves the document's row.  ``k`` is one number or (doc_id, k).
+    """
+    packed = greedy(units, cap).select("doc_id", "unit_idx", "size", "vol_idx")
+    volumes = packed.groupBy("doc_id", "vol_idx").agg(F.min("unit_idx").alias("first"), F.max("unit_idx").alias("last"), F.sum("size").alias("bytes"))
+    spans = volumes.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "bytes")).alias("spans"))
+    rows = _listed(units, k).join(spans, "doc_id")
 
-def split_to(units: DataFrame, cap: Column, k: int) -> DataFrame:
-    """Greedy volumes, then the largest of two units or more split at its most even cut until there are k.
+    def cut(spans: Column, _: Column) -> Column:
+        largest = F.array_max(F.transform(F.filter(spans, lambda v: v["last"] > v["first"]), lambda v: F.struct(v["bytes"].alias("bytes"), (-v["first"]).alias("left"), v["last"].alias("last"))))
+        a, b = -largest["left"], largest["last"]
+        uneven = lambda c: F.abs(_upto(c) - _upto(a - 1) - (_upto(b) - _upto(c)))
+        end = F.array_min(F.transform(F.sequence(a, b - 1), lambda c: F.struct(uneven(c).alias("by"), c.alias("end"))))["end"]
+        part = lambda x, y: F.struct(x.alias("first"), y.alias("last"), (_upto(y) - _upto(x - 1)).alias("bytes"))
+        return F.when(largest.isNull() | (F.size(spans) >= F.col("k")), spans).otherwise(F.concat(F.filter(spans, lambda v: v["first"] != a), F.array(part(a, end), part(end + 1, b))))
 
-    Every step depends on the one before, so a document is one group of an Arrow function; documents are spread.
-    """
-    packed = greedy(units, cap)
-
-    def split(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("unit_idx")
-        sizes, groups = frame["size"].tolist(), []
-        for i, v in enumerate(frame["vol_idx"].tolist()):
-            if not groups or v != groups[-1][2]:
-                groups.append([i, i + 1, v])
-            else:
-                groups[-1][1] = i + 1
-        spans = [(a, b) for a, b, _ in groups]
-        while len(spans) < k:
-            open_ = [(sum(sizes[a:b]), -i) for i, (a, b) in enumerate(spans) if b - a > 1]
-            if not open_:
-                break
-            at = -max(open_)[1]
-            a, b = spans[at]
-            total, run, best = sum(sizes[a:b]), 0, None
-            for cut in range(a + 1, b):
-                run += sizes[cut - 1]
-                if best is None or abs(total - 2 * run) < best[0]:
-                    best = (abs(total - 2 * run), cut)
-            spans[at : at + 1] = [(a, best[1]), (best[1], b)]
-        number = [v for v, (a, b) in enumerate(spans, 1) for _ in range(a, b)]
-        return frame.assign(vol_idx=number)[["doc_id", "unit_idx", "vol_idx"]]
-
-    kind = units.schema["doc_id"].dataType.simpleString()
-    return packed.select("doc_id", "unit_idx", "size", "vol_idx").groupBy("doc_id").applyInPandas(split, f"doc_id {kind}, unit_idx int, vol_idx int")
+    todo = F.when(F.least("k", "n") > F.size("spans"), F.sequence(F.lit(1), F.least("k", "n") - F.size("spans"))).otherwise(F.array().cast("array<int>"))
+    done = F.aggregate(todo, F.col("spans"), cut)
+    starts = rows.select("doc_id", F.explode(F.transform(done, lambda v: v["first"])).alias("unit_idx"))
+    return by_starts(units, starts).select("doc_id", "unit_idx", "vol_idx")
 
 
 def start_errors(units: DataFrame, sections: DataFrame, starts: DataFrame) -> DataFrame:
@@ -190,24 +206,43 @@ def plan(units: DataFrame, mode: str, *, max_bytes: int | None = None, k: int |
     """Units with vol_idx under a mode: max_size, num_volumes, both, or adjusted (``starts`` of doc_id, unit_idx)."""
     if mode == "adjusted":
         return by_starts(units, starts)
-    if mode != "max_size":
-        # a document of fewer units than k has one volume for each, which is what the balanced partition gives
-        caps = min_cap(units, k)
-        if mode == "both":
-            fits = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("g"))
-            limited = min_cap(units, k, F.lit(max_bytes).cast("long")).withColumnRenamed("cap", "limited")
-            both = caps.join(limited, "doc_id").join(fits, "doc_id")
-            caps = both.select("doc_id", F.when(F.col("g") <= k, F.col("limited")).otherwise(F.col("cap")).alias("cap"))
-        return balanced(units, caps, k)
-    wanted = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("k")).persist()
-    parts = []
-    for row in wanted.select("k").distinct().orderBy("k").collect():  # the different numbers of volumes, not the documents
-        own = units.join(wanted.where(F.col("k") == row["k"]), "doc_id", "left_semi")
-        parts.append(balanced(own, min_cap(own, row["k"], F.lit(max_bytes).cast("long")), row["k"]))
-    out = parts[0] if parts else units.withColumn("vol_idx", F.lit(None).cast("int"))
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    counts: int | DataFrame = k if k is not None else 0
+    if mode == "max_size":
+        counts = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("k"))
+        return balanced(units, min_cap(units, counts, F.lit(max_bytes).cast("long")), counts)
+    # a document of fewer units than k has one volume for each, which is what the balanced partition gives
+    caps = min_cap(units, counts)
+    if mode == "both":
+        fits = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("g"))
+        limited = min_cap(units, counts, F.lit(max_bytes).cast("long")).withColumnRenamed("cap", "limited")
+        both = caps.join(limited, "doc_id").join(fits, "doc_id")
+        caps = both.select("doc_id", F.when(F.col("g") <= k, F.col("limited")).otherwise(F.col("cap")).alias("cap"))
+    return balanced(units, caps, counts)
+
+
+def count_warnings(planned: DataFrame, requested: int) -> DataFrame:
+    """Documents whose number of volumes is not the requested one (not asked of a plan by size)."""
+    return planned.groupBy("doc_id").agg(F.max("vol_idx").alias("n_volumes")).where(F.col("n_volumes") != requested).select("doc_id", "n_volumes", F.lit(requested).alias("requested"))
+
+
+def usable_floors(units: DataFrame, reaches_floor: Column) -> DataFrame:
+    """Units whose least sizes count only where the settings can reach them (a column of ``units``)."""
+    return units.withColumn("min_size", F.when(reaches_floor, F.col("min_size")))
+
+
+def moved_starts(starts: DataFrame, moves: DataFrame, sections: DataFrame) -> DataFrame:
+    """Starts (doc_id, vol_idx, start_page) after whole sections move across a boundary.
+
+    ``moves`` is (doc_id, vol_idx, step): the volume's start goes to the next (1) or the previous (-1) start of a
+    section; where that is none, or another volume's start or beyond it, it stays.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start_page")
+    around = Window.partitionBy("doc_id").orderBy("vol_idx")
+    near = sections.select("doc_id", "start_page").distinct().withColumn("after", F.lead("start_page").over(order)).withColumn("before", F.lag("start_page").over(order))
+    rows = starts.withColumn("upper", F.lead("start_page").over(around)).withColumn("lower", F.lag("start_page").over(around)).join(moves, ["doc_id", "vol_idx"], "left").join(near, ["doc_id", "start_page"], "left")
+    target = F.when(F.col("step") == 1, F.col("after")).when(F.col("step") == -1, F.col("before"))
+    free = F.col("lower").isNotNull() & (target > F.col("lower")) & (F.col("upper").isNull() | (target < F.col("upper")))
+    return rows.select("doc_id", "vol_idx", F.when(F.coalesce(free, F.lit(False)), target).otherwise(F.col("start_page")).alias("start_page"))
 
 
 def rollup(planned: DataFrame, max_bytes: int | None = None) -> DataFrame:

@@ -30,20 +30,24 @@ def protected_in_range(ranges: DataFrame, protected: DataFrame) -> DataFrame:
 
 def coverage(ranges: DataFrame, pages: DataFrame, protected: DataFrame) -> DataFrame:
     """Per document: pages that no volume has, that several have, whether volumes are in order, protected sections cut."""
-    spread = ranges.select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
-    times = spread.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
-    all_pages = pages.select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_no"))
-    missing = all_pages.join(times, ["doc_id", "page_no"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
-    twice = times.where("n > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("duplicated"))
+    # how many volumes have a page changes only where one begins or ends, so those places are enough
+    none = F.lit(None).cast(pages.schema["page_count"].dataType)
+    places = ranges.select("doc_id", F.col("start_page").alias("at"), F.lit(1).alias("d"), none.alias("page_count")).unionByName(ranges.select("doc_id", (F.col("end_page") + 1).alias("at"), F.lit(-1).alias("d"), none.alias("page_count")))
+    ends = pages.select("doc_id", F.explode(F.array(F.lit(1).cast("long"), F.col("page_count").cast("long") + 1)).alias("at"), F.lit(0).alias("d"), "page_count")
+    changes = places.unionByName(ends).groupBy("doc_id", "at").agg(F.sum("d").alias("d"), F.max("page_count").alias("page_count"))
+    line = Window.partitionBy("doc_id").orderBy("at")
+    parts = changes.select("doc_id", "at", F.sum("d").over(line).alias("n"), (F.lead("at").over(line) - F.col("at")).alias("long"), F.max("page_count").over(Window.partitionBy("doc_id")).alias("page_count"))
+    inside = (F.col("at") >= 1) & (F.col("at") <= F.col("page_count"))
+    counted = parts.groupBy("doc_id").agg(F.sum(F.when((F.col("n") == 0) & inside, F.col("long"))).alias("missing"), F.sum(F.when(F.col("n") > 1, F.col("long"))).alias("duplicated"))
     order = Window.partitionBy("doc_id").orderBy("vol_idx")
     sorted_ = ranges.withColumn("b", F.lag("end_page").over(order)).groupBy("doc_id").agg(F.coalesce(F.bool_and(F.col("b").isNull() | (F.col("start_page") >= F.col("b"))), F.lit(True)).alias("in_order"))
     cover = protected.select("doc_id", F.col("start_page").alias("s"), F.col("end_page").alias("e")).join(ranges, "doc_id").where("s <= end_page and e >= start_page")
     whole = (F.col("s") >= F.col("start_page")) & (F.col("e") <= F.col("end_page"))
     torn = cover.groupBy("doc_id", "s", "e").agg(F.count(F.lit(1)).alias("n"), F.bool_and(whole).alias("inside")).where("n <> 1 or not inside").groupBy("doc_id").agg(F.count(F.lit(1)).alias("protected_split"))
     out = pages.select("doc_id")
-    for part in (missing, twice, sorted_, torn):
+    for part in (counted, sorted_, torn):
         out = out.join(part, "doc_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("missing", "duplicated", "protected_split")}
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("missing", "duplicated", "protected_split")}
     return out.withColumns(zero).withColumn("in_order", F.coalesce("in_order", F.lit(True)))
 
 

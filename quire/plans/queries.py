@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import scalars
 from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
 from quire.plans import fixtures as fx
+from quire.sources import tables
 from quire.sources.tables import table
 
 CAP = 150
@@ -109,13 +111,13 @@ def o2_warnings(spark, sf_dir):
     return outline.warnings(_outline(spark, sf_dir))
 
 
-@register("select doc_id, level, count(*) as count, count(page) as valid, count(*) filter (page is not null and title like 'Annex %') as keyword_hits from outline group by doc_id, level")
+@register("select doc_id, level, count(*) as count, count(page) as valid, count(*) filter (page is not null and regexp_matches(lower(title), '\\b(annex(?:ure)?s?|appendi(?:x|ces)|schedules?|exhibits?|attachments?|enclosures?|encl)\\b')) as keyword_hits from outline group by doc_id, level")
 def o4_level_stats(spark, sf_dir):
     return outline.level_stats(_outline(spark, sf_dir))
 
 
 @register(
-    """, stats as (select doc_id, level, count(page) as valid, count(*) filter (page is not null and title like 'Annex %') as hits from outline group by doc_id, level)
+    """, stats as (select doc_id, level, count(page) as valid, count(*) filter (page is not null and regexp_matches(lower(title), '\\b(annex(?:ure)?s?|appendi(?:x|ces)|schedules?|exhibits?|attachments?|enclosures?|encl)\\b')) as hits from outline group by doc_id, level)
     select doc_id, coalesce(case when max(hits) filter (valid >= 2) >= 2 then arg_max(level, (hits, -level)) filter (valid >= 2) end, min(level) filter (valid >= 2), min(level) filter (valid >= 1)) as suggested_level from stats group by doc_id"""
 )
 def o6_suggest_level(spark, sf_dir):
@@ -148,6 +150,16 @@ def o8_remap(spark, sf_dir):
     return outline.remap(_outline(spark, sf_dir), ranges)
 
 
+@register("select o.doc_id, o.id, count(c.id) as n_children, coalesce(string_agg(c.id, ',' order by c.id), '') as children from outline o left join outline c on c.doc_id = o.doc_id and c.parent = o.id group by o.doc_id, o.id union all select doc_id, null, count(*), string_agg(id, ',' order by id) from outline where parent is null group by doc_id")
+def o3_tree(spark, sf_dir):
+    return outline.children(_outline(spark, sf_dir)).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+
+
+@register("select doc_id, coalesce(bool_or(page < b), false) as out_of_order from (select *, lag(page) over (partition by doc_id order by id) as b from (select * from outline where level <= 3 and page is not null) ) group by doc_id")
+def s4_out_of_order(spark, sf_dir):
+    return intervals.out_of_order(_outline(spark, sf_dir), 3)
+
+
 # --- sections
 
 @register(
@@ -207,6 +219,23 @@ def s15_section_of_page(spark, sf_dir):
     return intervals.section_of_page(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir))
 
 
+@register(
+    """, kept as (select doc_id, start_page, end_page from sections where sec_idx % 4 <> 0),
+    marks as (select * from kept union all select doc_id, page_count + 1, page_count + 1 from counts),
+    holes as (select doc_id, coalesce(lag(end_page) over (partition by doc_id order by start_page), 0) + 1 as s, start_page - 1 as e from marks)
+    select doc_id, count(*) as n_gaps, string_agg(s || '–' || e, ', ' order by s) as ranges from holes where s <= e group by doc_id"""
+)
+def s10_gap_warning(spark, sf_dir):
+    s = fx.sections(spark, sf_dir).where("sec_idx % 4 <> 0").select("doc_id", "title", "start_page", "end_page", "protected", F.lit("").alias("path"), F.lit("manual").alias("source"))
+    return intervals.gap_warning(intervals.fill_gaps(s, fx.counts(spark, sf_dir)))
+
+
+@register("select doc_id, page_no, 200 + coalesce(case when page_no % 3 <> 0 then size end, 0) + coalesce(case when page_no % 4 <> 0 then weight end, 0) as weight from pages")
+def s14_page_weights(spark, sf_dir):
+    p = fx.pages(spark, sf_dir).select("doc_id", "page_no", F.when(F.col("page_no") % 3 != 0, F.col("size")).alias("content_bytes"), F.when(F.col("page_no") % 4 != 0, F.col("weight")).alias("image_bytes"))
+    return intervals.page_weights(p)
+
+
 # --- partitioning
 
 @register("select doc_id, unit_idx, sec_idx, start_page, end_page, size, protected, min_size from units")
@@ -219,9 +248,15 @@ def p3_greedy_pack(spark, sf_dir):
     return _planned(spark, sf_dir).select("doc_id", "unit_idx", "size", "vol_idx")
 
 
-@register(f"select doc_id, vol_idx, start_page, end_page, estimated_bytes, n_units, min_estimated_bytes, end_page - start_page + 1 as page_count, estimated_bytes > {CAP} as over_limit, coalesce(min_estimated_bytes <= {CAP}, true) as achievable from volumes")
+_PARTS = """, clipped as (select p.doc_id, p.vol_idx, p.sec_idx, min(p.start_page) as s, max(p.end_page) as e, min(p.start_page) > min(x.start_page) or max(p.end_page) < max(x.end_page) as partial
+        from planned p join sections x on x.doc_id = p.doc_id and x.sec_idx = p.sec_idx group by p.doc_id, p.vol_idx, p.sec_idx),
+    parts as (select doc_id, vol_idx, bool_or(partial) as any_partial, string_agg(sec_idx || ':' || s || ':' || e || ':' || partial, ' ' order by s) as sections from clipped group by doc_id, vol_idx)"""
+
+
+@register(_PARTS + f" select v.*, end_page - start_page + 1 as page_count, estimated_bytes > {CAP} as over_limit, coalesce(min_estimated_bytes <= {CAP}, true) as achievable, any_partial, sections from volumes v join parts using (doc_id, vol_idx)")
 def p13_volume_rollup(spark, sf_dir):
-    return partition.rollup(_planned(spark, sf_dir), CAP).drop("sections", "any_partial")
+    parts = F.transform("sections", lambda x: F.concat_ws(":", x["sec_idx"].cast("string"), x["start_page"].cast("string"), x["end_page"].cast("string"), x["partial"].cast("string")))
+    return partition.rollup(_planned(spark, sf_dir), CAP).withColumn("sections", F.array_join(parts, " "))
 
 
 @register(f"select doc_id, count(*) as n_volumes, cast(sum(estimated_bytes) as bigint) as total_bytes, max(estimated_bytes) as largest_bytes, not bool_or(estimated_bytes > {CAP}) as constraints_satisfied from volumes group by doc_id")
@@ -229,9 +264,18 @@ def p20_plan_summary(spark, sf_dir):
     return partition.summary(partition.rollup(_planned(spark, sf_dir), CAP))
 
 
-@register("select doc_id, 'not contiguous' as code from volumes where false")
+@register(
+    """, broken as (select doc_id, unit_idx, sec_idx, start_page, end_page, protected, vol_idx + case when unit_idx % 7 = 0 then 1 else 0 end as vol_idx from planned where unit_idx % 13 <> 0),
+    bounds as (select doc_id, vol_idx, min(start_page) as s, max(end_page) as e from broken group by doc_id, vol_idx)
+    select doc_id, 'not contiguous' as code from (select *, lag(e) over (partition by doc_id order by vol_idx) as b from bounds) where b + 1 <> s
+    union all select doc_id, 'protected section split' from (select doc_id, sec_idx, count(distinct vol_idx) as n from (select * from broken where protected union all select doc_id, unit_idx, sec_idx, start_page, end_page, protected, vol_idx + 1 from broken where protected and sec_idx % 10 = 0) group by doc_id, sec_idx) where n > 1"""
+)
 def p19_integrity(spark, sf_dir):
-    return partition.integrity(_planned(spark, sf_dir))
+    """Plans that lack units, give some to the next volume and some protected sections to two."""
+    p = _planned(spark, sf_dir).where("unit_idx % 13 <> 0").withColumn("vol_idx", F.col("vol_idx") + (F.col("unit_idx") % 7 == 0).cast("int"))
+    gaps = partition.integrity(p).where("code = 'not contiguous'")
+    torn = partition.integrity(p.unionByName(p.where("protected and sec_idx % 10 = 0").withColumn("vol_idx", F.col("vol_idx") + 1))).where("code <> 'not contiguous'")
+    return gaps.unionByName(torn)
 
 
 @register(
@@ -245,15 +289,44 @@ def p8_start_errors(spark, sf_dir):
     return partition.start_errors(_units(spark, sf_dir), s, wanted)
 
 
-@register()
+_GREEDY = """list_reduce(list_transform(sizes, lambda x: {{'closed': x > {cap}, 'filled': x, 'n': cast(1 as bigint)}}), lambda s, x: {{'closed': x.closed,
+        'filled': case when x.closed or s.closed or s.filled + x.filled > {cap} then x.filled else s.filled + x.filled end, 'n': s.n + case when x.closed or s.closed or s.filled + x.filled > {cap} then 1 else 0 end}}).n"""
+
+
+def _caps(k: str, upper: str) -> str:
+    """SQL: arr (a document's sizes and running sums, k and upper), caps (the least cap by trying all sums of runs)."""
+    return f""", lists as (select doc_id, list(cast(size as bigint) order by unit_idx) as sizes, count(*) as n, cast(sum(size) as bigint) as total from units group by doc_id),
+    arr as (select *, {k} as k, {upper} as upper from (select *, list_transform(range(1, n + 1), lambda i: cast(list_sum(sizes[1:i]) as bigint)) as upto from lists)),
+    firsts as (select doc_id, unnest(range(1, n + 1)) as f from arr),
+    runs as (select distinct a.doc_id, a.upto[l] - coalesce(a.upto[f - 1], 0) as cap from (select doc_id, f, unnest(range(f + 1, n + 1)) as l from firsts join arr using (doc_id)) r join arr a using (doc_id)),
+    tried as (select r.doc_id, r.cap from (select * from runs union select doc_id, 0 from arr) r join arr a using (doc_id) where r.cap <= upper and {_GREEDY.format(cap="r.cap")} <= k),
+    caps as (select a.doc_id, coalesce(min(t.cap), max(a.upper)) as cap from arr a left join tried t using (doc_id) group by a.doc_id)"""
+
+
+#: A shortest path of k layers over lists, from arr (doc_id, n, k, upto) and caps.
+_BALANCED = """, ways(doc_id, g, w) as (
+        select doc_id, cast(1 as bigint), list_transform(range(1, n + 1), lambda i: case when i = 1 or upto[i] <= cap then {'c': cast(upto[i] as hugeint) * upto[i], 'late': cast(-1 as bigint), 's': [cast(1 as bigint)]} end) from arr join caps using (doc_id)
+        union all
+        select p.doc_id, g + 1, list_transform(range(1, n + 1), lambda i: list_min(list_transform(list_filter(range(g + 1, i + 1), lambda s: w[s - 1] is not null and (s = i or upto[i] - upto[s - 1] <= cap)),
+            lambda s: {'c': w[s - 1].c + cast(upto[i] - upto[s - 1] as hugeint) * (upto[i] - upto[s - 1]), 'late': -s, 's': list_append(w[s - 1].s, s)})))
+        from ways p join arr using (doc_id) join caps using (doc_id) where g < k),
+    starts as (select a.doc_id, case when a.k >= a.n then range(1, a.n + 1) when a.k <= 1 then [cast(1 as bigint)] else w[a.n].s end as s from arr a join ways p on p.doc_id = a.doc_id and p.g = greatest(a.k, 1))
+    select u.doc_id, u.unit_idx, cast(u.size as bigint) as size, len(list_filter(s, lambda x: x <= u.unit_idx)) as vol_idx from units u join starts using (doc_id)"""
+
+
+def _volumes_of(df):
+    return df.select("doc_id", "unit_idx", "size", "vol_idx")
+
+
+@register(_caps("4", "total") + " select doc_id, cap from caps")
 def p4_min_cap(spark, sf_dir):
     return partition.min_cap(_units(spark, sf_dir), 4)
 
 
-@register()
+@register(_caps("4", "total") + _BALANCED)
 def p5_balanced(spark, sf_dir):
     u = _units(spark, sf_dir)
-    return partition.balanced(u, partition.min_cap(u, 4), 4).select("doc_id", "unit_idx", "size", "vol_idx")
+    return _volumes_of(partition.balanced(u, partition.min_cap(u, 4), 4))
 
 
 @register()
@@ -261,14 +334,67 @@ def p7_split_to(spark, sf_dir):
     return partition.split_to(_units(spark, sf_dir), F.lit(400), 6)
 
 
-@register()
+@register(_caps(_GREEDY.format(cap="300"), "300") + _BALANCED)
+def p9_max_size(spark, sf_dir):
+    return _volumes_of(partition.plan(_units(spark, sf_dir), "max_size", max_bytes=300))
+
+
+@register(_caps("3", "total") + _BALANCED)
 def p10_num_volumes(spark, sf_dir):
-    return partition.plan(_units(spark, sf_dir), "num_volumes", k=3).select("doc_id", "unit_idx", "size", "vol_idx")
+    return _volumes_of(partition.plan(_units(spark, sf_dir), "num_volumes", k=3))
 
 
-@register()
+@register(_caps("3", f"case when {_GREEDY.format(cap='300')} <= 3 then 300 else total end") + _BALANCED)
 def p11_both(spark, sf_dir):
-    return partition.plan(_units(spark, sf_dir), "both", max_bytes=300, k=3).select("doc_id", "unit_idx", "size", "vol_idx")
+    return _volumes_of(partition.plan(_units(spark, sf_dir), "both", max_bytes=300, k=3))
+
+
+def _adjusted(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    return partition.plan(u, "adjusted", starts=u.where("unit_idx % 6 = 0").select("doc_id", "unit_idx"))
+
+
+_ADJUSTED = """, adjusted as (select *, 1 + unit_idx // 6 as vol_idx from units),
+    own as (select a.doc_id, a.vol_idx, min(a.start_page) as start_page, max(a.end_page) as end_page, cast(sum(a.size) as bigint) as estimated_bytes, count(*) as n_units, bool_and(a.protected) as all_protected,
+        case when count(*) = count(a.min_size) then cast(sum(a.min_size) as bigint) end as floor from adjusted a group by a.doc_id, a.vol_idx),
+    whole as (select distinct a.doc_id, a.vol_idx from adjusted a join sections s using (doc_id, sec_idx) group by a.doc_id, a.vol_idx, a.sec_idx having min(a.start_page) > min(s.start_page) or max(a.end_page) < max(s.end_page))"""
+
+
+@register(_ADJUSTED + " select doc_id, max(vol_idx) as n_volumes, 4 as requested from adjusted group by doc_id having max(vol_idx) <> 4")
+def p12_adjusted(spark, sf_dir):
+    return partition.count_warnings(_adjusted(spark, sf_dir), 4)
+
+
+@register(_ADJUSTED + " select doc_id, vol_idx from own where floor > 30 and n_units > 1")
+def p16_refusals(spark, sf_dir):
+    return partition.refusals(partition.rollup(_adjusted(spark, sf_dir), 30))
+
+
+@register(
+    _ADJUSTED
+    + f""" select doc_id, vol_idx, case when n_units = 1 and all_protected then 'section_over_limit' else 'volume_over_limit' end as code from own where estimated_bytes > {CAP} and coalesce(floor <= {CAP}, true)
+    union all select doc_id, vol_idx, 'limit_unreachable' from own where floor > {CAP} union all select doc_id, vol_idx, 'section_split' from whole"""
+)
+def p17_warnings(spark, sf_dir):
+    return partition.volume_warnings(partition.rollup(_adjusted(spark, sf_dir), CAP))
+
+
+@register(" select doc_id, unit_idx, case when doc_id % 2 = 0 then min_size end as min_size from units")
+def p21_usable_floors(spark, sf_dir):
+    return partition.usable_floors(_units(spark, sf_dir), F.col("doc_id") % 2 == 0).select("doc_id", "unit_idx", "min_size")
+
+
+@register(
+    """, edges as (select doc_id, start_page, lead(start_page) over (partition by doc_id order by start_page) as a, lag(start_page) over (partition by doc_id order by start_page) as b from sections),
+    begun as (select doc_id, (sec_idx + 2) // 3 as vol_idx, start_page from sections where sec_idx % 3 = 1),
+    near as (select g.*, lead(g.start_page) over (partition by g.doc_id order by vol_idx) as u, lag(g.start_page) over (partition by g.doc_id order by vol_idx) as l, case when vol_idx % 3 = 0 then e.a when vol_idx % 3 = 1 then e.b end as t from begun g join edges e using (doc_id, start_page))
+    select doc_id, vol_idx, case when l is not null and t > l and (u is null or t < u) then t else start_page end as start_page from near"""
+)
+def p22_moved_starts(spark, sf_dir):
+    s = fx.sections(spark, sf_dir)
+    starts = s.where("sec_idx % 3 = 1").select("doc_id", F.expr("(sec_idx + 2) div 3").alias("vol_idx"), "start_page")
+    moves = starts.where("vol_idx % 3 <> 2").select("doc_id", "vol_idx", F.when(F.col("vol_idx") % 3 == 0, 1).otherwise(-1).alias("step"))
+    return partition.moved_starts(starts, moves, s)
 
 
 # --- reduction steps
@@ -290,9 +416,97 @@ def c7_choose_attempt(spark, sf_dir):
     return ladder.choose(_attempts(spark, sf_dir), 1500)
 
 
-@register()
+_LABEL = """case kind when 'plain' then 'No compression' when 'optimize' then 'Lossless PDF optimisation' when 'ghostscript' then 'Ghostscript /' || preset
+        when 'images' then 'Image recompression ' || numbers || ' (text kept)' else 'Page rasterisation ' || numbers || ' (text not searchable)' end as label"""
+_STEPS = """select * from (values (0, 0, 'plain', null, null, false, null), (1, 1, 'optimize', null, null, false, null), (2, 2, 'images', 200, 90, false, null), (3, 2, 'images', 150, 80, false, null), (4, 2, 'images', 150, 70, false, null),
+        (5, 2, 'ghostscript', null, null, false, 'ebook'), (6, 3, 'images', 120, 60, false, null), (7, 3, 'raster', 150, 60, false, null), (8, 4, 'images', 96, 50, false, null), (9, 4, 'ghostscript', null, null, false, 'screen'),
+        (10, 4, 'raster', 120, 45, false, null), (11, 5, 'images', 110, 45, true, null), (12, 5, 'raster', 130, 50, true, null), (13, 7, 'raster', 110, 40, true, null)) t(pos, level, kind, dpi, quality, gray, preset)"""
+_LADDER = f"""with steps as ({_STEPS}), clamped as (select pos, level, kind, greatest(110, least(140, dpi)) as dpi, greatest(55, least(95, quality)) as quality, gray, preset from steps),
+    kept as (select *, row_number() over (partition by kind, dpi, quality, gray, preset order by pos) as n, dpi || ' DPI, JPEG ' || quality || case when gray then ', greyscale' else '' end as numbers
+        from (select pos, level, kind, case when kind in ('images', 'raster') then dpi end as dpi, case when kind in ('images', 'raster') then quality end as quality, gray, preset from clamped))
+    select pos as step, level, {_LABEL}, kind <> 'raster' as preserves_text from kept where n = 1"""
+
+
+@register(_LADDER, prelude=False)
 def c1_ladder(spark, sf_dir):
-    return ladder.describe(ladder.ladder(spark)).withColumn("step", F.col("pos")).drop("pos")
+    """The ladder under limits that make some steps equal."""
+    return ladder.describe(ladder.ladder(spark, max_dpi=140, min_quality=55)).withColumnRenamed("pos", "step")
+
+
+@register("select * from (values (0, 8, 'Page rasterisation 90 DPI, JPEG 30, greyscale (text not searchable)', false), (1, 8, 'Page rasterisation 72 DPI, JPEG 25, greyscale (text not searchable)', false)) t(step, level, label, preserves_text)", prelude=False)
+def c2_stronger(spark, sf_dir):
+    return ladder.describe(ladder.ladder(spark, stronger=True)).withColumnRenamed("pos", "step")
+
+
+@register("select o_orderkey, l_linenumber, (row_number() over (partition by o_orderkey order by l_linenumber) - 1) * 1000 < 250 * count(*) over (partition by o_orderkey) as sharper from orders join lineitem on o_orderkey = l_orderkey", prelude=False)
+def c5_sharper(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (F.row_number().over(order.orderBy("l_linenumber")) - 1).alias("i"), F.count(F.lit(1)).over(order).alias("n"))
+    return lines.select("o_orderkey", "l_linenumber", ladder.sharper(F.col("i"), F.col("n"), F.lit(250)).alias("sharper"))
+
+
+_TRIES = f"""with steps as ({_STEPS}), tries as (select doc_id, 1 as vol_idx, steps.*, strlen(text) as n, case when (doc_id + pos) % 7 <> 0 then strlen(text) * (20 - pos) // 20 end as size, case when (doc_id + pos) % 5 = 0 then 0 else 3 end as candidates from documents, steps)"""
+
+
+@register(_TRIES + " select doc_id, pos from tries t where kind <> 'images' or not exists (select 1 from tries b where b.doc_id = t.doc_id and b.pos < t.pos and b.kind = 'images' and b.candidates = 0)", prelude=False)
+def c12_useful(spark, sf_dir):
+    a = _attempts(spark, sf_dir).withColumn("candidates", F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, 0).otherwise(3))
+    return ladder.useful(a).select("doc_id", "pos")
+
+
+@register(
+    _TRIES
+    + """, guessed as (select doc_id, pos, case when doc_id % 11 <> 0 then size end as sample, case when doc_id % 6 <> 0 then n // 2 else 0 end as plain, n from tries),
+    seen as (select *, plain = 0 as blind, coalesce(n * sample / nullif(plain, 0) <= 1.35 * 1500, true) as good from guessed),
+    marked as (select *, max(case when good then pos end) over (partition by doc_id) as last_good, row_number() over (partition by doc_id order by pos desc) as from_end from seen)
+    select doc_id, 1 as vol_idx, pos from marked where blind or case when last_good is null then from_end <= 4 else good or pos > last_good end""",
+    prelude=False,
+)
+def c13_predicted(spark, sf_dir):
+    a = _attempts(spark, sf_dir).withColumn("sample", F.when(F.col("doc_id") % 11 != 0, F.col("size"))).withColumn("sample_plain", F.when(F.col("doc_id") % 6 != 0, F.expr("n div 2")).otherwise(0)).withColumn("full", F.col("n"))
+    return ladder.predicted(a, 1500)
+
+
+@register(_TRIES + " select a.doc_id, a.vol_idx, a.pos, b.pos as sharper_pos from tries a join tries b on a.doc_id = b.doc_id and a.kind = b.kind and a.gray = b.gray and b.dpi >= a.dpi and b.quality >= a.quality and (b.dpi <> a.dpi or b.quality <> a.quality) where b.size > 1500", prelude=False)
+def c17_sharper_too_big(spark, sf_dir):
+    return ladder.sharper_too_big(_attempts(spark, sf_dir), 1500)
+
+
+_CHOSEN = """, best as (select doc_id, vol_idx, min(pos) filter (size <= 1500) as chosen_pos, arg_min(pos, (size, pos)) filter (size is not null) as smallest_pos, arg_min(pos, (size, pos)) filter (size is not null and pos < 2) as lossless_pos from tries group by doc_id, vol_idx)"""
+
+
+@register(
+    _TRIES
+    + """, other as (select * replace (case when kind = 'ghostscript' then n // 3 else size end as size) from tries where size is not null or kind = 'ghostscript'),
+    best as (select doc_id, vol_idx, min(pos) filter (size <= 1500) as chosen_pos from other group by doc_id, vol_idx),
+    fixed as (select b.doc_id, b.vol_idx, b.chosen_pos, t.level, t.size from best b join other t on t.doc_id = b.doc_id and t.pos = b.chosen_pos where t.kind = 'ghostscript'),
+    nexts as (select f.doc_id, f.vol_idx, f.size as old, arg_min(t.size, t.pos) as size, min(t.pos) as pos from fixed f join other t on t.doc_id = f.doc_id and t.pos > f.chosen_pos and t.level >= f.level and t.kind in ('images', 'raster') group by f.doc_id, f.vol_idx, f.size)
+    select doc_id, vol_idx, pos from nexts where size <= 1500 and size > old""",
+    prelude=False,
+)
+def c18_tunable_instead(spark, sf_dir):
+    """Where the steps without settings come out smallest."""
+    a = _attempts(spark, sf_dir).withColumn("size", F.when(F.col("kind") == "ghostscript", F.expr("n div 3")).otherwise(F.col("size"))).where("size is not null")
+    return ladder.tunable_instead(a, ladder.choose(a, 1500), 1500)
+
+
+@register(_TRIES + _CHOSEN + " select t.doc_id, t.vol_idx, t.pos from best b join tries t on t.doc_id = b.doc_id and t.pos = b.chosen_pos where t.kind not in ('plain', 'optimize') and t.size < 1500 - least(200000, 150)", prelude=False)
+def c19_fine_tunable(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    chosen = ladder.choose(a, 1500).select("doc_id", "vol_idx", F.col("chosen_pos").alias("pos")).join(a, ["doc_id", "vol_idx", "pos"])
+    return ladder.fine_tunable(chosen, 1500).select("doc_id", "vol_idx", "pos")
+
+
+@register(_TRIES + _CHOSEN + " select distinct t.doc_id, t.vol_idx, t.pos from best b join tries t on t.doc_id = b.doc_id and t.pos in (coalesce(b.chosen_pos, b.smallest_pos), b.smallest_pos, b.lossless_pos)", prelude=False)
+def c20_retained(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    return ladder.retained(a, ladder.choose(a, 1500)).select("doc_id", "vol_idx", "pos")
+
+
+@register("select doc_id, 1 as vol_idx, case when a <= b then a else b end as size, case when a <= b then 0 else 1 end as run from (select doc_id, strlen(text) as a, strlen(text) - doc_id % 3 + 1 as b from documents)", prelude=False)
+def c21_merge_stronger(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("vol_idx"), F.octet_length("text").cast("bigint").alias("size"))
+    return ladder.merge_stronger(d, d.withColumn("size", F.col("size") - F.col("doc_id") % 3 + 1))
 
 
 @register("select p_partkey, least(200000, cast(floor(p_partkey * 1234 * 0.10) as bigint)) as band from part", prelude=False)
@@ -361,7 +575,7 @@ def j5_progress(spark, sf_dir):
 
 
 @register(
-    """select user_id as key from events group by user_id having epoch(max(ts)) < (select epoch(max(ts)) from events) - 86400 and user_id not in (select user_id from events where event_type = 'purchase')""",
+    """select user_id as key from events group by user_id having epoch(max(ts)) < (select epoch(max(ts)) from events) - 3600 and user_id not in (select user_id from events where event_type = 'purchase' and value > 100)""",
     prelude=False,
 )
 def j6_expired(spark, sf_dir):
@@ -369,5 +583,90 @@ def j6_expired(spark, sf_dir):
     seen = e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"))
     now = e.agg(F.max("ts").alias("now"))
     aged = seen.crossJoin(F.broadcast(now))
-    active = e.where("event_type = 'purchase'").select(F.col("user_id").alias("key"))
-    return lifecycle.expired(aged, F.col("now"), 86400, active)
+    active = e.where("event_type = 'purchase' and value > 100").select(F.col("user_id").alias("key"))
+    return lifecycle.expired(aged, F.col("now"), 3600, active)
+
+
+def _page_rows(spark, sf_dir):
+    return fx.pages(spark, sf_dir).select("doc_id", "page_no", F.col("size").cast("double").alias("w"), F.lit(10.0).alias("h"), F.col("weight").cast("string").alias("t"))
+
+
+@register("select doc_id, count(*) as pages, count(*) filter (page_no % 5 = 0) as size_mismatches, count(*) filter (page_no % 3 = 0) as text_mismatches from pages where page_no % 8 <> 0 group by doc_id")
+def v2_page_differences(spark, sf_dir):
+    p = _page_rows(spark, sf_dir)
+    made = p.where("page_no % 8 <> 0").withColumn("w", F.col("w") + F.when(F.col("page_no") % 5 == 0, 1.5).otherwise(0.5)).withColumn("t", F.when(F.col("page_no") % 3 != 0, F.col("t")))
+    return validate.page_differences(p, made)
+
+
+@register("select doc_id, count(*) as expected, count(*) filter (page_no > 1 or doc_id % 3 > 0) as found, count(*) = count(*) filter (page_no > 1 or doc_id % 3 > 0) as ok from pages group by doc_id")
+def v4_count_check(spark, sf_dir):
+    p = _page_rows(spark, sf_dir)
+    return validate.count_check(p, p.where("page_no > 1 or doc_id % 3 > 0"))
+
+
+@register("select p.doc_id, coalesce(n, 0) = p.doc_id + 20 as count_ok, coalesce(last <= page_count - 3 and first >= 1, true) as range_ok from outline_pages p left join (select doc_id, count(*) as n, max(page) as last, min(page) as first from outline group by doc_id) o using (doc_id)")
+def v7_bookmark_check(spark, sf_dir):
+    c = fx.outline_pages(spark, sf_dir).select("doc_id", (F.col("page_count") - 3).alias("page_count"), (F.col("doc_id") + 20).alias("expected"))
+    return validate.bookmark_check(_outline(spark, sf_dir), c)
+
+
+_CHECKS = "select o_custkey as doc_id, o_orderkey as vol_idx, case when l_linenumber % 3 = 0 then 'error' when l_linenumber % 3 = 1 then 'limit' else 'info' end as severity, l_quantity > 10 as ok from orders join lineitem on o_orderkey = l_orderkey"
+
+
+@register(f"select doc_id, vol_idx, coalesce(bool_and(ok) filter (severity = 'error'), true) as passed from ({_CHECKS}) group by doc_id, vol_idx", prelude=False)
+def v9_passed(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    severity = F.when(F.col("l_linenumber") % 3 == 0, "error").when(F.col("l_linenumber") % 3 == 1, "limit").otherwise("info")
+    return validate.passed(table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("vol_idx"), severity.alias("severity"), (F.col("l_quantity") > 10).alias("ok")))
+
+
+@register("select p_partkey, case when p_size % 4 = 0 then 'info' else 'limit' end as severity, case p_size % 3 when 0 then 'visual' when 1 then 'lenient' else 'strict' end as mode, case when p_size % 5 = 0 then 'not_pdf' when p_size % 7 = 0 then 'corrupted' when p_size % 2 = 0 and p_size % 3 = 0 then 'password_incorrect' when p_size % 2 = 0 then 'password_required' when p_size < 10 then 'empty' end as open_code from part", prelude=False)
+def v10_codes(spark, sf_dir):
+    """Severity of a size check, mode of a page check (V17), and why a file can't be opened (D3)."""
+    n = F.col("p_size")
+    kind = F.element_at(F.array(F.lit("raster"), F.lit("ghostscript"), F.lit("images")), n % 3 + 1)
+    code = validate.open_code(n % 7 != 0, n % 5 != 0, n % 2 == 0, n % 3 == 0, n - 9)
+    return table(spark, sf_dir, "part").select("p_partkey", validate.size_severity(F.when(n % 4 != 0, n)).alias("severity"), validate.check_mode(kind).alias("mode"), code.alias("open_code"))
+
+
+@register(
+    f""", st as (select *, case when (doc_id + vol_idx) % 10 = 0 then 'FAIL' when estimated_bytes > {CAP} then 'OVER_LIMIT' else 'PASS' end as status from volumes)
+    select doc_id, vol_idx, estimated_bytes as size, case when status = 'OVER_LIMIT' and vol_idx % 2 = 0 then case when doc_id % 2 = 0 then 'ACCEPTED_OVER_LIMIT' else 'FAIL' end else status end as status from st"""
+)
+def j3_resolve(spark, sf_dir):
+    v = _statuses(spark, sf_dir)
+    return validate.resolve(v, v.where("vol_idx % 2 = 0").select("doc_id", "vol_idx", F.lit("accept").alias("action"), (F.col("doc_id") % 2 == 0).alias("has_candidate")))
+
+
+@register("select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)", prelude=False)
+def j7_cascade(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "key")
+    _, left = lifecycle.cascade(c, table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key"), c.where("c_acctbal < 0").select("key"))
+    return left.select("o_orderkey", F.col("key").alias("o_custkey"))
+
+
+@register("select key, last_event, n_events from (select user_id as key, arg_max(event_id, (ts, event_id)) as last_event, count(*) as n_events from events group by user_id) where key % 2 = 0", prelude=False)
+def j8_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
+    return lifecycle.latest(e, e.where("key % 2 = 0").select("key").distinct())
+
+
+@register(
+    f""", st as (select *, case when (doc_id + vol_idx) % 10 = 0 then 'FAIL' when estimated_bytes > {CAP} then 'OVER_LIMIT' else 'PASS' end as status from volumes where doc_id % 4 <> 0),
+    ready as (select doc_id, bool_and(status in ('PASS', 'ACCEPTED_OVER_LIMIT')) as archive_ready from st group by doc_id)
+    select doc_id, vol_idx, archive_ready from st join ready using (doc_id) where status <> 'FAIL'"""
+)
+def j14_downloadable(spark, sf_dir):
+    return lifecycle.downloadable(_statuses(spark, sf_dir).withColumn("state", F.when(F.col("doc_id") % 4 != 0, "completed").otherwise("running")))
+
+
+@register("select o_orderkey, 'Client_' || o_custkey || '_Audit_Report_Volume_' || lpad(cast(o_orderkey % 90 + 1 as varchar), case when o_custkey % 2 = 0 then 3 else 2 end, '0') || '.pdf' as name from orders", prelude=False)
+def f10_volume_names(spark, sf_dir):
+    total = F.when(F.col("o_custkey") % 2 == 0, 150).otherwise(90)
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.volume_file_name(F.concat(F.lit("Client "), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 90 + 1, total).alias("name"))
+
+
+@register("select o_orderkey as job_id from orders left join (select l_orderkey, max(l_shipdate) as built from lineitem where l_orderkey % 3 > 0 group by l_orderkey) b on l_orderkey = o_orderkey where built is null or built < o_orderdate + interval 60 day", prelude=False)
+def d10_stale(spark, sf_dir):
+    built = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max("l_shipdate").alias("built"))
+    return tables.stale(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.expr("o_orderdate + interval 60 days").alias("changed")), built)

@@ -32,10 +32,10 @@ def greedy(sizes, cap):
 
 
 def test_greedy_examples(spark):
-    docs = {1: [8, 7, 18, 9, 6, 12], 2: [6, 4, 9, 3, 8, 7, 5, 10, 2, 6], 3: [5, 35, 6], 4: [25, 25]}
+    docs = {1: [11, 4, 21, 3, 20, 2], 2: [7, 5, 1, 13, 12, 9, 4, 4], 3: [2, 40, 9], 4: [25, 25]}
     got = groups(partition.greedy(units(spark, docs), F.lit(25)))
     assert got == {d: greedy(s, 25) for d, s in docs.items()}
-    assert got[1] == [[8, 7], [18], [9, 6], [12]] and got[3] == [[5], [35], [6]]
+    assert got[1] == [[11, 4], [21, 3], [20, 2]] and got[3] == [[2], [40], [9]]
 
 
 def splits(sizes, k):
@@ -88,20 +88,65 @@ def test_min_cap_of_a_long_document(spark):
     assert partition.min_cap(units(spark, {1: [5, 6, 7]}), 1, F.lit(9)).first().cap == 9
 
 
+def best_of(sizes, k, cap):
+    """Brute force: the partition of least squares, the latest cuts first among equals."""
+    fair = [p for p in splits(sizes, k) if all(len(g) == 1 or sum(g) <= cap for g in p)]
+    return min(fair, key=lambda p: (sum(sum(g) ** 2 for g in p), [-len(sizes) + len(g) for g in reversed(p)]), default=None)
+
+
+def least_cap(sizes, k, upper):
+    return next((c for c in range(upper) if len(greedy(sizes, c)) <= k), upper)
+
+
 def test_plans(spark):
-    exact = {1: [3, 3, 3, 3, 12, 3, 3, 3, 3, 3, 6, 6]}
+    exact = {1: [4, 2, 4, 2, 15, 2, 4, 2, 4, 2, 7, 8]}
     got = groups(partition.plan(units(spark, exact), "num_volumes", k=5))[1]
-    assert len(got) == 5 and max(map(sum, got)) == 12
-    assert len(groups(partition.plan(units(spark, {1: [5, 5, 5]}), "num_volumes", k=5))[1]) == 3
-    both = groups(partition.plan(units(spark, {1: [10, 8, 12, 9, 7, 11, 6, 9, 8, 10], 2: [6] * 20}), "both", max_bytes=25, k=5))
+    assert len(got) == 5 and max(map(sum, got)) == 15
+    assert len(groups(partition.plan(units(spark, {1: [7, 7, 7]}), "num_volumes", k=5))[1]) == 3
+    both = groups(partition.plan(units(spark, {1: [12, 6, 13, 7, 9, 10, 8, 7, 11, 6], 2: [8] * 18}), "both", max_bytes=25, k=5))
     assert len(both[1]) == 5 and max(map(sum, both[1])) <= 25 and len(both[2]) == 5
-    largest = groups(partition.plan(units(spark, {1: [8, 7, 18, 9, 6, 12]}), "max_size", max_bytes=25))[1]
-    assert len(largest) == 4 and max(map(sum, largest)) <= 25
+    rng = random.Random(21)
+    docs = {d: [rng.randint(1, 30) for _ in range(rng.randint(1, 9))] for d in range(30)}
+    got = groups(partition.plan(units(spark, docs), "max_size", max_bytes=30))
+    for d, sizes in docs.items():
+        k = len(greedy(sizes, 30))
+        want = best_of(sizes, k, least_cap(sizes, k, 30)) if 1 < k < len(sizes) else [[x] for x in sizes] if k >= len(sizes) else [sizes]
+        assert sum(sum(g) ** 2 for g in got[d]) == sum(sum(g) ** 2 for g in want) and len(got[d]) == k
+
+
+def test_too_much_work_is_split(spark, monkeypatch):
+    docs = {1: [9, 2, 2, 30, 4, 4, 6, 1], 2: [3, 3]}
+    monkeypatch.setattr(partition, "WORK_LIMIT", 20)
+    caps = spark.createDataFrame([(1, 12), (2, 6)], "doc_id long, cap long")
+    assert {r.doc_id: r.exact for r in partition.work(units(spark, docs), caps, 6).collect()} == {1: False, 2: True}
+    got = groups(partition.balanced(units(spark, docs), caps, 6))
+    assert got == {1: split_by_hand(docs[1], 12, 6), 2: [[3], [3]]}
+
+
+def split_by_hand(sizes, cap, k):
+    spans = greedy(sizes, cap)
+    while len(spans) < k and any(len(g) > 1 for g in spans):
+        i = max((i for i, g in enumerate(spans) if len(g) > 1), key=lambda i: (sum(spans[i]), -i))
+        g = spans[i]
+        c = min(range(1, len(g)), key=lambda c: (abs(sum(g[:c]) - sum(g[c:])), c))
+        spans = [*spans[:i], g[:c], g[c:], *spans[i + 1 :]]
+    return spans
 
 
 def test_split_to(spark):
-    got = groups(units(spark, {1: [5, 1, 1, 9, 2]}).drop("vol_idx").join(partition.split_to(units(spark, {1: [5, 1, 1, 9, 2]}), F.lit(100), 3), ["doc_id", "unit_idx"]))
-    assert got[1] == [[5, 1, 1], [9], [2]]
+    rng = random.Random(9)
+    docs = {d: [rng.randint(0, 12) for _ in range(rng.randint(1, 14))] for d in range(40)}
+    u = units(spark, docs)
+    for k in (1, 4, 20):
+        got = groups(u.join(partition.split_to(u, F.lit(25), k), ["doc_id", "unit_idx"]))
+        assert got == {d: split_by_hand(s, 25, k) for d, s in docs.items()}
+
+
+def test_starts_and_moves(spark):
+    s = spark.createDataFrame([(1, p) for p in (1, 11, 21, 31, 41)], "doc_id long, start_page int")
+    starts = spark.createDataFrame([(1, 1, 1), (1, 2, 21), (1, 3, 31)], "doc_id long, vol_idx int, start_page int")
+    move = lambda v, step: {r.vol_idx: r.start_page for r in partition.moved_starts(starts, spark.createDataFrame([(1, v, step)], "doc_id long, vol_idx int, step int"), s).collect()}
+    assert move(2, -1) == {1: 1, 2: 11, 3: 31} and move(3, 1) == {1: 1, 2: 21, 3: 41} and move(2, 1) == {1: 1, 2: 21, 3: 31} and move(1, 1)[1] == 1
 
 
 def test_units_keep_totals(spark):
@@ -124,6 +169,30 @@ def test_outline_levels_and_sections(spark):
     assert s[3][3:] == ("E", "D")
 
 
+def test_deep_outline(spark):
+    raw = spark.createDataFrame([(1, i, i, f"T{i}", i) for i in range(1, 31)] + [(1, 31, 2, "back", 31)], "doc_id long, id int, level int, title string, page int")
+    o = outline.normalize(raw, spark.createDataFrame([(1, 40)], "doc_id long, page_count int"))
+    assert {r.id: (r.level, r.parent) for r in o.collect()} == {1: (1, None), **{i: (i, i - 1) for i in range(2, 31)}, 31: (2, 1)}
+    above = {(r.id, r.ancestor): r.distance for r in outline.ancestors(o).collect()}
+    assert above == {**{(i, a): i - a for i in range(2, 31) for a in range(1, i)}, (31, 1): 1}
+    tree = {r.id: r.children for r in outline.children(o).collect()}
+    assert tree[None] == [1] and tree[1] == [2, 31] and tree[30] == []
+
+
+def test_keywords(spark):
+    rows = spark.createDataFrame([("Annex A",), ("annexé",), ("Éannex",), ("(Schedule)",), ("appendix_1",), ("Encl. 2",)], "t string")
+    assert [r[0] for r in rows.select(outline.is_keyword(F.col("t"))).collect()] == [True, False, False, True, False, True]
+
+
+def test_prediction(spark):
+    kind = "doc_id long, vol_idx int, pos int, sample long, sample_plain long, full long"
+    rows = [(1, 1, p, s, 100, 1000) for p, s in enumerate([90, 50, 80, None, 70, 60])] + [(2, 1, p, 90, 100, 1000) for p in range(6)] + [(3, 1, p, 90, 0, 1000) for p in range(3)] + [(4, 1, 0, 90, None, 1000)]
+    got = {}
+    for r in ladder.predicted(spark.createDataFrame(rows, kind), 400).collect():
+        got.setdefault(r.doc_id, []).append(r.pos)
+    assert {d: sorted(p) for d, p in got.items()} == {1: [1, 3, 4, 5], 2: [2, 3, 4, 5], 3: [0, 1, 2], 4: [0]}
+
+
 def test_remap(spark):
     o = spark.createDataFrame([(1, 1, 1, 1, "P", 1, None), (1, 2, 2, 2, "a", 5, 1), (1, 3, 2, 2, "b", 12, 1), (1, 4, 3, 3, "c", 15, 3), (1, 5, 1, 1, "Q", 21, None)], "doc_id long, id int, raw_level int, level int, title string, page int, parent int")
     ranges = spark.createDataFrame([(1, 1, 10, 19), (1, 2, 20, 25)], "doc_id long, vol_idx int, start_page int, end_page int")

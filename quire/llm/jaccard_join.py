@@ -160,7 +160,7 @@ def _classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, recall
         sizes.append(own if depth == DEPTH else own.where(F.col("n") <= small))
         if depth < DEPTH:
             nodes = sets.select("sid", F.explode(F.arrays_zip(F.col(f"parent{depth + 1}").alias("parent"), F.col(f"path{depth + 1}").alias("path"))).alias("x")).select("sid", "x.parent", "x.path")
-            level = nodes.join(own.where(F.col("n") > small).select(F.col("path").alias("parent")), "parent", "left_semi").select("sid", "path")
+            level = C.materialize(nodes.join(own.where(F.col("n") > small).select(F.col("path").alias("parent")), "parent", "left_semi").select("sid", "path"), "paths")
     in_buckets = functools.reduce(DataFrame.unionByName, members).join(functools.reduce(DataFrame.unionByName, sizes), "path")
     dealt = tiled(in_buckets.join(sets.select("sid", "sketch"), "sid"), "sid", F.ceil(F.col("n") / (8 * small)))
 

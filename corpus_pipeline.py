@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 fourth masks secrets inside the texts, the last returns pieces of packed sequences.  ``run`` writes each stage's result
 as Parquet to the shared folder and reads it again as the next one's input.
 
-Cases, in every stage: null or empty texts are judged by what they hold, nothing, and stay (of those that share an id one
-stays after the second stage); a null id has no class of near duplicates and stays; other columns are carried along, up to
-the last stage; an empty table gives no rows.  Ties and repeated rows are as the operators' docstrings say.
+Cases: a null or empty text has importance 0 in the first stage and is kept or not like any other there; later stages find
+nothing in it and keep it (of rows that repeat an id and a text one stays after the second); a null id has no class of near
+duplicates and stays; other columns are carried along, up to the last stage; an empty table gives no rows.  Ties and
+repeated rows are as the operators' docstrings say.
 """
 
 from __future__ import annotations

@@ -144,6 +144,63 @@ def fine_tunable(chosen: DataFrame, target: int, mode: str = "automatic") -> Dat
     return chosen.where((~F.col("kind").isin(*LOSSLESS)) & (F.col("size") < F.lit(target) - size_band(F.lit(target))))
 
 
+#: Where in the band below the target the probes of a round aim, one at a time and four at a time.
+AIMS = {1: (0.4,), 4: (0.1, 0.35, 0.6, 0.85)}
+FINE_ROUNDS = 10
+
+
+def _on_line(x: Column) -> Column:
+    """Settings at x of the way from the fitting to the sharper ones, whole numbers, half to even."""
+    at = lambda c: F.bround(F.col(f"from_{c}") + x * (F.col(f"to_{c}") - F.col(f"from_{c}"))).cast("int")
+    return F.struct(at("dpi").alias("dpi"), at("quality").alias("quality"))
+
+
+def probes(brackets: DataFrame, target: int, parallel: int = 4) -> DataFrame:
+    """(doc_id, vol_idx, x, dpi, quality): the settings that a round of fine-tuning measures.
+
+    A bracket is (doc_id, vol_idx, from_dpi, from_quality, to_dpi, to_quality, lo_x, lo_size, hi_x, hi_size): a line of
+    settings, the share of it that fits with its size, and the share that is too big, its size null before it was
+    measured.  Probes aim into the band below the target by interpolation, or at even distances where no upper size is
+    known; settings that the bracket's ends have are left out, and where all are, the middle is tried.  A bracket within
+    the band, or with nothing between its ends, has no probes.
+    """
+    known = F.col("hi_size") > F.col("lo_size")
+    width = F.col("hi_x") - F.col("lo_x")
+    band = size_band(F.lit(target))
+    aimed = F.array(*[F.col("lo_x") + (F.lit(target) - band * f - F.col("lo_size")) / (F.col("hi_size") - F.col("lo_size")) * width for f in AIMS[parallel]])
+    even = F.array(*[F.col("lo_x") + width * (i + 1) / (parallel + 1) for i in range(parallel)])
+    ends = lambda x: (_on_line(x) == _on_line(F.col("lo_x"))) | (_on_line(x) == _on_line(F.col("hi_x")))
+    new = lambda xs: F.filter(xs, lambda x: (x > F.col("lo_x")) & (x < F.col("hi_x")) & ~ends(x))
+    wanted = new(F.when(known, aimed).otherwise(even))
+    some = F.when(F.size(wanted) > 0, wanted).otherwise(new(F.array(F.col("lo_x") + width / 2)))
+    each = brackets.where(F.col("lo_size") < F.lit(target) - band).select("*", F.explode(some).alias("x"))
+    settings = each.select("doc_id", "vol_idx", "x", _on_line(F.col("x")).alias("at"))
+    return settings.groupBy("doc_id", "vol_idx", "at").agg(F.max("x").alias("x")).select("doc_id", "vol_idx", "x", "at.dpi", "at.quality")
+
+
+def narrowed(brackets: DataFrame, measured: DataFrame, target: int) -> DataFrame:
+    """The brackets after a round: from the sharpest probe that fits to the least sharp one above it that does not.
+
+    ``measured`` is (doc_id, vol_idx, x, size), size null where a probe failed; such probes move nothing.  A round
+    measures four probes at most, so what a volume's row gathers is bounded.
+    """
+    fits = F.max(F.when(F.col("size") <= target, F.struct("x", "size")))
+    over = F.collect_list(F.when(F.col("size") > target, F.struct("x", "size")))
+    found = brackets.join(measured.groupBy("doc_id", "vol_idx").agg(fits.alias("fit"), over.alias("over")), ["doc_id", "vol_idx"], "left")
+    higher = F.col("fit.x") > F.col("lo_x")
+    lo = F.greatest("lo_x", "fit.x")
+    moved = found.withColumn("hi", F.array_min(F.filter("over", lambda o: (o["x"] > lo) & (o["x"] < F.col("hi_x"))))).withColumn("lo", F.when(higher, F.struct(F.col("fit.x").alias("x"), F.greatest("lo_size", "fit.size").alias("size"))))
+    new = {"lo_x": F.coalesce("lo.x", "lo_x"), "lo_size": F.coalesce("lo.size", "lo_size"), "hi_x": F.coalesce("hi.x", "hi_x"), "hi_size": F.when(F.col("hi").isNotNull(), F.col("hi.size")).otherwise(F.col("hi_size"))}
+    return moved.select(*[new[c].alias(c) if c in new else F.col(c) for c in brackets.columns])
+
+
+def fine_tuned(brackets: DataFrame, measure, target: int, written, parallel: int = 4, rounds: int = FINE_ROUNDS) -> DataFrame:
+    """Brackets after all rounds.  ``measure`` adds size to probes; ``written`` cuts lineage (say, a written table)."""
+    for _ in range(rounds):
+        brackets = written(narrowed(brackets, measure(probes(brackets, target, parallel)), target))
+    return brackets
+
+
 def retained(attempts: DataFrame, choice: DataFrame) -> DataFrame:
     """Attempts that are the final choice, the smallest or the lossless one; the others can go."""
     keep = choice.select("doc_id", "vol_idx", F.explode(F.array_distinct(F.array_compact(F.array("final_pos", "smallest_pos", "lossless_pos")))).alias("pos"))

@@ -1,4 +1,4 @@
-"""Documents and jobs over time: expiry, cascading deletes, lookups, downloads."""
+"""Documents and jobs over time: events, expiry, cascading deletes, lookups, downloads."""
 
 from __future__ import annotations
 
@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The levels of an event.
+LEVELS = ("info", "ok", "warn", "error")
+
+
+def events(messages: DataFrame, at: Column) -> DataFrame:
+    """Rows (key, t, level, msg) to be appended to the table of events; one of an unknown or no level is an error."""
+    level = F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("error")
+    return messages.select("key", at.alias("t"), level.alias("level"), "msg")
+
+
+def totals(sections: DataFrame) -> DataFrame:
+    """Per document: sections, protected ones, pages and known bytes."""
+    pages = F.col("end_page") - F.col("start_page") + 1
+    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.count_if("protected").alias("n_protected"), F.sum(pages).alias("pages"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("bytes"))
+
+
 def expired(last_access: DataFrame, now: Column, ttl_seconds: int, active: DataFrame) -> DataFrame:
     """Keys (key, last_access) not used for longer than the time to live, and without an active job (key)."""
     old = last_access.where(F.unix_timestamp("last_access") < F.unix_timestamp(now) - ttl_seconds)

@@ -155,6 +155,21 @@ def o3_tree(spark, sf_dir):
     return outline.children(_outline(spark, sf_dir)).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
+@register(
+    _UP
+    + """, v as (select doc_id, 1 as vol_idx, 1 as s, page_count // 2 as e from outline_pages union all select doc_id, 2, page_count // 2 + 1, page_count from outline_pages),
+    kept as (select o.doc_id, o.id, v.vol_idx from outline o join v on v.doc_id = o.doc_id and o.page between v.s and v.e),
+    given as (select doc_id, vol_idx, id from kept union select k.doc_id, k.vol_idx, u.ancestor from kept k join up u using (doc_id, id))
+    select doc_id, vol_idx, count(*) as expected from given group by doc_id, vol_idx"""
+)
+def o10_expected_count(spark, sf_dir):
+    """Entries within each half of a document, and their ancestors."""
+    half = F.expr("page_count div 2")
+    p = fx.outline_pages(spark, sf_dir)
+    ranges = p.select("doc_id", F.lit(1).alias("vol_idx"), F.lit(1).alias("start_page"), half.alias("end_page")).unionByName(p.select("doc_id", F.lit(2).alias("vol_idx"), (half + 1).alias("start_page"), F.col("page_count").alias("end_page")))
+    return outline.expected_count(outline.remap(_outline(spark, sf_dir), ranges))
+
+
 @register("select doc_id, coalesce(bool_or(page < b), false) as out_of_order from (select *, lag(page) over (partition by doc_id order by id) as b from (select * from outline where level <= 3 and page is not null) ) group by doc_id")
 def s4_out_of_order(spark, sf_dir):
     return intervals.out_of_order(_outline(spark, sf_dir), 3)
@@ -497,6 +512,41 @@ def c19_fine_tunable(spark, sf_dir):
     return ladder.fine_tunable(chosen, 1500).select("doc_id", "vol_idx", "pos")
 
 
+#: Brackets of fitting and too big settings, and sizes that grow with the settings; every third upper size is not known.
+_BRACKETS = """with brackets as (select p_partkey as doc_id, 1 as vol_idx, 96 + p_size % 30 as from_dpi, 40 + p_size % 15 as from_quality, 130 + p_size as to_dpi, 60 + p_size % 30 as to_quality,
+        0.0::double as lo_x, 900 + p_size * 4 as lo_size, 1.0::double as hi_x, case when p_partkey % 3 > 0 then 1600 + p_size * 9 end as hi_size from part),
+    points as (select *, unnest(case when hi_size is null then [0.2::double, 2.0::double / 5, 3.0::double / 5, 4.0::double / 5] else [(1500 - 150 * 0.1::double - lo_size) / (hi_size - lo_size), (1500 - 150 * 0.35::double - lo_size) / (hi_size - lo_size), (1500 - 150 * 0.6::double - lo_size) / (hi_size - lo_size), (1500 - 150 * 0.85::double - lo_size) / (hi_size - lo_size)] end) as p from brackets where lo_size < 1350),
+    tried as (select *, cast(round_even(from_dpi + p * (to_dpi - from_dpi), 0) as bigint) as dpi, cast(round_even(from_quality + p * (to_quality - from_quality), 0) as bigint) as quality from points where p > 0 and p < 1),
+    probes as (select doc_id, vol_idx, dpi, quality, max(p) as p from tried where (dpi, quality) <> (from_dpi, from_quality) and (dpi, quality) <> (to_dpi, to_quality) group by all)"""
+
+
+def _brackets(spark, sf_dir):
+    n, key = F.col("p_size"), F.col("p_partkey")
+    ends = [(96 + n % 30).alias("from_dpi"), (40 + n % 15).alias("from_quality"), (130 + n).alias("to_dpi"), (60 + n % 30).alias("to_quality")]
+    return table(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit(1).alias("vol_idx"), *ends, F.lit(0.0).alias("lo_x"), (900 + n * 4).alias("lo_size"), F.lit(1.0).alias("hi_x"), F.when(key % 3 > 0, 1600 + n * 9).alias("hi_size"))
+
+
+@register(_BRACKETS + " select doc_id, vol_idx, dpi, quality from probes", prelude=False)
+def c16_probes(spark, sf_dir):
+    return ladder.probes(_brackets(spark, sf_dir), 1500).drop("x")
+
+
+@register(
+    _BRACKETS
+    + """, sized as (select *, case when (doc_id + quality) % 9 > 0 then dpi * 5 + quality * 12 end as size from probes),
+    fits as (select doc_id, max(p) as p, arg_max(size, p) as size from sized where size <= 1500 group by doc_id),
+    over_ as (select s.doc_id, min(s.p) as p, arg_min(s.size, s.p) as size from sized s left join fits f using (doc_id) where s.size > 1500 and s.p > coalesce(f.p, 0) group by s.doc_id)
+    select b.doc_id, b.vol_idx, case when f.p is not null then greatest(b.lo_size, f.size) else b.lo_size end as lo_size, case when o.p is not null then o.size else b.hi_size end as hi_size
+    from brackets b left join fits f using (doc_id) left join over_ o using (doc_id)""",
+    prelude=False,
+)
+def c16_narrowed(spark, sf_dir):
+    """Brackets after one round whose sizes are made up from the settings; some probes fail."""
+    b = _brackets(spark, sf_dir)
+    measured = ladder.probes(b, 1500).withColumn("size", F.when((F.col("doc_id") + F.col("quality")) % 9 > 0, F.col("dpi") * 5 + F.col("quality") * 12))
+    return ladder.narrowed(b, measured, 1500).select("doc_id", "vol_idx", "lo_size", "hi_size")
+
+
 @register(_TRIES + _CHOSEN + " select distinct t.doc_id, t.vol_idx, t.pos from best b join tries t on t.doc_id = b.doc_id and t.pos in (coalesce(b.chosen_pos, b.smallest_pos), b.smallest_pos, b.lossless_pos)", prelude=False)
 def c20_retained(spark, sf_dir):
     a = _attempts(spark, sf_dir)
@@ -568,12 +618,32 @@ def j2_summarize(spark, sf_dir):
     return validate.summarize(_statuses(spark, sf_dir)).select("doc_id", "total_bytes", "n_volumes", F.size("unresolved").alias("n_unresolved"), F.size("failed").alias("n_failed"), "ready", "message")
 
 
-@register("select doc_id, vol_idx, least(floor(cast(sum(end_page - start_page + 1) over (partition by doc_id order by vol_idx) as double) * 750 / sum(end_page - start_page + 1) over (partition by doc_id)) + 50, 1000)::bigint as progress from volumes")
+@register("select doc_id, vol_idx, 50 + (1500 * sum(end_page - start_page + 1) over (partition by doc_id order by vol_idx) + sum(end_page - start_page + 1) over (partition by doc_id))::bigint // (2 * sum(end_page - start_page + 1) over (partition by doc_id))::bigint as progress from volumes")
 def j5_progress(spark, sf_dir):
     v = partition.rollup(_planned(spark, sf_dir))
     return validate.progress(v.select("doc_id", "vol_idx", F.col("vol_idx").alias("finished"), F.col("page_count").alias("pages")))
 
 
+@register("select doc_id, vol_idx, 800 + (360 * count(*) over (partition by doc_id order by vol_idx) + count(*) over (partition by doc_id)) // (2 * count(*) over (partition by doc_id)) as progress from volumes")
+def j5_check_progress(spark, sf_dir):
+    return validate.check_progress(partition.rollup(_planned(spark, sf_dir)).select("doc_id", "vol_idx", F.col("vol_idx").alias("finished")))
+
+
+@register("select user_id as key, event_id, case event_type when 'click' then 'info' when 'purchase' then 'ok' else 'error' end as level, event_type || ' ' || event_id as msg from events", prelude=False)
+def j4_events(spark, sf_dir):
+    """Messages of two known levels and of others."""
+    e = table(spark, sf_dir, "events")
+    level = F.when(F.col("event_type") == "click", "info").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") != "view", F.col("event_type"))
+    made = lifecycle.events(e.select(F.col("user_id").alias("key"), "ts", level.alias("level"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("msg")), F.col("ts"))
+    return made.select("key", F.element_at(F.split("msg", " "), -1).cast("bigint").alias("event_id"), "level", "msg")
+
+
+@register("select doc_id, count(*) as n_sections, count(*) filter (protected) as n_protected, cast(sum(end_page - start_page + 1) as bigint) as pages, cast(coalesce(sum(case when sec_idx % 4 > 0 then size_bytes end), 0) as bigint) as bytes from sections group by doc_id")
+def f13_totals(spark, sf_dir):
+    s = fx.sections(spark, sf_dir)
+    return lifecycle.totals(s.withColumn("size_bytes", F.when(F.col("sec_idx") % 4 > 0, F.col("size_bytes"))))
+
+
 @register(
     """select user_id as key from events group by user_id having epoch(max(ts)) < (select epoch(max(ts)) from events) - 3600 and user_id not in (select user_id from events where event_type = 'purchase' and value > 100)""",
     prelude=False,
@@ -666,6 +736,32 @@ def f10_volume_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.volume_file_name(F.concat(F.lit("Client "), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 90 + 1, total).alias("name"))
 
 
+@register("select o_orderkey, case when o_orderkey % 3 > 0 and o_custkey < 1000 then md5(o_orderkey::varchar) end as job, case when o_orderkey % 3 > 0 and o_custkey < 1000 then o_custkey end as number from orders where o_custkey > 0", prelude=False)
+def f7_volume_id(spark, sf_dir):
+    """Ids of volumes, some in capitals and some with a number too long."""
+    o = table(spark, sf_dir, "orders")
+    mark, number = F.md5(F.col("o_orderkey").cast("string")), F.when(F.col("o_custkey") < 1000, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("1"), F.lpad(F.col("o_custkey").cast("string"), 8, F.lit("0"))))
+    job, n = scalars.volume_id(F.concat_ws("-", F.when(F.col("o_orderkey") % 3 > 0, mark).otherwise(F.concat(mark, F.lit("G"))), number))
+    return o.where("o_custkey > 0").select("o_orderkey", job.alias("job"), n.alias("number"))
+
+
+@register(
+    f""", st as (select *, case when (doc_id + vol_idx) % 10 = 0 then 'FAIL' when estimated_bytes > {CAP} then 'OVER_LIMIT' else 'PASS' end as status from volumes),
+    checks as (select doc_id, vol_idx, count(*) as n from st, (select unnest(range(11, 26)) as i) where i < 11 + (doc_id + vol_idx) % 15 group by doc_id, vol_idx),
+    named as (select doc_id, vol_idx, n, (select string_agg('check ' || i, ', ' order by i) from (select unnest(range(11, 11 + least(n, 12))) as i)) as shown from checks)
+    select doc_id, 1 as part, vol_idx, format('Volume {{}}: pages {{}}-{{}}, {{}} bytes, {{}}', vol_idx, start_page, end_page, estimated_bytes, status) as line from st
+    union all select doc_id, 2, vol_idx, 'Failed in volume ' || vol_idx || ': ' || shown || case when n > 12 then ' … (+' || (n - 12) || ' more)' else '' end from named"""
+)
+def d11_report(spark, sf_dir):
+    """Lines of reports; up to fourteen failed checks a volume, of which twelve are named."""
+    v = partition.rollup(_planned(spark, sf_dir), CAP)
+    status = validate.volume_status((F.col("doc_id") + F.col("vol_idx")) % 10 != 0, F.col("estimated_bytes"), F.lit(CAP))
+    volumes = v.select("doc_id", "vol_idx", F.col("start_page"), "end_page", F.col("estimated_bytes").alias("size"), status.alias("status"))
+    last = 10 + (F.col("doc_id") + F.col("vol_idx")) % 15
+    checks = v.where(last > 10).select("doc_id", "vol_idx", F.explode(F.sequence(F.lit(11).cast("long"), last.cast("long"))).alias("i"))
+    return tables.report(volumes, checks.select("doc_id", "vol_idx", F.concat(F.lit("check "), F.col("i").cast("string")).alias("name"), F.lit(False).alias("ok")))
+
+
 @register("select o_orderkey as job_id from orders left join (select l_orderkey, max(l_shipdate) as built from lineitem where l_orderkey % 3 > 0 group by l_orderkey) b on l_orderkey = o_orderkey where built is null or built < o_orderdate + interval 60 day", prelude=False)
 def d10_stale(spark, sf_dir):
     built = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max("l_shipdate").alias("built"))

@@ -35,6 +35,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Add rows to the table of events; what is there is neither read nor rewritten."""
+    events.write.mode("append").parquet(path)
+
+
+def outlines(spark: SparkSession, path: str) -> DataFrame:
+    """Outlines of JSON lines (doc_id, entries of level, title, page) as rows in order, ids from 1, for ``outline.normalize``.
+
+    A document without entries has no rows; an entry without a level is of level 1.
+    """
+    raw = spark.read.schema("doc_id long, entries array<struct<level:int,title:string,page:int>>").json(path)
+    each = raw.select("doc_id", F.posexplode("entries").alias("at", "e"))
+    return each.select("doc_id", (F.col("at") + 1).alias("id"), F.coalesce("e.level", F.lit(1)).alias("level"), "e.title", "e.page")
+
+
 def write_volumes(pages: DataFrame, path: str) -> None:
     """Pages with vol_idx, one folder a volume; a volume's rows meet before they are written."""
     pages.repartition("doc_id", "vol_idx").sortWithinPartitions("doc_id", "vol_idx", "page_no").write.mode("overwrite").partitionBy("vol_idx").parquet(path)

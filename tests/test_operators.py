@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
-from quire.operators import intervals, ladder, outline, partition, validate
+from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
+from quire.sources import tables
 
 UNITS = "doc_id long, unit_idx int, sec_idx int, start_page int, end_page int, size long, protected boolean, min_size long"
 
@@ -229,3 +230,69 @@ def test_scalars(spark):
     one = spark.range(1)
     assert one.select(scalars.even_sample(F.lit(1), F.lit(10), F.lit(5))).first()[0] == [1, 3, 5, 8, 10]
     assert one.select(scalars.short_list(F.array(*[F.lit(str(i)) for i in range(14)]))).first()[0].endswith("… (+2 more)")
+
+
+def setting(bracket, x):
+    return tuple(round(a + x * (b - a)) for a, b in zip(bracket[:2], bracket[2:], strict=True))
+
+
+@pytest.mark.parametrize("parallel", [1, 4])
+def test_fine_tuning_reaches_the_band_or_a_neighbour(spark, tmp_path, parallel):
+    """Sizes that grow with the settings: at the end the size is in the band, or no setting of the line is left above it that fits."""
+    target, rng = 3_000_000, random.Random(9)
+    band = 200_000
+    lines = {d: (rng.randint(60, 120), rng.randint(20, 50), rng.randint(130, 300), rng.randint(60, 95)) for d in range(12)}
+    weight = {d: rng.uniform(0.7, 1.3) * target * 2 / (b[2] * b[3] + b[0] * b[1]) for d, b in lines.items()}
+    size = lambda d, dpi, quality: int(weight[d] * dpi * quality)
+    usable = [d for d, b in lines.items() if size(d, *b[:2]) <= target < size(d, *b[2:])]
+    assert len(usable) > 5
+    rows = [(d, 1, *lines[d], 0.0, size(d, *lines[d][:2]), 1.0, size(d, *lines[d][2:]) if d % 2 else None) for d in usable]
+    start = spark.createDataFrame(rows, "doc_id long, vol_idx int, from_dpi int, from_quality int, to_dpi int, to_quality int, lo_x double, lo_size long, hi_x double, hi_size long")
+    weights = F.create_map(*[F.lit(v) for d in usable for v in (d, weight[d])])
+    turn = itertools.count()
+
+    def written(df):
+        path = str(tmp_path / str(next(turn)))
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    measure = lambda p: p.withColumn("size", F.floor(weights[F.col("doc_id")] * F.col("dpi") * F.col("quality")))
+    done = ladder.fine_tuned(start, measure, target, written, parallel).collect()
+    assert {r.doc_id for r in done} == set(usable)
+    for r in done:
+        b = lines[r.doc_id]
+        assert r.lo_size == size(r.doc_id, *setting(b, r.lo_x)) <= target
+        if r.lo_size < target - band:
+            between = {setting(b, r.lo_x + (r.hi_x - r.lo_x) * i / 1000) for i in range(1001)}
+            assert between == {setting(b, r.lo_x), setting(b, r.hi_x)}
+
+
+def test_narrowed_ignores_failures_and_empty_rounds(spark):
+    kind = "doc_id long, vol_idx int, from_dpi int, from_quality int, to_dpi int, to_quality int, lo_x double, lo_size long, hi_x double, hi_size long"
+    start = spark.createDataFrame([(d, 1, 100, 50, 200, 90, 0.0, 10, 1.0, None) for d in (1, 2, 3)], kind)
+    measured = spark.createDataFrame([(1, 1, 0.2, 30), (1, 1, 0.4, 120), (1, 1, 0.6, 90), (1, 1, 0.8, 150), (2, 1, 0.5, None)], "doc_id long, vol_idx int, x double, size long")
+    got = {r.doc_id: (r.lo_x, r.lo_size, r.hi_x, r.hi_size) for r in ladder.narrowed(start, measured, 100).collect()}
+    assert got == {1: (0.6, 90, 0.8, 150), 2: (0.0, 10, 1.0, None), 3: (0.0, 10, 1.0, None)}
+
+
+def test_events_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "ok", "x"), ("a", "loud", "y"), ("b", None, None)], "key string, level string, msg string")
+    path = str(tmp_path / "events")
+    for _ in range(2):
+        tables.append_events(lifecycle.events(rows, F.lit("2024-01-01").cast("timestamp")), path)
+    got = sorted((r.key, r.level, r.msg or "") for r in spark.read.parquet(path).collect())
+    assert got == sorted([("a", "ok", "x"), ("a", "error", "y"), ("b", "error", "")] * 2)
+
+
+def test_outline_scan(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"doc_id": 4, "entries": [{"level": 1, "title": "A", "page": 1}, {"title": "B"}, {"level": 2, "title": "C", "page": 3}]}\n{"doc_id": 5, "entries": []}\n')
+    got = [tuple(r) for r in tables.outlines(spark, str(tmp_path / "o.json")).orderBy("doc_id", "id").collect()]
+    assert got == [(4, 1, 1, "A", 1), (4, 2, 1, "B", None), (4, 3, 2, "C", 3)]
+
+
+def test_progress_and_totals(spark):
+    done = spark.createDataFrame([(1, 1, 2, 3), (1, 2, 1, 5), (2, 1, 1, 7)], "doc_id long, vol_idx int, finished int, pages int")
+    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.progress(done).collect()} == {(1, 2): 519, (1, 1): 800, (2, 1): 800}
+    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.check_progress(done).collect()} == {(1, 2): 890, (1, 1): 980, (2, 1): 980}
+    sections = spark.createDataFrame([(1, 1, 4, True, 10), (1, 5, 5, False, None)], "doc_id long, start_page int, end_page int, protected boolean, size_bytes long")
+    assert [tuple(r) for r in lifecycle.totals(sections).collect()] == [(1, 2, 1, 5, 10)]

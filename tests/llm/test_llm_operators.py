@@ -1,10 +1,13 @@
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -350,3 +353,135 @@ def test_secret_kinds(spark):
 
     for t in texts.values():
         assert regex.search(secret_scan.HINT, "".join(t))
+
+
+def blank_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_quality_against_brute_force(spark):
+    """Both models, the importance, the variate and the selection, by plain counting."""
+    rng = random.Random(8)
+    usual, junk = [f"w{i}" for i in range(12)], [f"J{i}!" for i in range(4)]  # so few that no two n-grams share a bucket
+    text = lambda i: " ".join(rng.choice(junk if rng.random() < (0.5 if i % 3 == 0 else 0.01) else usual) for _ in range(rng.choice([3, 40, 160, 700])))
+    rows = [(i, text(i)) for i in range(300)] + [(300, None), (301, ""), (302, "one")]
+    docs, marks = make(spark, rows), [(i, int(i % 3 > 0), int(i % 10 == 1)) for i in range(0, 200)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    good = {i for i, q, t in marks if q and not t}
+    grams = lambda t: (lambda w: [w, list(itertools.pairwise(w))])(blank_words(t))
+    raw, target = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t in rows:
+        for kind, found in enumerate(grams(t)):
+            raw[kind].update(found)
+            if i in good:
+                target[kind].update(found)
+    ratio, strong = [{}, {}], 0.0
+    for kind in (0, 1):
+        part = sum(target[kind].values()) / sum(raw[kind].values())
+        ratio[kind] = {g: math.log((target[kind][g] + 64 * part) / ((n + 64) * part)) for g, n in raw[kind].items()}
+        strong += sum(n * math.exp(ratio[kind][g]) for g, n in raw[kind].items() if ratio[kind][g] < quality.STRONG)
+    rate = strong / sum(sum(c.values()) for c in raw)
+    assert rate > 0
+    want = {}
+    for i, t in rows:
+        values = [ratio[kind][g] for kind, found in enumerate(grams(t)) for g in found]
+        n, bad = len(values), sum(v < quality.STRONG for v in values)
+        surplus = bad - n * rate - bad * math.log(bad / (n * rate)) if bad > n * rate else 0.0
+        want[i] = (n, sum(values) * 150 / max(n, 150) + surplus)
+    got = {r.doc_id: r for r in quality.select(docs, labels).collect()}
+    assert {i: r.n_grams for i, r in got.items()} == {i: n for i, (n, _) in want.items()}
+    for i, (_, value) in want.items():
+        assert got[i].log_importance == pytest.approx(value, abs=1e-6)
+    k = round(len(good) / len(marks) * len(rows))
+    least = sorted((r.key for r in got.values()), reverse=True)[k - 1]
+    assert {i for i, r in got.items() if r.selected} == {i for i, r in got.items() if r.key >= least}
+    many = quality.score(make(spark, [(i, "") for i in range(20_000)]), quality.fit(docs, labels)).toPandas()["key"] / quality.SCALE
+    assert many.mean() == pytest.approx(0.5772, abs=0.04) and many.std() == pytest.approx(math.pi / math.sqrt(6), abs=0.04)
+
+
+def test_lm_score_against_brute_force(spark, odd):
+    """Counts, cells of the deleted tokens and log probabilities, by plain counting."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    texts = [(i, [w.translate(LOWER) for w in blank_words(t)] + [None]) for i, t in odd]
+    chain = lambda w: list(zip(["<start>", *w[:-1]], w, strict=True))
+
+    def counts(own):
+        word, pair, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for w in own:
+            word.update(w)
+            pair.update(chain(w))
+            before.update(v for v, _ in chain(w))
+        return word, pair, before
+
+    def parts(v, w, word, pair, before, total):
+        c = before[v]
+        bucket = min(c.bit_length(), lm_scoring.BUCKETS_OF_CONTEXT - 1)
+        return bucket, pair[v, w] / max(c, 1), word[w] / max(total, 1)
+
+    train = [w for i, w in texts if fold(i) != 1]
+    kept, deleted = [w for i, w in texts if fold(i) not in (1, 4)], [w for i, w in texts if fold(i) == 4]
+    word, pair, before = counts(kept)
+    cells = collections.Counter()
+    exact = []
+    for w in deleted:
+        for v, x in chain(w):
+            b, p2, p1 = parts(v, x, word, pair, before, sum(word.values()))
+            cells[b, int(lm_scoring._cell(np.array([p2]))[0]), int(lm_scoring._cell(np.array([p1]))[0])] += 1
+            exact.append((b, p2, p1))
+    word, pair, before = counts(train)
+    total, types = sum(word.values()), len(word)
+    weights = lm_scoring.learn_weights(pd.DataFrame([(*c, n) for c, n in cells.items()], columns=["b", "p2", "p1", "n"]), types)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+    # weights learned on whole probabilities make the deleted tokens hardly likelier than those learned on cells
+    likely = lambda ws: sum(math.log10(ws[b] @ [p2, p1, 1 / (types + 1)]) for b, p2, p1 in exact)
+    best = np.tile([0.45, 0.45, 0.1], (lm_scoring.BUCKETS_OF_CONTEXT, 1))
+    for b in {b for b, _, _ in exact}:
+        p = np.array([[p2, p1, 1 / (types + 1)] for c, p2, p1 in exact if c == b])
+        for _ in range(60):
+            share = best[b] * p
+            best[b] = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+    assert likely(weights) >= likely(best) - 0.01 * abs(likely(best))
+    want = []
+    for i, w in texts:
+        found = [(weights[b] @ [p2, p1, 1 / (types + 1)]) for b, p2, p1 in (parts(v, x, word, pair, before, total) for v, x in chain(w))]
+        want.append((str(i), round(sum(map(math.log10, found)), 4)))
+    part = common.fold(F.col("doc_id"))
+    rows = lm_scoring.score(make(spark, odd), train=part != 1, deleted=part == 4).collect()
+    got = [(str(r.doc_id), r.score) for r in rows]
+    key = lambda x: (x[0], x[1])
+    for (i, a), (j, b) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert i == j and a == pytest.approx(b, abs=2e-4)
+
+
+def test_field_against_brute_force():
+    """Decoding and the gradient's normaliser over all labellings of short pages."""
+    rng = np.random.default_rng(5)
+    field = html_extract.Field()
+    names = [f"f{i}" for i in range(20)]
+    field.weights = {f: rng.normal(size=2) * 2 for f in names}
+    field.moves = rng.normal(size=(2, 2)) * 2
+    assert field.decode([]) == []
+    for n in (1, 2, 3, 6, 9):
+        for _ in range(20):
+            rows = [[names[i] for i in rng.choice(20, size=rng.integers(0, 5), replace=False)] + ["unseen"] for _ in range(n)]
+            value = lambda labels: sum(field.weights[f][y] for row, y in zip(rows, labels, strict=True) for f in row if f != "unseen") + sum(field.moves[a, b] for a, b in itertools.pairwise(labels))  # noqa: E731, B023
+            best = max(value(labels) for labels in itertools.product((0, 1), repeat=n))
+            assert value(field.decode(rows)) == pytest.approx(best)
+
+
+def test_field_learns_a_chain():
+    """Labels that only the first block tells: all others look alike and have the label of the one before."""
+    rng = random.Random(6)
+    pages = []
+    for _ in range(60):
+        label, rows, labels = 0, [], []
+        for i in range(12):
+            if i == 0:
+                label = rng.randint(0, 1)
+                rows.append([f"begins_{label}"])
+            else:
+                rows.append(["plain"])
+            labels.append(label)
+        pages.append((rows, labels))
+    field = html_extract.Field().fit(pages[:40])
+    assert all(field.decode(rows) == labels for rows, labels in pages[40:])

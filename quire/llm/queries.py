@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, embedding_dedup, html_extract, jaccard_join, language_id, lm_scoring, packing, quality, secret_scan, suffix_dedup
+from quire.llm import byte_bpe, decontam, embedding_dedup, html_extract, jaccard_join, language_id, lm_scoring, packing, quality, secret_scan, suffix_dedup
 from quire.llm.common import fold
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +67,16 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.decode(coded, ranks, keep=("packed",))
+    n_tokens = (F.octet_length("packed") / 4).cast("long")
+    return back.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality, op4_decontam, op5_lm_scoring, op6_suffix_dedup, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_html_extract)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality, op4_decontam, op5_lm_scoring, op6_suffix_dedup, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_html_extract, op12_byte_bpe)
 }
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -18,7 +18,9 @@ word of any length is folded whole, with work near linear in its length; other c
 from __future__ import annotations
 
 import base64
+import itertools
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,13 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text whose distinct words are folded together.
-BATCH = 48 << 20
-#: Lists of the rank map; Spark's own hash of a part chooses one (its seed is a fixed value).
-SLOTS, SEED = 1 << 16, 42
+BATCH = 16 << 20
+#: The rank map is so many lists as these bits tell; Spark's own hash of a part chooses one (its seed is a fixed value).
+SLOT_BITS, SEED = 16, 42
 #: Words of more bytes than a window are searched window by window for tokens of at most ``SHORT`` bytes; for each longer
 #: token (some hundreds) the whole word is searched.
 WINDOW, SHORT = 64, 16
-ENCODED = "doc_id long, ids array<int>, packed binary"
 
 
 def char(token: int) -> str:
@@ -59,7 +60,7 @@ class Ranks:
         size = max(self.ranks.values()) + 1
         self.pieces, self.chars, self.pairs = [b""] * size, [""] * size, [""] * size
         self.long: list[dict] = []
-        slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+        slots: list[dict[str, int]] = [{} for _ in range(1 << SLOT_BITS)]
         for token, rank in self.ranks.items():
             self.pieces[rank], self.chars[rank] = token, char(rank)
             if len(token) > 1:
@@ -70,7 +71,7 @@ class Ranks:
                 key = "".join(char(self.ranks[token[i : i + 1]]) for i in range(len(token)))
                 if len(token) > SHORT:
                     self.long.append({"part": key, "rank": rank})
-                slots[xxhash.xxh64(key.encode(), seed=SEED).intdigest() % SLOTS][key] = rank
+                slots[xxhash.xxh64(key.encode(), seed=SEED).intdigest() >> (64 - SLOT_BITS)][key] = rank
         self.slots = slots
         self.bytes = "".join(char(self.ranks[bytes([b])]) for b in range(256))
 
@@ -85,28 +86,29 @@ class Ranks:
         return parts
 
     def literal(self) -> Column:
-        """The rank map and, by rank, pairs and merged characters."""
+        """The rank map; by rank, pairs and merged characters; by length of a word, where parts of it lie."""
+        places = lambda most: [[{"at": i, "long": k} for i in range(1, n) for k in range(2, min(most, n - i + 1) + 1)] for n in range(WINDOW + 1)]
         parse = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to a literal before anything runs
-        return F.struct(parse(self.slots, "array<map<string,int>>").alias("slots"), parse(self.pairs, "array<string>").alias("pairs"), parse(self.chars, "array<string>").alias("chars"), parse(self.long, "array<struct<part:string,rank:int>>").alias("long"))
+        return F.struct(parse(self.slots, "array<map<string,int>>").alias("slots"), parse(self.pairs, "array<string>").alias("pairs"), parse(self.chars, "array<string>").alias("chars"), parse(self.long, "array<struct<part:string,rank:int>>").alias("long"), *(parse(places(most), "array<array<struct<at:int,long:int>>>").alias(name) for name, most in (("whole", WINDOW), ("short", SHORT))))
 
     def fold(self, word: Column, table: Column) -> Column:
         """A word as the characters of its tokens."""
 
         def rank(part: Column) -> Column:
-            return F.try_element_at(F.get(table["slots"], F.pmod(F.xxhash64(part), F.lit(SLOTS)).cast("int")), part)
+            return F.try_element_at(F.get(table["slots"], F.shiftrightunsigned(F.xxhash64(part), 64 - SLOT_BITS).cast("int")), part)
 
-        def within(s: Column, most: int) -> Column:
-            n = F.length(s)
-            return F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(most), n - i + 1)), lambda k: rank(F.substr(s, i, k)))))
+        def within(s: Column, most: str) -> Column:
+            parts = F.transform(F.get(table[most], F.length(s)), lambda p: F.substr(s, p["at"], p["long"]))
+            return F.transform(parts, rank)
 
         def of_long(s: Column) -> Column:
             starts = F.sequence(F.lit(1), F.length(s), F.lit(WINDOW - SHORT))
             windows = F.array_distinct(F.transform(starts, lambda i: F.substr(s, i, F.lit(WINDOW))))
-            short = F.flatten(F.transform(windows, lambda w: F.when(F.length(w) > 1, within(w, SHORT)).otherwise(F.array().cast("array<int>"))))
+            short = F.flatten(F.transform(windows, lambda w: F.when(F.length(w) > 1, within(w, "short")).otherwise(F.array().cast("array<int>"))))
             return F.concat(short, F.transform(F.filter(table["long"], lambda t: F.contains(s, t["part"])), lambda t: t["rank"]))
 
         def merged(s: Column) -> Column:
-            parts = F.when(F.length(s) > WINDOW, of_long(s)).otherwise(within(s, WINDOW))
+            parts = F.when(F.length(s) > WINDOW, of_long(s)).otherwise(within(s, "whole"))
             found = F.sort_array(F.array_distinct(F.array_compact(parts)))
             return F.aggregate(found, s, lambda a, r: F.replace(a, F.get(table["pairs"], r), F.get(table["chars"], r)))
 
@@ -154,59 +156,78 @@ def _split(words_of: Words, batch: int):
         ids: list = []
         counts: list[int] = []
         codes: list[np.ndarray] = []
-        place: dict[str, int] = {}
         size = 0
 
         def take() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.zeros(0, dtype="<i4")
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, dtype="<i8").tobytes()], pa.binary()), pa.array([list(place)], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())], schema=schema)
 
+        place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 words = find(text)
-                codes.append(np.array([place.setdefault(w, len(place)) for w in words], dtype="<i4"))
+                codes.append(np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)))
                 ids.append(key)
                 counts.append(len(words))
                 size += len(text)
                 if size >= batch:
                     yield take()
-                    ids, counts, codes, place, size = [], [], [], {}, 0
+                    ids, counts, codes, size = [], [], [], 0
+                    place = defaultdict(itertools.count().__next__)
         if ids:
             yield take()
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces_of(ids: np.ndarray, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
+
+
+#: What ``encode`` can give of a text: its ids, the same as little-endian unsigned 32-bit integers, and its bytes by decoding them.
+FORMS = {"ids": "array<int>", "packed": "binary", "decoded": "binary"}
+
+
+def _gather(forms: tuple[str, ...], pieces: list[bytes]):
     """Ids of each document from the tokens of the distinct words."""
-    for b in batches:
-        for row in range(b.num_rows):
-            ids, counts, words, codes = (b.column(k)[row] for k in range(4))
-            words = words.as_py()
-            flat = tokens_of("".join(words)).astype("<i4")
-            long = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            first = np.cumsum(long) - long
-            codes = np.frombuffer(codes.as_py(), dtype="<i4")
-            ends = np.cumsum(np.frombuffer(counts.as_py(), dtype="<i8"))
-            keys = ids.as_py()
-            done = at = 0
-            while done < len(keys):  # about a million words of documents at a time
-                stop = max(done + 1, int(np.searchsorted(ends, at + 1_000_000, side="right")))
-                own = codes[at : ends[stop - 1]]
-                n = long[own]
-                upto = np.cumsum(n)
-                out = flat[np.repeat(first[own] - (upto - n), n) + np.arange(int(n.sum()))]
-                cuts = np.append(0, upto)[np.append(0, ends[done:stop] - at)]
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out, pa.int32()))
-                raw = out.tobytes()
-                packed = pa.array([raw[4 * a : 4 * z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[done:stop], pa.int64()), lists, packed], names=["doc_id", "ids", "packed"])
-                at, done = int(ends[stop - 1]), stop
-
-
-def encode(docs: DataFrame, ranks: str, pattern: str, *, batch: int = BATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, packed) of every row: the ids of its text, and the same as little-endian unsigned 32-bit integers.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                words = b.column(2)[row].values.to_pylist()
+                flat = tokens_of("".join(words)).astype("<i4")
+                long = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                del words
+                first = np.cumsum(long) - long
+                codes = np.frombuffer(b.column(3)[row].as_py(), dtype="<i4")
+                ends = np.cumsum(np.frombuffer(b.column(1)[row].as_py(), dtype="<i8"))
+                keys = b.column(0)[row].as_py()
+                done = at = 0
+                while done < len(keys):  # about 200,000 words of documents at a time
+                    stop = max(done + 1, int(np.searchsorted(ends, at + 200_000, side="right")))
+                    own = codes[at : ends[stop - 1]]
+                    n = long[own]
+                    upto = np.cumsum(n)
+                    out = flat[np.repeat(first[own] - (upto - n), n) + np.arange(int(n.sum()))]
+                    cuts = np.append(0, upto)[np.append(0, ends[done:stop] - at)]
+                    spans = list(itertools.pairwise(cuts.tolist()))
+                    columns = []
+                    for form in forms:
+                        if form == "ids":
+                            columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out, pa.int32())))
+                        elif form == "packed":
+                            columns.append(pa.array([out[a:z].tobytes() for a, z in spans], pa.binary()))
+                        else:
+                            columns.append(pa.array([_pieces_of(out[a:z], pieces) for a, z in spans], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[done:stop], pa.int64()), *columns], names=["doc_id", *forms])
+                    at, done = int(ends[stop - 1]), stop
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, *, forms: tuple[str, ...] = ("ids",), batch: int = BATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id and the ``forms`` asked for) of every row.
 
     ``ranks`` is a file of tiktoken's kind, read by the driver; ``pattern`` splits texts into words and must match all of them.
     """
@@ -216,18 +237,17 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, batch: int = BATCH, doc
     split = source.mapInArrow(_split(Words(pattern), batch), "doc_ids array<long>, counts binary, words array<string>, codes binary")
     # an array of one binds the literals, so that they stand in the plan once
     folded = F.get(F.transform(table, lambda t: F.transform("words", lambda w: merges.fold(w, t))), F.lit(0))
-    return split.select("doc_ids", "counts", folded.alias("words"), "codes").mapInArrow(_gather, ENCODED)
+    schema = ", ".join(["doc_id long", *(f"{f} {FORMS[f]}" for f in forms)])
+    return split.select("doc_ids", "counts", folded.alias("words"), "codes").mapInArrow(_gather(forms, merges.pieces), schema)
 
 
-def decode(encoded: DataFrame, ranks: str, *, doc_id: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept columns, decoded): the pieces of the ids, concatenated."""
+def decode(encoded: DataFrame, ranks: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(doc_id, decoded): the pieces of the ids, concatenated."""
     pieces = Ranks(ranks).pieces
-    source = encoded.select(doc_id, *keep, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [b"".join(map(pieces.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values, pa.binary())], names=[*b.schema.names[:-1], "decoded"])
+            values = [_pieces_of(x.values.to_numpy(), pieces) if x.is_valid else b"" for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary())], names=["doc_id", "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, decoded binary")
+    return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")

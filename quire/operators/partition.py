@@ -6,6 +6,11 @@ volume is a run of units.  A run of one unit may exceed the cap, longer runs may
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,28 +86,27 @@ def min_cap(units: DataFrame, k: int | DataFrame, upper: Column | None = None) -
     bound = facts.withColumn("upper", (F.least(share + 1 + F.col("largest"), F.col("total")) if upper is None else upper).cast("long"))
     state = bound.withColumn("lower", F.least("upper", F.when(F.col("largest") <= share, share).otherwise(F.lit(0))).cast("long"))
 
-    def needed(limit: Column) -> Column:
-        start = F.struct(F.lit(True).alias("closed"), F.lit(0).cast("long").alias("filled"), F.lit(0).alias("n"))
-
-        def step(s: Column, size: Column) -> Column:
-            begins = (size > limit) | s["closed"] | (s["filled"] + size > limit)
-            return F.struct((size > limit).alias("closed"), F.when(begins, size).otherwise(s["filled"] + size).alias("filled"), (s["n"] + begins.cast("int")).alias("n"))
-
-        return F.aggregate("sizes", start, step, lambda s: s["n"])
+    def halve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            caps = []
+            for upto, volumes, low, high in zip(frame["upto"], frame["k"], frame["lower"], frame["upper"], strict=True):
+                before = [0, *upto.tolist()]
+                while low < high:
+                    middle = (low + high) // 2
+                    low, high = (low, middle) if _fits(before, middle, volumes) else (middle + 1, high)
+                caps.append(high)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "cap": caps})
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = s["lo"] + F.shiftright(s["hi"] - s["lo"], 1)
-        fits = needed(middle) <= F.col("k")
-        return F.struct(F.when(fits, s["lo"]).otherwise(F.least(middle + 1, s["hi"])).alias("lo"), F.when(fits, middle).otherwise(s["hi"]).alias("hi"))
+    return state.select("doc_id", "upto", "k", "lower", "upper").mapInPandas(halve, f"doc_id {state.schema['doc_id'].dataType.simpleString()}, cap long")
 
-    first = F.struct(F.col("lower").alias("lo"), F.col("upper").alias("hi"))
-    rounds = F.sequence(F.lit(1), F.length(F.bin(F.col("upper") - F.col("lower"))))
-    return state.select("doc_id", F.aggregate(rounds, first, halve, lambda s: s["hi"]).alias("cap"))
 
-
-def _upto(i: Column) -> Column:
-    """Bytes of the first i units."""
-    return F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0).cast("long"))
+def _fits(before: list[int], cap: int, k: int) -> bool:
+    """Whether greedy filling under a cap needs at most k volumes; ``before`` are the bytes before each unit, and all."""
+    at, n = 0, len(before) - 1
+    while at < n and k > 0:
+        at = max(at + 1, bisect_right(before, before[at] + cap) - 1)
+        k -= 1
+    return at >= n
 
 
 def work(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
@@ -110,51 +114,83 @@ def work(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
 
     Work is units times volumes times the longest run; beyond WORK_LIMIT an exact partition is not tried.
     """
-    rows = _listed(units, k).join(caps.select("doc_id", "cap"), "doc_id")
+    rows = _listed(units, k).join(caps.select("doc_id", "cap"), "doc_id").select("doc_id", "sizes", "upto", "n", "k", "cap")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def earliest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            first = []
+            for upto, cap in zip(frame["upto"], frame["cap"], strict=True):
+                before = np.append(0, upto)
+                # running sums don't fall; a unit over the cap begins its own run
+                first.append(np.minimum(np.searchsorted(before[:-1], before[1:] - cap, side="left"), np.arange(len(upto))) + 1)
+            yield frame.assign(first=first)
+
+    found = rows.mapInPandas(earliest, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", first array<int>")
+    longest = F.array_max(F.transform("first", lambda s, i: i + 2 - s))
+    total = F.col("n").cast("long") * F.col("k") * longest
+    return found.withColumn("work", total).withColumn("exact", (total <= WORK_LIMIT) | (F.col("k") <= 1) | (F.col("k") >= F.col("n")))
 
-    def earliest(i: Column) -> Column:
-        """Halving between 1 and i: running sums don't fall."""
-        bits = F.sequence(F.lit(1), F.length(F.bin(i.cast("long"))))
 
-        def halve(s: Column, _: Column) -> Column:
-            middle = F.shiftright(s["lo"] + s["hi"], 1)
-            fits = _upto(i) - _upto(middle - 1) <= F.col("cap")
-            return F.struct(F.when(fits, s["lo"]).otherwise(F.least(middle + 1, s["hi"])).alias("lo"), F.when(fits, middle).otherwise(s["hi"]).alias("hi"))
+def _upto(i: Column) -> Column:
+    """Bytes of the first i units."""
+    return F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0).cast("long"))
 
-        return F.aggregate(bits, F.struct(F.lit(1).alias("lo"), i.alias("hi")), halve, lambda s: s["hi"])
 
-    found = _settled(rows.withColumn("first", F.transform(F.sequence(F.lit(1), F.col("n")), earliest)))
-    longest = F.array_max(F.transform("first", lambda s, i: i + 2 - s))
-    total = F.col("n").cast("long") * F.col("k") * longest
-    return found.withColumn("work", total).withColumn("exact", (total <= WORK_LIMIT) | (F.col("k") <= 1) | (F.col("k") >= F.col("n")))
+def _least_squares(upto: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Where the k runs begin (numbers of units before them), 1 < k < units; ``first`` as in ``work``.
+
+    One layer a volume.  ``ways[e]`` is the least cost of the first e units; a layer looks at all last runs of all e at
+    once, a table of units by longest run, which WORK_LIMIT bounds.  Rows of it go from the latest cut to the earliest,
+    and the first least cost is taken, so the later cut wins.
+    """
+    n = len(first)
+    before = np.append(0, upto)
+    # a sum of squares is no larger than the square of the sum
+    kind = np.int64 if int(before[-1]) < 3_000_000_000 else object
+    before, never = before.astype(kind), 1 << 62 if kind is np.int64 else 1 << 200
+    ends = np.arange(1, n + 1)
+    cuts = ends[:, None] - 1 - np.arange(int((ends - first).max()) + 1)
+    inside = cuts >= first[:, None] - 1
+    cuts = np.maximum(cuts, 0)
+    cost = (before[ends][:, None] - before[cuts]) ** 2
+    ways = np.full(n + 1, never, dtype=kind)
+    ways[0] = 0
+    back = np.zeros((k + 1, n + 1), dtype=np.int64)
+    for g in range(1, k + 1):
+        total = np.where(inside & (ways[cuts] < never), ways[cuts] + cost, never)
+        best = np.argmin(total, axis=1)
+        back[g, 1:] = cuts[ends - 1, best]
+        ways = np.append(np.array([never], dtype=kind), total[ends - 1, best])
+    out, end = [], n
+    for g in range(k, 0, -1):
+        end = int(back[g, end])
+        out.append(end)
+    return np.array(out[::-1], dtype=np.int64)
 
 
 def balanced(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
     """Exactly k volumes of each document, runs of two units or more within the cap, least sum of squared sizes.
 
-    A shortest path of k layers, folded within each document's row: a node is a number of units, its way the starts of
-    the volumes up to there.  On equal cost the later cut wins.  k at or above the number of units gives single units,
-    k of 1 or less one volume.  The fold is bounded by WORK_LIMIT; documents beyond are filled greedily and split
-    (``split_to``), which gives other volumes.  ``caps`` is (doc_id, cap), ``k`` one number or (doc_id, k).
+    A shortest path of k layers for each document by itself, vectorised within its row; on equal cost the later cut
+    wins.  k at or above the number of units gives single units, k of 1 or less one volume.  The path is bounded by
+    WORK_LIMIT; documents beyond are filled greedily and split (``split_to``), which gives other volumes.  ``caps`` is
+    (doc_id, cap), ``k`` one number or (doc_id, k).
     """
     rows = work(units, caps, k)
-    cost = lambda a, b: (_upto(b) - _upto(a)).cast("decimal(18,0)") * (_upto(b) - _upto(a)).cast("decimal(18,0)")
-    way = "struct<cost:decimal(38,0),starts:array<int>>"
-    nodes = F.sequence(F.lit(1), F.col("n"))
-    begin = F.transform(nodes, lambda i: F.when((i == 1) | (_upto(i) <= F.col("cap")), F.struct(cost(F.lit(0), i).cast(BIG).alias("cost"), F.array(F.lit(1)).alias("starts"))).cast(way))
-
-    def layer(ways: Column, g: Column) -> Column:
-        def to(i: Column) -> Column:
-            cuts = F.sequence(F.greatest(F.get("first", i - 1), g), i)
-            open_ = F.filter(cuts, lambda s: F.get(ways, s - 2).isNotNull())
-            best = F.array_min(F.transform(open_, lambda s: F.struct((F.get(ways, s - 2)["cost"] + cost(s - 1, i)).cast(BIG).alias("cost"), (-s).alias("late"))))
-            return F.when(i >= g, F.struct(best["cost"].alias("cost"), F.concat(F.get(ways, -best["late"] - 2)["starts"], F.array(-best["late"])).alias("starts"))).cast(way)
-
-        return F.transform(F.transform(nodes, to), lambda w: F.when(w["cost"].isNotNull(), w))
-
-    last = F.element_at(F.aggregate(F.sequence(F.lit(2), F.col("k")), begin, layer), -1)["starts"]
-    starts = F.when(F.col("k") >= F.col("n"), nodes).when(F.col("k") <= 1, F.array(F.lit(1))).otherwise(last)
-    found = rows.where("exact").select("doc_id", F.explode(starts).alias("unit_idx"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, starts = [], []
+            for doc_id, upto, first, volumes in zip(frame["doc_id"], frame["upto"], frame["first"], frame["k"], strict=True):
+                n = len(first)
+                own = np.arange(n) if volumes >= n else np.zeros(1, dtype=np.int64) if volumes <= 1 else _least_squares(np.asarray(upto), np.asarray(first, dtype=np.int64), int(volumes))
+                ids.append(np.full(len(own), doc_id))
+                starts.append(own + 1)
+            if ids:
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "unit_idx": np.concatenate(starts)})
+
+    found = rows.where("exact").select("doc_id", "upto", "first", "k").mapInPandas(solve, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, unit_idx int")
     # a run is no longer than its document, so documents that can't be too much work are told by n and k alone
     large = rows.where((F.col("n").cast("long") * F.col("n") * F.col("k") > WORK_LIMIT) & ~F.col("exact")).select("doc_id", "cap", "k")
     split = split_to(units.join(large.select("doc_id", "cap"), "doc_id"), F.col("cap"), large.select("doc_id", "k"))

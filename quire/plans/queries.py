@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import scalars
-from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
+from quire.operators import finetune, intervals, ladder, lifecycle, outline, partition, validate
 from quire.plans import fixtures as fx
 from quire.sources import tables
 from quire.sources.tables import table
@@ -547,6 +547,32 @@ def c16_narrowed(spark, sf_dir):
     return ladder.narrowed(b, measured, 1500).select("doc_id", "vol_idx", "lo_size", "hi_size")
 
 
+#: What a document weighs under settings: the bytes of so much of its text as they leave over.
+_FULL = 200 * 95
+
+
+def _kept(text, n, dpi, quality, share, alt_dpi, alt_quality):
+    """Bytes of what settings leave of a text of n characters, a share of which has other settings."""
+    left = F.expr(f"(({n} - (({n} * {share}) div 1000)) * {dpi} * {quality}) div {_FULL}") + F.coalesce(F.expr(f"((({n} * {share}) div 1000) * {alt_dpi} * {alt_quality}) div {_FULL}"), F.lit(0))
+    return F.octet_length(F.substring(F.col(text), F.lit(1), left.cast("int"))).cast("bigint")
+
+
+@register()
+def c16_fine_tuning(spark, sf_dir):
+    """The whole search over every document that an image step makes fit; its sizes are those of its text cut down."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text").cast("bigint"))
+    steps = ladder.ladder(spark).where("kind = 'images'")
+    weighed = docs.crossJoin(F.broadcast(steps)).withColumn("size", _kept("text", "n", "dpi", "quality", "0", "0", "0"))  # five steps
+    tries = tables.written(weighed.select("doc_id", F.lit(1).alias("vol_idx"), "pos", "kind", "grayscale", "dpi", "quality", "size"), "attempts")
+    chosen = ladder.choose(tries, 1500).where("chosen_pos is not null").select("doc_id", "vol_idx", F.col("chosen_pos").alias("pos"), F.lit(1500).cast("bigint").alias("target"))
+
+    def measure(probes):
+        flat = probes.select("doc_id", "vol_idx", "x", "at", "at.*")
+        return flat.join(docs, "doc_id").select("doc_id", "vol_idx", "x", "at", _kept("text", "n", "dpi", "quality", "alt_share", "alt_dpi", "alt_quality").alias("size"))
+
+    return finetune.tuned(finetune.begin(tries, chosen), measure, lambda df: tables.written(df, "fine-tuning"))
+
+
 @register(_TRIES + _CHOSEN + " select distinct t.doc_id, t.vol_idx, t.pos from best b join tries t on t.doc_id = b.doc_id and t.pos in (coalesce(b.chosen_pos, b.smallest_pos), b.smallest_pos, b.lossless_pos)", prelude=False)
 def c20_retained(spark, sf_dir):
     a = _attempts(spark, sf_dir)

@@ -1,9 +1,10 @@
 """Byte-level BPE: ranked merges folded over distinct words by higher-order functions, and decoding.
 
-A task cuts its texts into words by the tokenizer's pattern and lists each word once (``batch`` characters of text at a
-time), Spark folds the merges over the list, and the ids are dealt to the words' places again.  Nothing is shuffled,
-counted beforehand or kept between tasks, so a hot word or source costs no more than others and a lost executor loses
-only its own tasks.
+A task cuts its texts into words by the tokenizer's pattern and lists each word once, Spark folds the merges over the
+list, and the ids are dealt to the words' places again.  Texts flow in batches of ``BATCH`` characters; a word that a
+batch before has listed is not listed again, until a task has ``WORDS`` of them and begins anew, which bounds its memory
+and changes no result.  Nothing is shuffled, counted beforehand or kept between tasks, so a hot word or source costs no
+more than others and a lost executor loses only its own tasks.
 
 The fold: every token is one character, so a word of n bytes is n characters.  A merge can only matter to a word that
 holds its bytes, so all parts of the word are looked up in the rank map, a literal of lists by hash of the part.  Merges
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import itertools
 import json
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -31,8 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text whose distinct words are folded together.
-BATCH = 16 << 20
+#: Characters of text whose new words are folded together, and words that a task remembers at least before it begins anew.
+BATCH, WORDS = 4 << 20, 1 << 20
 #: The rank map is so many lists as these bits tell; Spark's own hash of a part chooses one (its seed is a fixed value).
 SLOT_BITS, SEED = 16, 42
 #: Words of more bytes than a window are searched window by window for tokens of at most ``SHORT`` bytes; for each longer
@@ -136,8 +138,12 @@ class Words:
         self.odd = f"[{_ranges(odd)}]" if odd else "(?!)"
 
     def finder(self) -> Callable[[str], list[str]]:
-        plain, strict, odd = regex.compile(self.pattern).findall, regex.compile(self.strict, regex.V1).findall, regex.compile(self.odd).search
-        return lambda text: plain(text) if text.isascii() or not odd(text) else strict(text)
+        plain, strict, odd = regex.compile(self.pattern).findall, regex.compile(self.strict, regex.V1).findall, re.compile(self.odd).search
+        # among ASCII characters the classes are those of the standard library, which is faster
+        inside = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), self.pattern)
+        simple = inside.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        ascii_ = re.compile(simple, re.ASCII).findall if r"\p" not in simple and r"\P" not in simple and "(?i" not in simple else plain
+        return lambda text: ascii_(text) if text.isascii() else plain(text) if not odd(text) else strict(text)
 
 
 def _ranges(chars: str) -> str:
@@ -147,9 +153,9 @@ def _ranges(chars: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(code[np.append(0, cut + 1)], code[np.append(cut, len(code) - 1)], strict=True))
 
 
-def _split(words_of: Words, batch: int):
-    """Texts to rows (doc_ids, counts, words, codes): distinct words, and the places of words in that list."""
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("words", pa.list_(pa.string())), ("codes", pa.binary())])
+def _split(words_of: Words, batch: int, most: int):
+    """Texts to rows (doc_ids, counts, words, codes, first): new words, numbered from ``first`` on, and the words' numbers."""
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("words", pa.list_(pa.string())), ("codes", pa.binary()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = words_of.finder()
@@ -158,11 +164,14 @@ def _split(words_of: Words, batch: int):
         codes: list[np.ndarray] = []
         size = 0
 
+        place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        told = 0
+
         def take() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.zeros(0, dtype="<i4")
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, dtype="<i8").tobytes()], pa.binary()), pa.array([list(place)], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())], schema=schema)
+            new = list(itertools.islice(place, told, None))
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, dtype="<i8").tobytes()], pa.binary()), pa.array([new], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary()), pa.array([told], pa.int64())], schema=schema)
 
-        place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
@@ -173,8 +182,9 @@ def _split(words_of: Words, batch: int):
                 size += len(text)
                 if size >= batch:
                     yield take()
-                    ids, counts, codes, size = [], [], [], 0
-                    place = defaultdict(itertools.count().__next__)
+                    ids, counts, codes, size, told = [], [], [], 0, len(place)
+                    if told >= most:
+                        place, told = defaultdict(itertools.count().__next__), 0
         if ids:
             yield take()
 
@@ -193,11 +203,14 @@ def _gather(forms: tuple[str, ...], pieces: list[bytes]):
     """Ids of each document from the tokens of the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, long = np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64)
         for b in batches:
             for row in range(b.num_rows):
                 words = b.column(2)[row].values.to_pylist()
-                flat = tokens_of("".join(words)).astype("<i4")
-                long = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                if not b.column(4)[row].as_py():
+                    flat, long = flat[:0], long[:0]
+                flat = np.append(flat, tokens_of("".join(words)).astype("<i4"))
+                long = np.append(long, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
                 del words
                 first = np.cumsum(long) - long
                 codes = np.frombuffer(b.column(3)[row].as_py(), dtype="<i4")
@@ -226,7 +239,7 @@ def _gather(forms: tuple[str, ...], pieces: list[bytes]):
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, forms: tuple[str, ...] = ("ids",), batch: int = BATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, *, forms: tuple[str, ...] = ("ids",), batch: int = BATCH, most: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id and the ``forms`` asked for) of every row.
 
     ``ranks`` is a file of tiktoken's kind, read by the driver; ``pattern`` splits texts into words and must match all of them.
@@ -234,11 +247,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, forms: tuple[str, ...]
     merges = Ranks(ranks)
     table = F.array(merges.literal())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    split = source.mapInArrow(_split(Words(pattern), batch), "doc_ids array<long>, counts binary, words array<string>, codes binary")
+    split = source.mapInArrow(_split(Words(pattern), batch, most), "doc_ids array<long>, counts binary, words array<string>, codes binary, first long")
     # an array of one binds the literals, so that they stand in the plan once
     folded = F.get(F.transform(table, lambda t: F.transform("words", lambda w: merges.fold(w, t))), F.lit(0))
     schema = ", ".join(["doc_id long", *(f"{f} {FORMS[f]}" for f in forms)])
-    return split.select("doc_ids", "counts", folded.alias("words"), "codes").mapInArrow(_gather(forms, merges.pieces), schema)
+    return split.select("doc_ids", "counts", folded.alias("words"), "codes", "first").mapInArrow(_gather(forms, merges.pieces), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -81,9 +81,14 @@ def page_fingerprint(text: Column) -> Column:
     return F.substring(F.sha1(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")), 1, 16)
 
 
+def fingerprint(width: Column, height: Column, text: Column) -> Column:
+    """What is compared of a page: its measures to one place, halves to even, and its text's fingerprint."""
+    return F.struct(F.bround(width, 1).alias("w"), F.bround(height, 1).alias("h"), page_fingerprint(text).alias("t"))
+
+
 def has_magic(content: Column) -> Column:
     """Whether a file's first 1024 bytes hold the PDF mark."""
-    return F.instr(F.hex(F.substring(content, 1, 1024)), "255044462D") % 2 == 1
+    return F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0
 
 
 def volume_file_name(client: Column, number: Column, total: Column) -> Column:

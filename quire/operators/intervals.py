@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,3 +97,26 @@ def section_of_page(sections: DataFrame, pages: DataFrame) -> DataFrame:
     spread = sections.select("doc_id", "start_page", "title", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
     best = spread.groupBy("doc_id", "page_no").agg(F.min(F.struct("start_page", "title")).alias("s"))
     return pages.join(best, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.col("s.title").alias("section"))
+
+
+MEASURED = "doc_id long, kind string, start_page int, end_page int, value long"
+
+
+def measured_once(wanted: DataFrame, memo: str, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, kind, start_page, end_page, value) of wanted ranges, each measured once over all calls.
+
+    ``memo`` is a folder that keeps what was measured; ``measure`` adds ``value`` to ranges, and is given those alone that
+    no call before has measured, each once.  What it gives is added to the folder before it is used.
+    """
+    spark, keys = wanted.sparkSession, ["doc_id", "kind", "start_page", "end_page"]
+    asked = wanted.select(*keys).distinct()
+    try:
+        known = spark.read.schema(MEASURED).parquet(memo)
+    except AnalysisException:  # the first call
+        known = spark.createDataFrame([], MEASURED)
+    missing = asked.join(known, keys, "left_anti")
+    if not missing.isEmpty():
+        measure(missing).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known.schema]).write.mode("append").parquet(memo)
+        known = spark.read.schema(MEASURED).parquet(memo)
+    # two calls at one time may both have measured a range
+    return wanted.select(*keys).join(known.dropDuplicates(keys), keys)

@@ -211,3 +211,39 @@ def merge_stronger(before: DataFrame, after: DataFrame) -> DataFrame:
     """Smallest of an old and a stronger run (doc_id, vol_idx, size); the old one on a tie."""
     both = before.select("doc_id", "vol_idx", "size", F.lit(0).alias("run")).unionByName(after.select("doc_id", "vol_idx", "size", F.lit(1).alias("run"))).where("size is not null")
     return both.groupBy("doc_id", "vol_idx").agg(F.min(F.struct("size", "run")).alias("m")).select("doc_id", "vol_idx", "m.size", "m.run")
+
+
+def carried_over(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A volume's candidates after a stronger run.
+
+    ``before`` has (doc_id, vol_idx, smallest, lossless), ``after`` (doc_id, vol_idx, achieved, chosen, smallest, lossless),
+    sizes or null.  A run that fell short leaves the old smallest in place where that is no larger; the old lossless
+    candidate stays whatever the run found.
+    """
+    old = before.select("doc_id", "vol_idx", F.col("smallest").alias("old_smallest"), F.col("lossless").alias("old_lossless"))
+    both = after.join(old, ["doc_id", "vol_idx"], "left")
+    stays = ~F.col("achieved") & F.col("old_smallest").isNotNull() & (F.col("smallest").isNull() | (F.col("old_smallest") <= F.col("smallest")))
+    pick = lambda new: F.when(stays, F.col("old_smallest")).otherwise(F.col(new)).alias(new)
+    return both.select("doc_id", "vol_idx", "achieved", pick("chosen"), pick("smallest"), F.coalesce("old_lossless", "lossless").alias("lossless"))
+
+
+def ladders(settings: DataFrame, spark: SparkSession) -> DataFrame:
+    """The steps of many jobs at once, each with its settings.
+
+    ``settings`` is (job_id, mode, min_dpi, max_dpi, min_quality, max_quality, grayscale, raster, ghostscript); steps as
+    in ``ladder``, clamped, each setting once.  There are a handful of steps, so each job's row meets them all.
+    """
+    steps = spark.createDataFrame([(i, *s) for i, s in enumerate(STEPS)], SCHEMA).withColumnRenamed("grayscale", "_gray")
+    kinds = F.when(F.col("mode") == "off", F.array(F.lit("plain"))).when(F.col("mode") == "lossless", F.array(*map(F.lit, LOSSLESS)))
+    wanted = F.coalesce(F.array_contains(kinds, F.col("kind")), F.lit(True)) & ((F.col("kind") != "raster") | F.col("raster")) & ((F.col("kind") != "ghostscript") | F.col("ghostscript"))
+    met = settings.join(F.broadcast(steps), wanted)
+    held = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"min_{c}"), F.least(F.col(f"max_{c}"), F.col(c)))).alias(c)
+    clamped = met.select("job_id", "pos", "level", "kind", held("dpi"), held("quality"), (F.col("_gray") & F.col("grayscale")).alias("grayscale"), "preset")
+    same = Window.partitionBy("job_id", "kind", "dpi", "quality", "grayscale", "preset").orderBy("pos")
+    return clamped.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n")
+
+
+def stronger_steps(choice: DataFrame, spark: SparkSession) -> DataFrame:
+    """The steps beyond the ladder for volumes (doc_id, vol_idx, status) that are over their limit."""
+    more = spark.createDataFrame([(i, *s) for i, s in enumerate(STRONGER)], SCHEMA)
+    return choice.where("status = 'over_limit'").select("doc_id", "vol_idx").crossJoin(F.broadcast(more))  # two steps

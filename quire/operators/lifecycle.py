@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scalars import is_id
 
 #: The levels of an event.
 LEVELS = ("info", "ok", "warn", "error")
@@ -40,6 +41,19 @@ def downloadable(volumes: DataFrame) -> DataFrame:
     return done.where("status <> 'FAIL'").join(ready, "doc_id").select("doc_id", "vol_idx", "archive_ready")
 
 
+def touched(records: DataFrame, lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lookups by id, and the records after them.
+
+    ``records`` is (key, last_access), ``lookups`` (key, at).  The first result is (key, at, found): an id that is not 32
+    hexadecimal digits is never looked for.  The second is the records with the time of their last lookup, if later.
+    """
+    wanted = lookups.where(is_id(F.col("key")))
+    last = wanted.groupBy("key").agg(F.max("at").alias("at"))
+    known = records.select("key", F.lit(True).alias("known"))
+    found = lookups.join(known, "key", "left").select("key", "at", (F.coalesce("known", F.lit(False)) & F.coalesce(is_id(F.col("key")), F.lit(False))).alias("found"))
+    return found, records.join(last, "key", "left").select("key", F.greatest("last_access", "at").alias("last_access"))
+
+
 def latest(events: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, last_event, n_events) of the wanted keys, from events (key, event_id, ts); the larger id on equal times."""
     wanted = events.join(keys.select("key").distinct(), "key", "left_semi")

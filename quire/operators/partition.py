@@ -261,6 +261,16 @@ def count_warnings(planned: DataFrame, requested: int) -> DataFrame:
     return planned.groupBy("doc_id").agg(F.max("vol_idx").alias("n_volumes")).where(F.col("n_volumes") != requested).select("doc_id", "n_volumes", F.lit(requested).alias("requested"))
 
 
+def size_conflicts(units: DataFrame, max_bytes: int, k: int) -> DataFrame:
+    """(doc_id, needed, requested): documents that the size asks more volumes of than were requested; the number wins.
+
+    A document of fewer units than requested has only as many volumes, which is what the size is held against.
+    """
+    facts = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("needed"), F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.lit(k), F.col("n")).cast("int")
+    return facts.where(F.col("needed") > wanted).select("doc_id", "needed", wanted.alias("requested"))
+
+
 def usable_floors(units: DataFrame, reaches_floor: Column) -> DataFrame:
     """Units whose least sizes count only where the settings can reach them (a column of ``units``)."""
     return units.withColumn("min_size", F.when(reaches_floor, F.col("min_size")))

@@ -96,21 +96,30 @@ def resolve(volumes: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def progress(done: DataFrame) -> DataFrame:
-    """Progress while volumes finish (doc_id, vol_idx, finished, pages): 0.05 + 0.75 of the share of pages, in thousandths, half up."""
+    """Progress while volumes finish (doc_id, vol_idx, finished, pages): 0.05 + 0.75 of the share of pages, to three places."""
     document = Window.partitionBy("doc_id")
     upto = document.orderBy("finished", "vol_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return done.select("doc_id", "vol_idx", _thousandths(50, 750, F.sum("pages").over(upto), F.sum("pages").over(document)).alias("progress"))
+    share = F.lit(0.75) * F.sum("pages").over(upto) / F.greatest(F.sum("pages").over(document), F.lit(1))
+    return done.select("doc_id", "vol_idx", three_places(F.lit(0.05) + share).alias("progress"))
 
 
 def check_progress(checked: DataFrame) -> DataFrame:
-    """Progress while volumes are checked (doc_id, vol_idx, finished): 0.8 + 0.18 of the share of volumes, in thousandths, half up."""
+    """Progress while volumes are checked (doc_id, vol_idx, finished): 0.8 + 0.18 of the share of volumes, to three places."""
     document = Window.partitionBy("doc_id")
     upto = document.orderBy("finished", "vol_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return checked.select("doc_id", "vol_idx", _thousandths(800, 180, F.count(F.lit(1)).over(upto), F.count(F.lit(1)).over(document)).alias("progress"))
-
-
-def _thousandths(base: int, part: int, done: Column, total: Column) -> Column:
-    """In whole numbers, so that halves do not depend on binary fractions; between 0 and 1000."""
-    n = F.greatest(total, F.lit(1)).cast("long")
-    share = F.floor((2 * part * done.cast("long") + n) / (2 * n)).cast("long")
-    return F.greatest(F.lit(0), F.least(share + base, F.lit(1000))).cast("long")
+    share = F.lit(0.18) * F.count(F.lit(1)).over(upto) / F.count(F.lit(1)).over(document)
+    return checked.select("doc_id", "vol_idx", three_places(F.lit(0.8) + share).alias("progress"))
+
+
+def three_places(value: Column) -> Column:
+    """A share, held between 0 and 1, rounded to thousandths by what the double exactly is, halves to even.
+
+    From 1/32 up a double is a whole number of 2**-57; below, its last bits can't change a thousandth but near zero ones.
+    """
+    scale = 1 << 57
+    exact = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * float(scale)).cast("long").cast("decimal(20,0)") * F.lit(1000).cast("decimal(5,0)")
+    whole = F.call_function("div", exact, F.lit(scale).cast("decimal(20,0)"))  # a long
+    rest = exact - whole.cast("decimal(5,0)") * F.lit(scale).cast("decimal(20,0)")
+    half = F.lit(scale // 2).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    return (whole + F.when(up, 1).otherwise(0)).cast("double") / 1000

@@ -364,6 +364,15 @@ def p11_both(spark, sf_dir):
     return _volumes_of(partition.plan(_units(spark, sf_dir), "both", max_bytes=300, k=3))
 
 
+@register(
+    f""", lists as (select doc_id, list(cast(size as bigint) order by unit_idx) as sizes, count(*) as n from units group by doc_id)
+    select doc_id, needed, least(3, n) as requested from (select doc_id, n, {_GREEDY.format(cap="300")} as needed from lists) where needed > least(3, n)"""
+)
+def p11_conflicts(spark, sf_dir):
+    """Documents whose size limit asks for more volumes than were requested."""
+    return partition.size_conflicts(_units(spark, sf_dir), 300, 3)
+
+
 def _adjusted(spark, sf_dir):
     u = _units(spark, sf_dir)
     return partition.plan(u, "adjusted", starts=u.where("unit_idx % 6 = 0").select("doc_id", "unit_idx"))
@@ -436,21 +445,41 @@ _LABEL = """case kind when 'plain' then 'No compression' when 'optimize' then 'L
 _STEPS = """select * from (values (0, 0, 'plain', null, null, false, null), (1, 1, 'optimize', null, null, false, null), (2, 2, 'images', 200, 90, false, null), (3, 2, 'images', 150, 80, false, null), (4, 2, 'images', 150, 70, false, null),
         (5, 2, 'ghostscript', null, null, false, 'ebook'), (6, 3, 'images', 120, 60, false, null), (7, 3, 'raster', 150, 60, false, null), (8, 4, 'images', 96, 50, false, null), (9, 4, 'ghostscript', null, null, false, 'screen'),
         (10, 4, 'raster', 120, 45, false, null), (11, 5, 'images', 110, 45, true, null), (12, 5, 'raster', 130, 50, true, null), (13, 7, 'raster', 110, 40, true, null)) t(pos, level, kind, dpi, quality, gray, preset)"""
-_LADDER = f"""with steps as ({_STEPS}), clamped as (select pos, level, kind, greatest(110, least(140, dpi)) as dpi, greatest(55, least(95, quality)) as quality, gray, preset from steps),
-    kept as (select *, row_number() over (partition by kind, dpi, quality, gray, preset order by pos) as n, dpi || ' DPI, JPEG ' || quality || case when gray then ', greyscale' else '' end as numbers
-        from (select pos, level, kind, case when kind in ('images', 'raster') then dpi end as dpi, case when kind in ('images', 'raster') then quality end as quality, gray, preset from clamped))
-    select pos as step, level, {_LABEL}, kind <> 'raster' as preserves_text from kept where n = 1"""
+_NUMBERS = "dpi || ' DPI, JPEG ' || quality || case when gray then ', greyscale' else '' end as numbers"
+_KEY = "concat_ws('_', kind, dpi || 'dpi', 'q' || quality, case when gray then 'gray' end, preset) as key"
+#: Settings of a job for every part: limits, mode and what is allowed, by its size and number.
+_SETTINGS = """settings as (select p_partkey as job_id, case when p_partkey % 11 = 0 then 'off' when p_partkey % 7 = 0 then 'lossless' else 'automatic' end as mode, 80 + p_size as lo_dpi, 130 + p_size * 3 as hi_dpi, 30 + p_size as lo_q, 80 + p_size % 16 as hi_q,
+        p_size % 2 = 0 as may_gray, p_size % 3 > 0 as raster, p_size % 5 > 0 as ghostscript from part)"""
 
 
-@register(_LADDER, prelude=False)
+@register(
+    f"""with steps as ({_STEPS}), {_SETTINGS}, met as (select s.*, t.* from settings s join steps t on (mode = 'automatic' or kind = 'plain' or (mode = 'lossless' and kind = 'optimize')) and (kind <> 'raster' or raster) and (kind <> 'ghostscript' or s.ghostscript)),
+    clamped as (select job_id, pos, level, kind, preset, gray and may_gray as gray, case when dpi is not null then greatest(lo_dpi, least(hi_dpi, dpi)) end as dpi, case when quality is not null then greatest(lo_q, least(hi_q, quality)) end as quality from met),
+    kept as (select *, row_number() over (partition by job_id, kind, dpi, quality, gray, preset order by pos) as n, {_NUMBERS} from clamped)
+    select job_id, pos as step, level, {_KEY}, {_LABEL}, kind <> 'raster' as preserves_text from kept where n = 1""",
+    prelude=False,
+)
 def c1_ladder(spark, sf_dir):
-    """The ladder under limits that make some steps equal."""
-    return ladder.describe(ladder.ladder(spark, max_dpi=140, min_quality=55)).withColumnRenamed("pos", "step")
+    """Ladders of many jobs, under limits that make some steps equal."""
+    n, key = F.col("p_size"), F.col("p_partkey")
+    mode = F.when(key % 11 == 0, "off").when(key % 7 == 0, "lossless").otherwise("automatic")
+    settings = table(spark, sf_dir, "part").select(
+        key.alias("job_id"), mode.alias("mode"), (80 + n).alias("min_dpi"), (130 + n * 3).alias("max_dpi"), (30 + n).alias("min_quality"), (80 + n % 16).alias("max_quality"), (n % 2 == 0).alias("grayscale"), (n % 3 > 0).alias("raster"), (n % 5 > 0).alias("ghostscript")
+    )
+    steps = ladder.ladders(settings, spark)
+    return steps.select("job_id", F.col("pos").alias("step"), "level", ladder.key().alias("key"), ladder.label().alias("label"), (F.col("kind") != "raster").alias("preserves_text"))
 
 
-@register("select * from (values (0, 8, 'Page rasterisation 90 DPI, JPEG 30, greyscale (text not searchable)', false), (1, 8, 'Page rasterisation 72 DPI, JPEG 25, greyscale (text not searchable)', false)) t(step, level, label, preserves_text)", prelude=False)
+@register(
+    """select doc_id, step, 8 as level, 'Page rasterisation ' || dpi || ' DPI, JPEG ' || quality || ', greyscale (text not searchable)' as label, 'raster_' || dpi || 'dpi_q' || quality || '_gray' as key
+    from (select doc_id from (select doc_id, case when (doc_id + pos) % 7 <> 0 then strlen(text) * (20 - pos) // 20 end as size from documents, (select unnest(range(14)) as pos)) group by doc_id having count(size) > 0 and count(*) filter (size <= 1500) = 0),
+        (values (0, 90, 30), (1, 72, 25)) t(step, dpi, quality)""",
+    prelude=False,
+)
 def c2_stronger(spark, sf_dir):
-    return ladder.describe(ladder.ladder(spark, stronger=True)).withColumnRenamed("pos", "step")
+    """What is still to be tried for documents that no step makes fit."""
+    more = ladder.stronger_steps(ladder.choose(_attempts(spark, sf_dir), 1500), spark)
+    return more.select("doc_id", F.col("pos").alias("step"), "level", ladder.label().alias("label"), ladder.key().alias("key"))
 
 
 @register("select o_orderkey, l_linenumber, (row_number() over (partition by o_orderkey order by l_linenumber) - 1) * 1000 < 250 * count(*) over (partition by o_orderkey) as sharper from orders join lineitem on o_orderkey = l_orderkey", prelude=False)
@@ -585,6 +614,21 @@ def c21_merge_stronger(spark, sf_dir):
     return ladder.merge_stronger(d, d.withColumn("size", F.col("size") - F.col("doc_id") % 3 + 1))
 
 
+@register(
+    """select doc_id, 1 as vol_idx, achieved, case when stays then old else new end as chosen, case when stays then old else new end as smallest, coalesce(old_lossless, new + 9) as lossless
+    from (select doc_id, doc_id % 4 = 0 as achieved, case when doc_id % 5 > 0 then strlen(text) end as old, case when doc_id % 7 > 0 then strlen(text) - doc_id % 3 + 1 end as new, case when doc_id % 3 > 0 then strlen(text) * 2 end as old_lossless,
+        not doc_id % 4 = 0 and doc_id % 5 > 0 and (doc_id % 7 = 0 or strlen(text) <= strlen(text) - doc_id % 3 + 1) as stays from documents)""",
+    prelude=False,
+)
+def c21_carried_over(spark, sf_dir):
+    """Candidates after a stronger run: some achieve the target, some fail, some had no candidates before."""
+    d, n = table(spark, sf_dir, "documents").withColumn("vol_idx", F.lit(1)), F.octet_length("text").cast("bigint")
+    new = F.when(F.col("doc_id") % 7 > 0, n - F.col("doc_id") % 3 + 1)
+    before = d.select("doc_id", "vol_idx", F.when(F.col("doc_id") % 5 > 0, n).alias("smallest"), F.when(F.col("doc_id") % 3 > 0, n * 2).alias("lossless"))
+    after = d.select("doc_id", "vol_idx", (F.col("doc_id") % 4 == 0).alias("achieved"), new.alias("chosen"), new.alias("smallest"), (new + 9).alias("lossless"))
+    return ladder.carried_over(before, after)
+
+
 @register("select p_partkey, least(200000, cast(floor(p_partkey * 1234 * 0.10) as bigint)) as band from part", prelude=False)
 def c15_size_band(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ladder.size_band(F.col("p_partkey") * 1234).alias("band"))
@@ -644,13 +688,18 @@ def j2_summarize(spark, sf_dir):
     return validate.summarize(_statuses(spark, sf_dir)).select("doc_id", "total_bytes", "n_volumes", F.size("unresolved").alias("n_unresolved"), F.size("failed").alias("n_failed"), "ready", "message")
 
 
-@register("select doc_id, vol_idx, 50 + (1500 * sum(end_page - start_page + 1) over (partition by doc_id order by vol_idx) + sum(end_page - start_page + 1) over (partition by doc_id))::bigint // (2 * sum(end_page - start_page + 1) over (partition by doc_id))::bigint as progress from volumes")
+#: A share to three places by what the double is: whole thousandths of e, in 2**-57, halves to even.
+_THREE = "(e // 144115188075855872 + case when e % 144115188075855872 > 72057594037927936 or (e % 144115188075855872 = 72057594037927936 and (e // 144115188075855872) % 2 = 1) then 1 else 0 end)::double / 1000 as progress"
+_EXACT = "(greatest(0.0::double, least(1.0::double, x)) * 144115188075855872::double)::hugeint * 1000 as e"
+
+
+@register(f", done_shares as (select doc_id, vol_idx, 0.05::double + 0.75::double * (sum(end_page - start_page + 1) over (partition by doc_id order by vol_idx))::double / (sum(end_page - start_page + 1) over (partition by doc_id))::double as x from volumes) select doc_id, vol_idx, {_THREE} from (select *, {_EXACT} from done_shares)")
 def j5_progress(spark, sf_dir):
     v = partition.rollup(_planned(spark, sf_dir))
     return validate.progress(v.select("doc_id", "vol_idx", F.col("vol_idx").alias("finished"), F.col("page_count").alias("pages")))
 
 
-@register("select doc_id, vol_idx, 800 + (360 * count(*) over (partition by doc_id order by vol_idx) + count(*) over (partition by doc_id)) // (2 * count(*) over (partition by doc_id)) as progress from volumes")
+@register(f", done_shares as (select doc_id, vol_idx, 0.8::double + 0.18::double * (count(*) over (partition by doc_id order by vol_idx))::double / (count(*) over (partition by doc_id))::double as x from volumes) select doc_id, vol_idx, {_THREE} from (select *, {_EXACT} from done_shares)")
 def j5_check_progress(spark, sf_dir):
     return validate.check_progress(partition.rollup(_planned(spark, sf_dir)).select("doc_id", "vol_idx", F.col("vol_idx").alias("finished")))
 
@@ -792,3 +841,67 @@ def d11_report(spark, sf_dir):
 def d10_stale(spark, sf_dir):
     built = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max("l_shipdate").alias("built"))
     return tables.stale(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.expr("o_orderdate + interval 60 days").alias("changed")), built)
+
+
+@register(r"select doc_id, cast(round_even(n_chars / 7.0, 1) * 10 as bigint) as w, cast(round_even(doc_id / 8.0, 1) * 10 as bigint) as h, substr(sha1(regexp_replace(text, '\s+', '', 'g')), 1, 16) as t from documents", prelude=False)
+def v1_page_fingerprint(spark, sf_dir):
+    """Measures and text of pages; every fourth height is a tie between two places."""
+    page = scalars.fingerprint(F.col("n_chars") / 7, F.col("doc_id") / 8, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", page.alias("f")).select("doc_id", F.bround(F.col("f.w") * 10).cast("bigint").alias("w"), F.bround(F.col("f.h") * 10).cast("bigint").alias("h"), "f.t")
+
+
+@register("select doc_id, doc_id % 3 > 0 and strlen(substr(text, 1, cast(doc_id % 7 * 300 as bigint))) + case when doc_id % 3 = 1 then 5 else 6 end <= 1024 as is_pdf from documents", prelude=False)
+def d2_magic(spark, sf_dir):
+    """Texts with the mark behind some hundreds of characters, and with bytes before it that shift its hexadecimal digits."""
+    mark = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("02550444462D62D0"))).when(F.col("doc_id") % 3 == 1, F.encode(F.lit("%PDF-"), "UTF-8")).otherwise(F.concat(F.unhex(F.lit("02")), F.encode(F.lit("%PDF-1.7"), "UTF-8")))
+    content = F.concat(F.encode(F.substring("text", F.lit(1), (F.col("doc_id") % 7 * 300).cast("int")), "UTF-8"), mark)
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.has_magic(content).alias("is_pdf"))
+
+
+@register("select page_id, right(url, strpos(reverse(url), '/') - 1) as name from pages", prelude=False)
+def f10_file_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalars.file_name(F.col("url")).alias("name"))
+
+
+@register("select o_orderpriority, count(*) as n, count(*) as n_ids, count(*) as n_different from orders group by o_orderpriority", prelude=False)
+def f7_new_id(spark, sf_dir):
+    """New ids are ids, and no two are the same."""
+    made = tables.written(table(spark, sf_dir, "orders").select("o_orderpriority", scalars.new_id().alias("id")), "ids")
+    return made.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(scalars.is_id(F.col("id"))).alias("n_ids"), F.count_distinct("id").alias("n_different"))
+
+
+_LOOKED = "ids as (select event_id, ts, user_id, case when event_id % 9 = 0 then upper(md5(user_id::varchar)) when event_id % 10 = 0 then 'x' else md5(user_id::varchar) end as id from events)"
+
+
+def _lookups(spark, sf_dir):
+    e, mark = table(spark, sf_dir, "events"), F.md5(F.col("user_id").cast("string"))
+    id_ = F.when(F.col("event_id") % 9 == 0, F.upper(mark)).when(F.col("event_id") % 10 == 0, "x").otherwise(mark)
+    records = e.where("user_id % 3 > 0").groupBy("user_id").agg(F.min("ts").alias("last_access")).select(F.md5(F.col("user_id").cast("string")).alias("key"), "last_access")
+    return records, e.select(id_.alias("key"), F.col("ts").alias("at"))
+
+
+@register(
+    f"with {_LOOKED}, records as (select md5(user_id::varchar) as id, min(ts) as first from events where user_id % 3 > 0 group by user_id) select r.id as key, cast(floor(epoch(greatest(r.first, max(i.ts)))) as bigint) as last_access from records r left join ids i on i.id = r.id group by r.id, r.first",
+    prelude=False,
+)
+def j8_touched(spark, sf_dir):
+    """Records after the lookups of all events, of which some ask in capitals or for what is no id."""
+    return lifecycle.touched(*_lookups(spark, sf_dir))[1].select("key", F.unix_timestamp("last_access").alias("last_access"))
+
+
+@register(f"with {_LOOKED} select i.id as key, count(*) as n, count(*) filter (i.id in (select md5(user_id::varchar) from events where user_id % 3 > 0)) as n_found from ids i group by i.id", prelude=False)
+def j8_found(spark, sf_dir):
+    return lifecycle.touched(*_lookups(spark, sf_dir))[0].groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"))
+
+
+@register(
+    f""", st as (select *, case when (doc_id + vol_idx) % 10 = 0 then 'FAIL' when estimated_bytes > {CAP} then 'OVER_LIMIT' else 'PASS' end as status from volumes),
+    sums as (select doc_id, cast(sum(estimated_bytes) as bigint) as n, bool_and(status = 'PASS') as fine from st group by doc_id)
+    select doc_id, 3 as part, case when doc_id % 4 > 0 then '[PASS] ' else '[FAIL] ' end || 'All pages covered' as line from sums
+    union all select doc_id, 4, 'Final total size: ' || case when n >= 1000 then cast(cast(round_even(n / 1000.0, 0) as bigint) as varchar) || ' KB' else n || ' bytes' end || ' (' || format('{{:,}}', n) || ' bytes)' from sums
+    union all select doc_id, 5, 'Overall: ' || case when fine and doc_id % 4 > 0 then 'PASS' else 'FAIL' end from sums"""
+)
+def d11_totals(spark, sf_dir):
+    volumes = _statuses(spark, sf_dir)
+    covered = volumes.select("doc_id").distinct().select("doc_id", F.lit("All pages covered").alias("name"), (F.col("doc_id") % 4 > 0).alias("ok"))
+    return tables.report_totals(volumes, covered)

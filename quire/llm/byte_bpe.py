@@ -75,7 +75,7 @@ class Ranks:
                     self.long.append({"part": key, "rank": rank})
                 slots[xxhash.xxh64(key.encode(), seed=SEED).intdigest() >> (64 - SLOT_BITS)][key] = rank
         self.slots = slots
-        self.bytes = "".join(char(self.ranks[bytes([b])]) for b in range(256))
+        self.bytes = {b: char(self.ranks[bytes([b])]) for b in range(256)}
 
     def _parts(self, token: bytes, rank: int) -> list[bytes]:
         """What merges below ``rank`` make of a token."""
@@ -94,7 +94,7 @@ class Ranks:
         return F.struct(parse(self.slots, "array<map<string,int>>").alias("slots"), parse(self.pairs, "array<string>").alias("pairs"), parse(self.chars, "array<string>").alias("chars"), parse(self.long, "array<struct<part:string,rank:int>>").alias("long"), *(parse(places(most), "array<array<struct<at:int,long:int>>>").alias(name) for name, most in (("whole", WINDOW), ("short", SHORT))))
 
     def fold(self, word: Column, table: Column) -> Column:
-        """A word as the characters of its tokens."""
+        """A word, given as the characters of its bytes, as the characters of its tokens."""
 
         def rank(part: Column) -> Column:
             return F.try_element_at(F.get(table["slots"], F.shiftrightunsigned(F.xxhash64(part), 64 - SLOT_BITS).cast("int")), part)
@@ -114,10 +114,8 @@ class Ranks:
             found = F.sort_array(F.array_distinct(F.array_compact(parts)))
             return F.aggregate(found, s, lambda a, r: F.replace(a, F.get(table["pairs"], r), F.get(table["chars"], r)))
 
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        start = F.translate(latin, "".join(map(chr, range(256))), self.bytes)
         whole = lambda s: F.get(table["chars"], rank(s))  # noqa: E731  a word that is a token is that token
-        return F.get(F.transform(F.array(start), lambda s: F.when(F.length(s) < 2, s).otherwise(F.coalesce(whole(s), merged(s)))), F.lit(0))
+        return F.get(F.transform(F.array(word), lambda s: F.when(F.length(s) < 2, s).otherwise(F.coalesce(whole(s), merged(s)))), F.lit(0))
 
 
 class Words:
@@ -153,8 +151,8 @@ def _ranges(chars: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(code[np.append(0, cut + 1)], code[np.append(cut, len(code) - 1)], strict=True))
 
 
-def _split(words_of: Words, batch: int, most: int):
-    """Texts to rows (doc_ids, counts, words, codes, first): new words, numbered from ``first`` on, and the words' numbers."""
+def _split(words_of: Words, chars: dict[int, str], batch: int, most: int):
+    """Texts to rows (doc_ids, counts, words, codes, first): new words as the characters of their bytes, numbered from ``first`` on, and the words' numbers."""
     schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("words", pa.list_(pa.string())), ("codes", pa.binary()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +167,7 @@ def _split(words_of: Words, batch: int, most: int):
 
         def take() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.zeros(0, dtype="<i4")
-            new = list(itertools.islice(place, told, None))
+            new = [w.encode().decode("latin-1").translate(chars) for w in itertools.islice(place, told, None)]
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, dtype="<i8").tobytes()], pa.binary()), pa.array([new], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary()), pa.array([told], pa.int64())], schema=schema)
 
         for b in batches:
@@ -191,15 +189,15 @@ def _split(words_of: Words, batch: int, most: int):
     return run
 
 
-def _pieces_of(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, ids.tolist()))
+def _pieces_of(ids: np.ndarray, pieces: np.ndarray) -> bytes:
+    return b"".join(pieces[ids].tolist())
 
 
 #: What ``encode`` can give of a text: its ids, the same as little-endian unsigned 32-bit integers, and its bytes by decoding them.
 FORMS = {"ids": "array<int>", "packed": "binary", "decoded": "binary"}
 
 
-def _gather(forms: tuple[str, ...], pieces: list[bytes]):
+def _gather(forms: tuple[str, ...], pieces: np.ndarray):
     """Ids of each document from the tokens of the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,16 +245,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, forms: tuple[str, ...]
     merges = Ranks(ranks)
     table = F.array(merges.literal())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    split = source.mapInArrow(_split(Words(pattern), batch, most), "doc_ids array<long>, counts binary, words array<string>, codes binary, first long")
+    split = source.mapInArrow(_split(Words(pattern), merges.bytes, batch, most), "doc_ids array<long>, counts binary, words array<string>, codes binary, first long")
     # an array of one binds the literals, so that they stand in the plan once
     folded = F.get(F.transform(table, lambda t: F.transform("words", lambda w: merges.fold(w, t))), F.lit(0))
     schema = ", ".join(["doc_id long", *(f"{f} {FORMS[f]}" for f in forms)])
-    return split.select("doc_ids", "counts", folded.alias("words"), "codes", "first").mapInArrow(_gather(forms, merges.pieces), schema)
+    return split.select("doc_ids", "counts", folded.alias("words"), "codes", "first").mapInArrow(_gather(forms, np.array(merges.pieces, dtype=object)), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, decoded): the pieces of the ids, concatenated."""
-    pieces = Ranks(ranks).pieces
+    pieces = np.array(Ranks(ranks).pieces, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -186,13 +186,13 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     """(doc_id, text_key, path, number, start, candidate, before, after): every candidate with the characters around it."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.col(path), F.lit("")).alias("path"), body.alias("_text")).where(F.col("_text").rlike(HINT))
-    # the whole of each match, then the place of each by counting lengths: matches don't overlap and come in order
-    whole = F.regexp_extract_all("_text", F.lit(MATCH), F.lit(0))
-    found = rows.withColumn("_all", whole)
+    # the whole of each match, and what lies between matches: the place of each is the length of all before it
+    found = rows.withColumn("_all", F.regexp_extract_all("_text", F.lit(MATCH), F.lit(0))).where(F.size("_all") > 0)
+    pairs = F.zip_with("_all", F.slice(F.split("_text", MATCH, -1), F.lit(1), F.size("_all")), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
     places = F.aggregate(
-        "_all",
+        pairs,
         F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,m:string>>").alias("got")),
-        lambda a, m: _step(a, m),
+        lambda a, p: F.struct((a["next"] + p["gap"] + F.length(p["m"])).alias("next"), F.concat(a["got"], F.array(F.struct((a["next"] + p["gap"]).alias("at"), p["m"].alias("m")))).alias("got")),
         lambda a: a["got"],
     )
     each = found.select("doc_id", "text_key", "path", "_text", F.posexplode(places).alias("number", "hit"))
@@ -212,11 +212,6 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     )
 
 
-def _step(a: Column, m: Column) -> Column:
-    at = F.call_function("locate", m, F.col("_text"), a["next"])
-    return F.struct((at + F.length(m)).alias("next"), F.concat(a["got"], F.array(F.struct(at.alias("at"), m.alias("m")))).alias("got"))
-
-
 def scan(docs: DataFrame, model: SecretModel, *, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(doc_id, text_key, number, start, length, candidate, probability, is_secret): every candidate with the forest's verdict."""
     judged = model.apply(candidates(docs, doc_id=doc_id, text=text, path=path))

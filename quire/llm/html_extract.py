@@ -31,7 +31,7 @@ from quire.llm import common as C
 
 #: A quote counts only where an attribute's value begins, as in HTML.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Fixed lists of HTML: elements that are read up to their end tag and hold no text of the page, those that are
 #: only frames of a page, those that don't break a block, those without content.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -48,7 +48,6 @@ REGIONS = {
     "ad": "ad ads advert adverts advertisement sponsor sponsored promo",
     "form": "form search login signup button fieldset option",
     "comment": "comment comments reply replies respond discussion",
-    "share": "share social tags",
     "main": "article main content post entry story",
 }
 REGION_OF = {word: region for region, words in REGIONS.items() for word in words.split()}
@@ -59,18 +58,9 @@ NOISE_WORDS = re.compile(r"\b(cookies?|subscribe|newsletter|advert\w*|sponsored|
 
 def _regions(tag: str, attributes: str) -> list[str]:
     found = {REGION_OF[tag]} if tag in REGION_OF else set()
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for name, *values in ATTRIBUTE.findall(attributes):
-            value = "".join(values).lower()
-            name = name.lower()
-            if name in ("hidden", "aria-hidden"):
-                if value != "false":
-                    found.add("hidden")
-            elif name == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    found.add("hidden")
-            else:
-                found.update(REGION_OF[w] for w in re.split(r"[^a-z0-9]+", value) if w in REGION_OF)
+    if "=" in attributes:
+        for _, *values in ATTRIBUTE.findall(attributes):
+            found.update(REGION_OF[w] for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w in REGION_OF)
     return sorted(found)
 
 
@@ -81,6 +71,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
     open_tags: Counter = Counter()
     regions: Counter = Counter()
     pieces: list[str] = []
+    drawn: list[str] = []  # text in a drawing, which counts only if the drawing turns out never to be closed
+    endless: set[str] = set()
     linked = 0
     at = 0
 
@@ -115,7 +107,9 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
     while at < n:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not (open_tags["svg"] or open_tags["select"]):
+        if text and open_tags["svg"]:
+            drawn.append(text)
+        elif text and not open_tags["select"]:
             pieces.append(text)
             if open_tags["a"] > 0:
                 linked += len(text)
@@ -125,10 +119,15 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
         ending, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
             continue
+        if drawn and tag in ENDS_P:
+            pieces.extend(drawn)
+            drawn.clear()
         if ending:
             if tag not in INLINE:
                 flush()
             close(tag)
+            if not open_tags["svg"]:
+                drawn.clear()
             continue
         if tag == "br":
             pieces.append(" ")
@@ -142,12 +141,14 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
                 close("p")
             if tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 pop()
-        if tag in VOID or attributes.endswith("/"):
-            continue
+        if tag in VOID or attributes.endswith("/") and (tag == "svg" or open_tags["svg"]):
+            continue  # a slash closes what belongs to a drawing, and nothing else
         if tag in FRAME:
             continue
         if tag in RAW or tag == "template":
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
             if tag == "template" and not end:
                 continue  # never closed: as if it were not there
             at = end.end() if end else n
@@ -157,6 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
         open_tags[tag] += 1
         for r in own:
             regions[r] += 1
+    pieces.extend(drawn)
     flush()
     return out
 
@@ -348,11 +350,16 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         def header() -> None:
             put(rng.choice([f"<header><p>{words(1, 5)}</p></header>", f"<div{attr('header', 'masthead', 'topbar')}>{words(1, 5)}</div>"]), 0)
 
-        for make, chance in ((header, 0.4), (menu, 0.85), (notice, 0.3), (ad, 0.6), (form, 0.2), (side, 0.2)):
+        bare = rng.random() < 0.2  # an article and nothing around it, often one paragraph
+        for make, chance in () if bare else ((header, 0.4), (menu, 0.85), (notice, 0.3), (ad, 0.6), (form, 0.2), (side, 0.2)):
             if rng.random() < chance:
                 make()
-        article()
-        for make, chance in ((comments, 0.3), (side, 0.3), (ad, 0.2), (form, 0.1), (notice, 0.1), (footer, 0.85)):
+        if bare and rng.random() < 0.6:
+            tag = rng.choice(["article", "main", "div", "section", "body"])
+            put(f"<{tag}>" + rng.choice([f"<p>{prose()}</p>", f"<p>{' '.join(prose() for _ in range(rng.randint(1, 12)))}</p>", prose()]) + f"</{tag}>", 1)
+        else:
+            article()
+        for make, chance in () if bare else ((comments, 0.3), (side, 0.3), (ad, 0.2), (form, 0.1), (notice, 0.1), (footer, 0.85)):
             if rng.random() < chance:
                 make()
         page = "<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body>" + "".join(parts) + "</body></html>"

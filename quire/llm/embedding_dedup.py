@@ -120,7 +120,9 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
     finite = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     ready = rows.where(usable)
-    classes = C.materialize(ready.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "vectors")
+    # a class is a vector under a label; it has a number of its own, as an id may stand on several vectors
+    different = ready.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    classes = C.materialize(different.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     facts = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     made = {int(f["dim"]): [ProductCode(int(f["dim"]), max(128 * int(f["n"]), 256), expected, seed) for seed in range(codes)] for f in facts}
 
@@ -146,7 +148,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
                     found[i] = part
             yield frame.assign(filters=found)
 
-    coded = C.materialize(classes.mapInPandas(filters, f"label {classes.schema['label'].dataType.simpleString()}, v array<double>, rep long, times long, filters array<long>"), "filters")
+    coded = C.materialize(classes.mapInPandas(filters, f"label {classes.schema['label'].dataType.simpleString()}, v array<double>, least long, times long, rep long, filters array<long>"), "filters")
     dealt = coded.select("label", "rep", F.explode("filters").alias("filter"))
     groups = dealt.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = tiled(dealt.join(groups, ["label", "filter"]), "rep", F.ceil(F.col("n") / tile)).drop("n")
@@ -188,8 +190,9 @@ def near(vectors: DataFrame, *, cosine: float = 0.98, codes: int = 4, expected:
     verified = C.materialize(C.by_runs(full, ["label", "filter", "tile_a", "tile_b"], [], compare, "rep long, links long, root long"), "links")
     counted = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    per_class = classes.join(counted, "rep", "left").join(joined, "rep", "left")
-    per_class = per_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = ready.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    per_class = classes.join(counted, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    per_class = C.materialize(per_class.select("label", "v", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")), "vector-classes")
+    named = per_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = ready.join(per_class.drop("least").join(named, "component"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

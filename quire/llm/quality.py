@@ -107,7 +107,7 @@ def _score_udf(model: Model, reach: float, seed: int):
             bucket, text_of = _grams(_bytes(block["t"]))
             n = np.bincount(text_of, minlength=len(block))
             total = np.bincount(text_of, weights=model.log_ratio[bucket], minlength=len(block))
-            own = block["i"].fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)
+            own = block["i"].to_numpy(dtype=np.int64).view(np.uint64)
             uniform = ((C.mix(own * np.uint64(2) + np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
             strong = np.bincount(text_of, weights=(model.log_ratio < STRONG)[bucket].astype(float), minlength=len(block))
             log_importance = total * (reach / np.maximum(n, reach)) + _surplus(strong, n * model.strong_rate)
@@ -134,7 +134,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 def score(docs: DataFrame, model: Model, *, reach: float = 150.0, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_grams, log_importance and key of every document."""
-    found = _score_udf(model, reach, seed)(F.col(doc_id).cast("long"), F.col(text))
+    found = _score_udf(model, reach, seed)(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long")), F.col(text))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), found.alias("_found")).select("doc_id", "_found.*")
 
 
@@ -163,5 +163,5 @@ def keep(docs: DataFrame, labels: DataFrame, *, reach: float = 150.0, seed: int
     if least is None:
         return docs
     own = "_quality_" + "_".join(docs.columns)
-    found = _score_udf(model, reach, seed)(F.col(doc_id).cast("long"), F.col(text))
+    found = _score_udf(model, reach, seed)(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long")), F.col(text))
     return docs.withColumn(own, found).where(F.col(own)["key"] >= least).drop(own)

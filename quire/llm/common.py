@@ -1,8 +1,8 @@
 """Helpers that the operators of this subpackage share.
 
 *Chunks.*  Some operators must compare every document with the rest of the
-corpus.  They work on chunks: all documents whose id falls into one block of
-consecutive ids, as many as hold about ``CHUNK_BYTES`` of text on average
+corpus.  They work on chunks: all documents whose id falls into one range of
+ids, cut where about ``CHUNK_BYTES`` of text have come together
 (``Layout``).  A chunk sends sorted arrays of 64-bit keys, cut by key range
 into buckets, and gets an aligned array of answers back, so that a key costs a
 few bytes in a shuffle.  Both their numbers follow the size of the corpus.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
+MOST_CHUNKS = 1 << 20
 SEGMENT = 1 << 20
 #: Stands for a missing id: the smallest long, which no other id should be.
 NO_ID = -(1 << 63)
@@ -216,22 +217,50 @@ def load(data: bytes, *types: str) -> list[np.ndarray]:
 
 @dataclass
 class Layout:
-    """Ids of a chunk, and how many chunks and buckets there are."""
+    """The first ids of all chunks but the first, and how many chunks and buckets there are."""
 
-    ids: int
+    firsts: np.ndarray
     chunks: int
     buckets: int
 
 
 def layout(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Layout:
-    """A layout after the bytes of all texts and the span of their ids, so that sparse ids make no small chunks."""
-    i = F.col(doc_id).cast("long")
-    facts = docs.agg(F.min(i).cast("decimal(20,0)").alias("first"), F.max(i).cast("decimal(20,0)").alias("last"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
-    size = int(facts["bytes"])
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    span = int(facts["last"] - facts["first"]) + 1 if facts["first"] is not None else 1
+    """Chunks of ids by the bytes of their texts, wherever the ids lie.
+
+    Ids with their sizes are put in order over range partitions, and each partition is cut where a chunk is full; only
+    rows of one id can make a chunk larger.  The ids at the cuts come to the driver: ``MOST_CHUNKS`` and one for each
+    partition at most, as a very large corpus has larger chunks.
+    """
+    sizes = materialize(docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n")), "sizes")
+    size = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()["bytes"])
+    each = max(CHUNK_BYTES, size // MOST_CHUNKS)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, filled, last = None, 0, None
+        for frame in frames:
+            out = []
+            for i, n in zip(frame["i"].tolist(), frame["n"].tolist(), strict=True):
+                if first is None:
+                    first = i
+                elif filled + n > each and i != last:
+                    out.append((first, filled))
+                    first, filled = i, 0
+                filled, last = filled + n, i
+            yield pd.DataFrame(out, columns=["i", "n"], dtype=np.int64)
+        if first is not None:
+            yield pd.DataFrame([(first, filled)], columns=["i", "n"])
+
+    parts = max(1, min(-(-size // each), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = sizes.where("i is not null").repartitionByRange(parts, "i").sortWithinPartitions("i")
+    pieces = ordered.mapInPandas(cut, "i long, n long").toArrow().to_pandas().sort_values("i")
+    firsts, filled = [], each
+    for i, n in zip(pieces["i"].tolist(), pieces["n"].tolist(), strict=True):  # ends of partitions may be small
+        if filled + n > each:
+            firsts.append(i)
+            filled = 0
+        filled += n
     least = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return Layout(max(1, min(span // chunks, 1 << 62)), chunks, max(least, -(-size // BUCKET_BYTES)))
+    return Layout(np.array(firsts[1:], dtype=np.int64), max(1, len(firsts)), max(least, -(-size // BUCKET_BYTES)))
 
 
 def pack_chunks(docs: DataFrame, how: Layout, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
@@ -247,7 +276,7 @@ def pack_chunks(docs: DataFrame, how: Layout, doc_id: str = "doc_id", text: str
             ids = frame["i"].to_numpy(dtype=np.int64)
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["t"]]
             flags, sizes = frame["f"].to_numpy(dtype=np.int8), np.array([len(t) for t in texts], dtype=np.int64)
-            chunk = np.where(ids == NO_ID, NO_ID + frame["h"].to_numpy(dtype=np.int64), ids // how.ids)
+            chunk = np.where(ids == NO_ID, NO_ID + frame["h"].to_numpy(dtype=np.int64), np.searchsorted(how.firsts, ids, side="right"))
             rows = []
             for c in np.unique(chunk):
                 own = np.flatnonzero(chunk == c)

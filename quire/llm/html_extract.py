@@ -122,8 +122,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
         if drawn and tag in ENDS_P:
             pieces.extend(drawn)
             drawn.clear()
+        # a drawing stands within its line, and so does what it is made of
+        breaks = tag in ENDS_P or not (tag in INLINE or tag == "svg" or open_tags["svg"])
         if ending:
-            if tag not in INLINE:
+            if breaks:
                 flush()
             close(tag)
             if not open_tags["svg"]:
@@ -132,7 +134,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...]]]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag not in INLINE:
+        if breaks:
             flush()
             if tag in ENDS_P:
                 for lost in ("svg", "select"):

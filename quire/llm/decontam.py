@@ -9,7 +9,8 @@ contain every token of it, so one token is prefix enough: the rarest.  The steps
    inside the document (the positional and length bounds);
 4. candidates meet their document again and the window is compared there word by word, exactly.
 
-The windows' table is broadcast only if it has at most ``broadcast_rows`` rows (about 50 MB); beyond, the joins shuffle.
+The windows' table is broadcast only if it holds at most ``broadcast_bytes``, words and lists of items counted; beyond,
+the joins shuffle.
 
 Cases: a null or empty text has no words and is clean; repeated rows are judged alike, one result a row; an item without words has no window; empty tables give clean documents or no rows; other
 columns are ignored by ``report``, and ``clean`` carries them along.
@@ -53,18 +54,19 @@ def windows_of(items: DataFrame, width: int, item_id: str = "item_id", text: str
     return cut.groupBy("window").agg(F.size("window").alias("n"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def report(docs: DataFrame, items: DataFrame, *, width: int = 13, share: float = 0.05, broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, *, width: int = 13, share: float = 0.05, broadcast_bytes: int = 48_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every row of ``docs``."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = matches(own, items, width=width, broadcast_rows=broadcast_rows)
+    found = matches(own, items, width=width, broadcast_bytes=broadcast_bytes)
     return verdicts(own, found, share)
 
 
-def matches(docs: DataFrame, items: DataFrame, *, width: int, broadcast_rows: int) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, width: int, broadcast_bytes: int) -> DataFrame:
     """(doc_id, text_key, n_hit, item_list): what verified windows cover, for each document that has any."""
     items_type = windows_of(items, width).schema["items"].dataType
     windows = C.materialize(windows_of(items, width).withColumn("window_id", F.monotonically_increasing_id()), "benchmark-windows")
-    small = windows.count() <= broadcast_rows
+    size = windows.agg(F.sum(F.octet_length(F.to_json(F.struct("window", "items"))) + 64).alias("n")).first()["n"] or 0
+    small = size <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
 
     split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
@@ -115,10 +117,10 @@ def verdicts(docs: DataFrame, found: DataFrame, share: float) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, *, width: int = 13, share: float = 0.05, broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, width: int = 13, share: float = 0.05, broadcast_bytes: int = 48_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = C.materialize(matches(own, items, width=width, broadcast_rows=broadcast_rows), "contaminated")
+    found = C.materialize(matches(own, items, width=width, broadcast_bytes=broadcast_bytes), "contaminated")
     bad = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_hit").alias("_hit"))
     joined = docs.alias("d").join(
         bad.alias("b"),

@@ -183,7 +183,7 @@ def test_decontamination(spark, odd):
     item_table = spark.createDataFrame(items, "item_id long, text string")
     assert decontam.clean(docs, item_table).count() == sum(n for k, n in want.items() if not k[5])
     assert decontam.clean(docs, item_table).columns == docs.columns
-    shuffled = decontam.report(docs, item_table, broadcast_rows=0)
+    shuffled = decontam.report(docs, item_table, broadcast_bytes=0)
     assert collections.Counter(tuple(r) for r in shuffled.collect()) == want
     assert decontam.report(docs.limit(0), item_table).count() == 0 and decontam.report(docs, item_table.limit(0)).where("n_hit > 0").count() == 0
 

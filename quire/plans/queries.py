@@ -737,14 +737,14 @@ def _page_rows(spark, sf_dir):
 
 
 @register("select doc_id, count(*) as pages, count(*) filter (page_no % 5 = 0) as size_mismatches, count(*) filter (page_no % 3 = 0) as text_mismatches from pages where page_no % 8 <> 0 group by doc_id")
-def v2_page_differences(spark, sf_dir):
+def v3_page_differences(spark, sf_dir):
     p = _page_rows(spark, sf_dir)
     made = p.where("page_no % 8 <> 0").withColumn("w", F.col("w") + F.when(F.col("page_no") % 5 == 0, 1.5).otherwise(0.5)).withColumn("t", F.when(F.col("page_no") % 3 != 0, F.col("t")))
     return validate.page_differences(p, made)
 
 
 @register("select doc_id, count(*) as expected, count(*) filter (page_no > 1 or doc_id % 3 > 0) as found, count(*) = count(*) filter (page_no > 1 or doc_id % 3 > 0) as ok from pages group by doc_id")
-def v4_count_check(spark, sf_dir):
+def v2_count_check(spark, sf_dir):
     p = _page_rows(spark, sf_dir)
     return validate.count_check(p, p.where("page_no > 1 or doc_id % 3 > 0"))
 
@@ -759,14 +759,14 @@ _CHECKS = "select o_custkey as doc_id, o_orderkey as vol_idx, case when l_linenu
 
 
 @register(f"select doc_id, vol_idx, coalesce(bool_and(ok) filter (severity = 'error'), true) as passed from ({_CHECKS}) group by doc_id, vol_idx", prelude=False)
-def v9_passed(spark, sf_dir):
+def v10_passed(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
     severity = F.when(F.col("l_linenumber") % 3 == 0, "error").when(F.col("l_linenumber") % 3 == 1, "limit").otherwise("info")
     return validate.passed(table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("vol_idx"), severity.alias("severity"), (F.col("l_quantity") > 10).alias("ok")))
 
 
 @register("select p_partkey, case when p_size % 4 = 0 then 'info' else 'limit' end as severity, case p_size % 3 when 0 then 'visual' when 1 then 'lenient' else 'strict' end as mode, case when p_size % 5 = 0 then 'not_pdf' when p_size % 7 = 0 then 'corrupted' when p_size % 2 = 0 and p_size % 3 = 0 then 'password_incorrect' when p_size % 2 = 0 then 'password_required' when p_size < 10 then 'empty' end as open_code from part", prelude=False)
-def v10_codes(spark, sf_dir):
+def v9_codes(spark, sf_dir):
     """Severity of a size check, mode of a page check (V17), and why a file can't be opened (D3)."""
     n = F.col("p_size")
     kind = F.element_at(F.array(F.lit("raster"), F.lit("ghostscript"), F.lit("images")), n % 3 + 1)
@@ -806,13 +806,13 @@ def j14_downloadable(spark, sf_dir):
 
 
 @register("select o_orderkey, 'Client_' || o_custkey || '_Audit_Report_Volume_' || lpad(cast(o_orderkey % 90 + 1 as varchar), case when o_custkey % 2 = 0 then 3 else 2 end, '0') || '.pdf' as name from orders", prelude=False)
-def f10_volume_names(spark, sf_dir):
+def d8_volume_names(spark, sf_dir):
     total = F.when(F.col("o_custkey") % 2 == 0, 150).otherwise(90)
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.volume_file_name(F.concat(F.lit("Client "), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 90 + 1, total).alias("name"))
 
 
 @register("select o_orderkey, case when o_orderkey % 3 > 0 and o_custkey < 1000 then md5(o_orderkey::varchar) end as job, case when o_orderkey % 3 > 0 and o_custkey < 1000 then o_custkey end as number from orders where o_custkey > 0", prelude=False)
-def f7_volume_id(spark, sf_dir):
+def f6_volume_id(spark, sf_dir):
     """Ids of volumes, some in capitals and some with a number too long."""
     o = table(spark, sf_dir, "orders")
     mark, number = F.md5(F.col("o_orderkey").cast("string")), F.when(F.col("o_custkey") < 1000, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("1"), F.lpad(F.col("o_custkey").cast("string"), 8, F.lit("0"))))

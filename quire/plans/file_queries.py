@@ -135,7 +135,7 @@ _IDLE = 36_000
 @register(
     f"""with moments as (select user_id, ts, sum(case event_type when 'signup' then 1 when 'purchase' then -1 else 0 end) as d from events where event_id % 3 > 0 group by user_id, ts),
     states as (select user_id, ts, sum(d) over (partition by user_id order by ts) as active, coalesce(lead(ts) over (partition by user_id order by ts), (select max(ts) from events)) as until from moments)
-    select cast(user_id as varchar) as key, epoch_us(ts) as last_access from states where active <= 0 and epoch_us(until) - epoch_us(ts) > {_IDLE} * 1000000""",
+    select cast(user_id as varchar) as key, epoch_us(ts) as last_access from states where active <= 0 and epoch_us(until) - epoch_us(ts) > {_IDLE * 1_000_000}""",
     prelude=False,
 )
 def j6_expirations(spark, sf_dir):

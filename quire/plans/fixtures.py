@@ -17,15 +17,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "o_orderkey", F.row_number().over(order).alias("page_no"), "size", (F.col("size") % 7 + 1).alias("weight"), F.floor(F.col("size") / 2).alias("small"))
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = pages(spark, sf_dir).groupBy("doc_id", "o_orderkey").agg(F.min("page_no").alias("start_page"), F.max("page_no").alias("end_page"), F.sum("size").alias("size_bytes"))
+def sections(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Sections of the pages; ``of`` are those pages where a query has them already."""
+    grouped = (pages(spark, sf_dir) if of is None else of).groupBy("doc_id", "o_orderkey").agg(F.min("page_no").alias("start_page"), F.max("page_no").alias("end_page"), F.sum("size").alias("size_bytes"))
     order = Window.partitionBy("doc_id").orderBy("o_orderkey")
     key = F.col("o_orderkey")
     return grouped.select("doc_id", F.row_number().over(order).alias("sec_idx"), F.concat(F.lit("Order "), key.cast("string")).alias("title"), "start_page", "end_page", (key % 3 != 0).alias("protected"), "size_bytes", F.when(key % 5 != 0, F.floor(F.col("size_bytes") / 4)).alias("min_size_bytes"))
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+def counts(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return (pages(spark, sf_dir) if of is None else of).groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
 
 
 def raw_outline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,15 @@ def _outline(spark, sf_dir):
     return outline.normalize(fx.raw_outline(spark, sf_dir), fx.outline_pages(spark, sf_dir))
 
 
-def _units(spark, sf_dir):
-    return partition.build_units(fx.sections(spark, sf_dir), fx.pages(spark, sf_dir).select("doc_id", "page_no", "weight"))
+def _units(spark, sf_dir, pages=None):
+    pages = tables.written(fx.pages(spark, sf_dir), "pages") if pages is None else pages
+    return partition.build_units(fx.sections(spark, sf_dir, pages), pages.select("doc_id", "page_no", "weight"))
 
 
-def _planned(spark, sf_dir):
-    return partition.greedy(_units(spark, sf_dir), F.lit(CAP))
+def _planned(spark, sf_dir, pages=None):
+    """Units with their volumes, made once: what follows reads them several times."""
+    units = tables.written(_units(spark, sf_dir, pages), "units")
+    return tables.written(partition.greedy(units, F.lit(CAP)), "planned")
 
 
 # --- scalar functions
@@ -260,7 +263,7 @@ def p2_build_units(spark, sf_dir):
 
 @register("select doc_id, unit_idx, size, vol_idx from planned")
 def p3_greedy_pack(spark, sf_dir):
-    return _planned(spark, sf_dir).select("doc_id", "unit_idx", "size", "vol_idx")
+    return partition.greedy(_units(spark, sf_dir), F.lit(CAP)).select("doc_id", "unit_idx", "size", "vol_idx")
 
 
 _PARTS = """, clipped as (select p.doc_id, p.vol_idx, p.sec_idx, min(p.start_page) as s, max(p.end_page) as e, min(p.start_page) > min(x.start_page) or max(p.end_page) < max(x.end_page) as partial
@@ -644,19 +647,20 @@ def v1_fingerprint(spark, sf_dir):
 _RANGES = """, ranges as (select doc_id, vol_idx, start_page, end_page + case when vol_idx % 3 = 0 then 2 else 0 end as end_page from volumes where vol_idx % 5 <> 0), guarded as (select doc_id, start_page, end_page from sections where protected)"""
 
 
-def _ranges(spark, sf_dir):
-    v = partition.rollup(_planned(spark, sf_dir)).where("vol_idx % 5 <> 0")
+def _ranges(spark, sf_dir, pages):
+    v = partition.rollup(_planned(spark, sf_dir, pages)).where("vol_idx % 5 <> 0")
     return v.select("doc_id", "vol_idx", "start_page", (F.col("end_page") + F.when(F.col("vol_idx") % 3 == 0, 2).otherwise(0)).alias("end_page"))
 
 
-def _guarded(spark, sf_dir):
-    return fx.sections(spark, sf_dir).where("protected").select("doc_id", "start_page", "end_page")
+def _guarded(spark, sf_dir, pages):
+    return fx.sections(spark, sf_dir, pages).where("protected").select("doc_id", "start_page", "end_page")
 
 
 @register(_RANGES + """ select r.doc_id, r.vol_idx, count(*) filter (p.start_page >= r.start_page and p.end_page <= r.end_page) as contained, count(*) filter (not (p.start_page >= r.start_page and p.end_page <= r.end_page)) as split
     from ranges r join guarded p on p.doc_id = r.doc_id and p.start_page <= r.end_page and p.end_page >= r.start_page group by all""")
 def v8_protected(spark, sf_dir):
-    return validate.protected_in_range(_ranges(spark, sf_dir), _guarded(spark, sf_dir))
+    pages = tables.written(fx.pages(spark, sf_dir), "pages")
+    return validate.protected_in_range(_ranges(spark, sf_dir, pages), _guarded(spark, sf_dir, pages))
 
 
 @register(
@@ -670,7 +674,8 @@ def v8_protected(spark, sf_dir):
     from counts c left join missing m using (doc_id) left join twice t using (doc_id) left join sorted_ s using (doc_id) left join torn x using (doc_id)"""
 )
 def v11_coverage(spark, sf_dir):
-    return validate.coverage(_ranges(spark, sf_dir), fx.counts(spark, sf_dir), _guarded(spark, sf_dir))
+    pages = tables.written(fx.pages(spark, sf_dir), "pages")
+    return validate.coverage(_ranges(spark, sf_dir, pages), fx.counts(spark, sf_dir, pages), _guarded(spark, sf_dir, pages))
 
 
 def _statuses(spark, sf_dir):

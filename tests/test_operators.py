@@ -292,7 +292,17 @@ def test_outline_scan(spark, tmp_path):
 
 def test_progress_and_totals(spark):
     done = spark.createDataFrame([(1, 1, 2, 3), (1, 2, 1, 5), (2, 1, 1, 7)], "doc_id long, vol_idx int, finished int, pages int")
-    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.progress(done).collect()} == {(1, 2): 519, (1, 1): 800, (2, 1): 800}
-    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.check_progress(done).collect()} == {(1, 2): 890, (1, 1): 980, (2, 1): 980}
+    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.progress(done).collect()} == {(1, 2): 0.519, (1, 1): 0.8, (2, 1): 0.8}
+    assert {(r.doc_id, r.vol_idx): r.progress for r in validate.check_progress(done).collect()} == {(1, 2): 0.89, (1, 1): 0.98, (2, 1): 0.98}
     sections = spark.createDataFrame([(1, 1, 4, True, 10), (1, 5, 5, False, None)], "doc_id long, start_page int, end_page int, protected boolean, size_bytes long")
     assert [tuple(r) for r in lifecycle.totals(sections).collect()] == [(1, 2, 1, 5, 10)]
+
+
+def test_progress_is_rounded_as_python_does(spark):
+    """Every share of up to 120 pages: halves go by what the double is, not by how it is written."""
+    rows = [(f"{n}-{k}", n, k) for n in range(1, 121) for k in range(n + 1)]
+    frame = spark.createDataFrame(rows, "key string, n long, k long")
+    own = frame.select("n", "k", validate.three_places(F.lit(0.05) + F.lit(0.75) * F.col("k") / F.col("n")).alias("a"), validate.three_places(F.lit(0.8) + F.lit(0.18) * F.col("k") / F.col("n")).alias("b")).collect()
+    assert all(r.a == round(0.05 + 0.75 * r.k / r.n, 3) and r.b == round(0.8 + 0.18 * r.k / r.n, 3) for r in own)
+    odd = spark.createDataFrame([(-1.0,), (2.0,), (0.0,), (1.0,), (0.0625,), (0.1875,)], "x double")
+    assert [r.p for r in odd.select(validate.three_places(F.col("x")).alias("p")).collect()] == [0.0, 1.0, 0.0, 1.0, 0.062, 0.188]

@@ -89,9 +89,13 @@ class Ranks:
 
     def literal(self) -> Column:
         """The rank map; by rank, pairs and merged characters; by length of a word, where parts of it lie."""
-        places = lambda most: [[{"at": i, "long": k} for i in range(1, n) for k in range(2, min(most, n - i + 1) + 1)] for n in range(WINDOW + 1)]
+
+        def places(most: int, whole: bool) -> list:
+            # a word that is a token is known before its parts are looked up; a window is not
+            return [[{"at": i, "long": k} for i in range(1, n) for k in range(2, min(most, n - i + 1) + 1) if whole or k < n] for n in range(WINDOW + 1)]
+
         parse = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to a literal before anything runs
-        return F.struct(parse(self.slots, "array<map<string,int>>").alias("slots"), parse(self.pairs, "array<string>").alias("pairs"), parse(self.chars, "array<string>").alias("chars"), parse(self.long, "array<struct<part:string,rank:int>>").alias("long"), *(parse(places(most), "array<array<struct<at:int,long:int>>>").alias(name) for name, most in (("whole", WINDOW), ("short", SHORT))))
+        return F.struct(parse([slot or None for slot in self.slots], "array<map<string,int>>").alias("slots"), parse(self.pairs, "array<string>").alias("pairs"), parse(self.chars, "array<string>").alias("chars"), parse(self.long, "array<struct<part:string,rank:int>>").alias("long"), parse(places(WINDOW, False), "array<array<struct<at:int,long:int>>>").alias("whole"), parse(places(SHORT, True), "array<array<struct<at:int,long:int>>>").alias("short"))
 
     def fold(self, word: Column, table: Column) -> Column:
         """A word, given as the characters of its bytes, as the characters of its tokens."""

@@ -25,7 +25,8 @@ def totals(sections: DataFrame) -> DataFrame:
 
 def expired(last_access: DataFrame, now: Column, ttl_seconds: int, active: DataFrame) -> DataFrame:
     """Keys (key, last_access) not used for longer than the time to live, and without an active job (key)."""
-    old = last_access.where(F.unix_timestamp("last_access") < F.unix_timestamp(now) - ttl_seconds)
+    # to the microsecond, whether the times have a zone or not
+    old = last_access.where(F.col("last_access") + F.make_dt_interval(secs=F.lit(ttl_seconds)) < now)
     return old.join(active.select("key").distinct(), "key", "left_anti").select("key")
 
 

@@ -21,17 +21,20 @@ def sections_for_level(outline: DataFrame, pages: DataFrame, level: int) -> Data
     ``pages`` is (doc_id, page_count).  The deepest entries on a page name its section, several joined in order; the
     path is that of the first of them.
     """
-    chosen = outline.where((F.col("level") <= level) & F.col("page").isNotNull()).join(paths(outline), ["doc_id", "id"])
+    low = outline.where(F.col("level") <= level)
+    chosen = low.where(F.col("page").isNotNull()).join(paths(low), ["doc_id", "id"])
     deepest = F.max("level").over(Window.partitionBy("doc_id", "page"))
     named = chosen.withColumn("deepest", deepest).where("level = deepest").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("id", "title", "path"))).alias("e"))
-    starts = named.join(pages, "doc_id").select("doc_id", "page_count", F.col("page").alias("start_page"), F.array_join(F.col("e.title"), " / ").alias("title"), F.col("e")[0]["path"].alias("path"))
-    order = Window.partitionBy("doc_id").orderBy("start_page")
-    bounded = starts.select("doc_id", "title", "start_page", (F.lead("start_page").over(order) - 1).alias("next"), "page_count", "path")
-    found = bounded.select("doc_id", "title", "start_page", F.coalesce("next", "page_count").alias("end_page"), F.lit(True).alias("protected"), "path", F.lit("bookmark").alias("source"))
-    first = found.groupBy("doc_id").agg(F.min("start_page").alias("first"))
-    front = first.where("first > 1").select("doc_id", F.lit("Front pages (before the first bookmark)").alias("title"), F.lit(1).alias("start_page"), (F.col("first") - 1).alias("end_page"), F.lit(True).alias("protected"), F.lit("").alias("path"), F.lit("front-matter").alias("source"))
-    rest = pages.join(first, "doc_id", "left_anti").select("doc_id", F.lit("Entire document (no usable bookmarks)").alias("title"), F.lit(1).alias("start_page"), F.col("page_count").alias("end_page"), F.lit(False).alias("protected"), F.lit("").alias("path"), F.lit("whole-document").alias("source"))
-    return found.unionByName(front).unionByName(rest)
+    order = Window.partitionBy("doc_id").orderBy("page")
+    starts = pages.join(named, "doc_id", "left").withColumn("next", F.lead("page").over(order) - 1).withColumn("before", F.lag("page").over(order))
+    kind = pages.schema["page_count"].dataType
+    section = lambda title, start, end, protected, path, source: F.struct(title.alias("title"), start.cast(kind).alias("start_page"), end.cast(kind).alias("end_page"), F.lit(protected).alias("protected"), path.alias("path"), F.lit(source).alias("source"))
+    page, one, empty = F.col("page"), F.lit(1), F.lit("")
+    whole = section(F.lit("Entire document (no usable bookmarks)"), one, F.col("page_count"), False, empty, "whole-document")
+    front = section(F.lit("Front pages (before the first bookmark)"), one, page - 1, True, empty, "front-matter")
+    own = section(F.array_join(F.col("e.title"), " / "), page, F.coalesce("next", "page_count"), True, F.get("e", 0)["path"], "bookmark")
+    made = F.when(page.isNull(), F.array(whole)).when(F.col("before").isNull() & (page > 1), F.array(front, own)).otherwise(F.array(own))
+    return starts.select("doc_id", F.explode(made).alias("s")).select("doc_id", "s.*")
 
 
 def out_of_order(outline: DataFrame, level: int) -> DataFrame:

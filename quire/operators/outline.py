@@ -1,6 +1,7 @@
 """Outline hierarchies: rows (doc_id, id, level, title, page, parent) in document order of ``id``.
 
-All windows are partitioned by doc_id; a document's outline is a small part of it, so no partition is large.
+All windows are partitioned by doc_id; a document's outline is a small part of it, so no partition is large.  Nothing
+gathers an outline in a row: work grows with the entries, and with the ancestors where those are given.
 """
 
 from __future__ import annotations
@@ -17,32 +18,33 @@ def is_keyword(title: Column) -> Column:
     return F.lower(title).rlike(rf"(?U)\b({KEYWORDS})\b")
 
 
-def _last(entries: Column) -> Column:
-    """The last of an array, null if it is empty."""
-    return F.get(entries, F.size(entries) - 1)
+def _with_above(outline: DataFrame, depths: Column, order: list[str], carried: list[str]) -> DataFrame:
+    """Rows of ``outline`` once for each of ``depths`` (down to their own level) with ``above``: the last entry before of that level.
+
+    Levels are corrected, so what is above an entry at a level is the last entry before of that level.  A row at its
+    own level (depth = level) has itself there.  ``above`` is a struct of the ``carried`` columns, null where there is none.
+    """
+    each = outline.select("*", F.explode(depths).alias("depth"))
+    line = Window.partitionBy("doc_id", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("above", F.last(F.when(F.col("depth") == F.col("level"), F.struct(*carried)), ignorenulls=True).over(line))
+
+
+def _every_above(outline: DataFrame, carried: list[str]) -> DataFrame:
+    return _with_above(outline, F.sequence(F.lit(1), F.col("level").cast("int")), ["id"], carried)
 
 
 def normalize(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """Correct levels that jump, drop destinations outside the document, name blank titles, find parents.
 
     ``raw`` is (doc_id, id, level, title, page), ``pages`` is (doc_id, page_count).  A level may be one deeper than the
-    corrected level before it, so the correction is a fold over the document's entries; it carries the entries that are
-    still open, whose last is the parent, to any depth.
+    corrected level before it.  So level less place is the least of given level less place up to there (zero before the
+    first), a running minimum; the parent is the last entry before of one level less, to any depth.
     """
-    listed = raw.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "level", "title", "page"))).alias("entries"))
-
-    def step(state: Column, entry: Column) -> Column:
-        fixed = F.greatest(F.least(entry["level"], F.coalesce(_last(state["open"])["level"], F.lit(0)) + 1), F.lit(1))
-        above = F.filter(state["open"], lambda x: x["level"] < fixed)
-        own = F.struct(fixed.alias("level"), _last(above)["id"].alias("parent"))
-        return F.struct(F.concat(above, F.array(F.struct(fixed.alias("level"), entry["id"].alias("id")))).alias("open"), F.concat(state["found"], F.array(own)).alias("found"))
-
-    id_type = raw.schema["id"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<struct<level:int,id:{id_type}>>").alias("open"), F.array().cast(f"array<struct<level:int,parent:{id_type}>>").alias("found"))
-    folded = listed.withColumn("found", F.aggregate("entries", start, step, lambda s: s["found"]))
-    rows = folded.select("doc_id", F.explode(F.arrays_zip("entries", "found")).alias("e"))
-    rows = rows.select("doc_id", "e.entries.id", F.col("e.entries.level").alias("raw_level"), F.col("e.found.level").alias("level"), "e.entries.title", "e.entries.page", "e.found.parent")
-    rows = rows.join(pages, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("id", "level", "title", "page")
+    placed = raw.withColumn("at", F.row_number().over(order)).withColumn("less", F.when(F.col("level").isNotNull(), F.greatest("level", F.lit(1)).cast("long") - F.col("at")))
+    least = F.min("less").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    fixed = placed.withColumnRenamed("level", "raw_level").withColumn("level", (F.col("at") + F.least(least, F.lit(0))).cast("int")).drop("less")
+    rows = _with_above(fixed, F.array(F.col("level"), F.col("level") - 1), ["at"], ["id"]).where("depth < level").join(pages, "doc_id")
     return rows.select(
         "doc_id",
         "id",
@@ -50,7 +52,7 @@ def normalize(raw: DataFrame, pages: DataFrame) -> DataFrame:
         "level",
         F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.concat(F.lit("(untitled bookmark "), F.col("id").cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"),
         F.when(F.col("page").between(1, F.col("page_count")), F.col("page")).alias("page"),
-        "parent",
+        F.col("above.id").alias("parent"),
     )
 
 
@@ -77,21 +79,10 @@ def suggest_level(stats: DataFrame) -> DataFrame:
 def ancestors(outline: DataFrame) -> DataFrame:
     """(doc_id, id, ancestor, distance): one row for every ancestor of every entry, to any depth.
 
-    A fold over a document's entries carries those that are still open; no recursion over the data is needed.
+    Levels are as ``normalize`` corrects them, so an entry has one ancestor at each level above its own.
     """
-    id_type = outline.schema["id"].dataType.simpleString()
-    listed = outline.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("entries"))
-
-    def step(state: Column, entry: Column) -> Column:
-        above = F.filter(state["open"], lambda x: x["level"] < entry["level"])
-        own = F.struct(entry["id"].alias("id"), F.transform(above, lambda x: x["id"]).alias("above"))
-        return F.struct(F.concat(above, F.array(entry)).alias("open"), F.concat(state["found"], F.array(own)).alias("found"))
-
-    entry_type = outline.select(F.struct("id", "level").alias("e")).schema["e"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{entry_type}>").alias("open"), F.array().cast(f"array<struct<id:{id_type},above:array<{id_type}>>>").alias("found"))
-    each = listed.select("doc_id", F.explode(F.aggregate("entries", start, step, lambda s: s["found"])).alias("f"))
-    every = each.select("doc_id", F.col("f.id").alias("id"), F.size("f.above").alias("n"), F.posexplode("f.above").alias("at", "ancestor"))
-    return every.select("doc_id", "id", "ancestor", (F.col("n") - F.col("at")).alias("distance"))
+    every = _every_above(outline.select("doc_id", "id", "level"), ["id"]).where("depth < level")
+    return every.select("doc_id", "id", F.col("above.id").alias("ancestor"), (F.col("level") - F.col("depth")).alias("distance"))
 
 
 def expected_count(remapped: DataFrame) -> DataFrame:
@@ -101,16 +92,18 @@ def expected_count(remapped: DataFrame) -> DataFrame:
 
 def children(outline: DataFrame) -> DataFrame:
     """The tree as rows: (doc_id, id, n_children, children), the ids of an entry's children in order; id null holds the roots."""
-    named = outline.groupBy("doc_id", F.col("parent").alias("id")).agg(F.sort_array(F.collect_list(F.col("id"))).alias("children"))
-    leaves = outline.select("doc_id", "id").join(named.where("id is not null"), ["doc_id", "id"], "left_anti").withColumn("children", F.array().cast(named.schema["children"].dataType))
-    return named.unionByName(leaves).select("doc_id", "id", F.size("children").alias("n_children"), "children")
+    # an entry is given to its parent, and without a child to itself
+    none = F.lit(None).cast(outline.schema["id"].dataType)
+    given = F.array(F.struct(F.col("parent").alias("id"), F.col("id").alias("child")), F.struct(F.col("id").alias("id"), none.alias("child")))
+    named = outline.select("doc_id", F.explode(given).alias("g")).groupBy("doc_id", F.col("g.id").alias("id")).agg(F.sort_array(F.collect_list("g.child")).alias("children"))
+    return named.select("doc_id", "id", F.size("children").alias("n_children"), "children")
 
 
 def paths(outline: DataFrame) -> DataFrame:
     """Titles of all ancestors, root first, joined."""
-    titles = outline.select("doc_id", F.col("id").alias("ancestor"), "title")
-    chain = ancestors(outline).join(titles, ["doc_id", "ancestor"]).groupBy("doc_id", "id").agg(F.sort_array(F.collect_list(F.struct("distance", "title")), asc=False).alias("chain"))
-    return outline.join(chain, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce(F.array_join(F.col("chain.title"), " › "), F.lit("")).alias("path"))
+    titles = F.collect_list(F.when(F.col("depth") < F.col("level"), F.struct("depth", F.col("above.title").alias("title"))))
+    chain = _every_above(outline.select("doc_id", "id", "level", "title"), ["title"]).groupBy("doc_id", "id").agg(F.sort_array(titles).alias("chain"))
+    return chain.select("doc_id", "id", F.array_join(F.col("chain.title"), " › ").alias("path"))
 
 
 def remap(outline: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -120,14 +113,13 @@ def remap(outline: DataFrame, ranges: DataFrame) -> DataFrame:
     page of that first descendant, with a suffix where the ancestor itself begins before the range.
     """
     r = ranges.select("doc_id", "vol_idx", F.col("start_page").alias("s"), F.col("end_page").alias("e"))
-    kept = outline.where("page is not null").join(r, "doc_id").where("page between s and e").select("doc_id", "vol_idx", "id", "level", "title", "page", "s")
-    above = kept.join(ancestors(outline), ["doc_id", "id"])
-    first = above.groupBy("doc_id", "vol_idx", "ancestor").agg(F.min(F.struct("id", "page", "s")).alias("f"))
-    added = first.join(kept.select("doc_id", "vol_idx", F.col("id").alias("ancestor")), ["doc_id", "vol_idx", "ancestor"], "left_anti")
-    named = outline.select("doc_id", F.col("id").alias("ancestor"), F.col("level"), F.col("title"), F.col("page").alias("own_page"))
-    added = added.join(named, ["doc_id", "ancestor"]).select(
-        "doc_id", "vol_idx", F.col("f.id").alias("at"), F.col("level"), F.when(F.col("own_page") < F.col("f.s"), F.concat("title", F.lit(" (continued)"))).otherwise(F.col("title")).alias("title"), (F.col("f.page") - F.col("f.s") + 1).alias("page"), F.lit(0).alias("own")
-    )
-    own = kept.select("doc_id", "vol_idx", F.col("id").alias("at"), "level", "title", (F.col("page") - F.col("s") + 1).alias("page"), F.lit(1).alias("own"))
+    above = _every_above(outline.select("doc_id", "id", "level", "title", "page"), ["id", "level", "title", "page"])
+    met = above.where("page is not null").join(r, "doc_id").where("page between s and e")
+    # an entry itself, and the ancestors that the range does not have of themselves
+    own = F.col("depth") == F.col("level")
+    wanted = met.withColumn("own", F.when(own, 1).otherwise(0)).where(own | ~F.coalesce(F.col("above.page").between(F.col("s"), F.col("e")), F.lit(False)))
+    given = wanted.groupBy("doc_id", "vol_idx", F.col("above.id").alias("entry"), "own").agg(F.min(F.struct("id", "page", "s", "above")).alias("f"))
+    title = F.when((F.col("own") == 0) & (F.col("f.above.page") < F.col("f.s")), F.concat("f.above.title", F.lit(" (continued)"))).otherwise(F.col("f.above.title"))
+    rows = given.select("doc_id", "vol_idx", F.col("f.id").alias("at"), F.col("f.above.level").alias("level"), title.alias("title"), (F.col("f.page") - F.col("f.s") + 1).alias("page"), "own")
     order = Window.partitionBy("doc_id", "vol_idx").orderBy("at", "own", "level")
-    return added.unionByName(own).select("doc_id", "vol_idx", F.row_number().over(order).alias("pos"), "level", "title", "page")
+    return rows.select("doc_id", "vol_idx", F.row_number().over(order).alias("pos"), "level", "title", "page")

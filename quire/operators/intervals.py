@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,13 +55,25 @@ def violations(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
 def fill_gaps(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """Sections with blank titles named, and an unprotected section for every hole."""
-    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Pages "), F.col("start_page").cast("string"), F.lit("–"), F.col("end_page").cast("string")))
-    named = sections.withColumn("title", title)
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), _page_range(F.col("start_page"), F.col("end_page")))
     order = Window.partitionBy("doc_id").orderBy("start_page")
-    marks = named.select("doc_id", "start_page", "end_page").unionByName(pages.select("doc_id", (F.col("page_count") + 1).alias("start_page"), (F.col("page_count") + 1).alias("end_page")))
-    holes = marks.select("doc_id", (F.coalesce(F.lag("end_page").over(order), F.lit(0)) + 1).alias("s"), (F.col("start_page") - 1).alias("e")).where("s <= e")
-    gaps = holes.select("doc_id", F.concat(F.lit("Pages "), F.col("s").cast("string"), F.lit("–"), F.col("e").cast("string"), F.lit(" (not in a defined section)")).alias("title"), F.col("s").alias("start_page"), F.col("e").alias("end_page"), F.lit(False).alias("protected"), F.lit("").alias("path"), F.lit("gap").alias("source"))
-    return named.unionByName(gaps, allowMissingColumns=True)
+    # a hole is made by the section after it, or by the document's end, so that sections are read once
+    ends = pages.select("doc_id", (F.col("page_count") + 1).alias("start_page"), (F.col("page_count") + 1).alias("end_page"), F.lit(True).alias("_end"))
+    marks = sections.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True).withColumn("_from", F.coalesce(F.lag("end_page").over(order), F.lit(0)) + 1)
+    s, e = F.col("_from"), F.col("start_page") - 1
+    gap = {"title": F.concat(_page_range(s, e), F.lit(" (not in a defined section)")), "start_page": s, "end_page": e, "protected": F.lit(False), "path": F.lit(""), "source": F.lit("gap")}
+    had = [c for c in sections.columns if c != "doc_id"]
+    names = had + [c for c in gap if c not in had]
+    kinds = {f.name: f.dataType for f in marks.schema}
+    row = lambda values: F.struct(*[(values.get(c, F.lit(None)).cast(kinds[c]) if c in kinds else values.get(c, F.lit(None))).alias(c) for c in names])
+    own = row({c: F.col(c) for c in had} | {"title": title})
+    made = F.array_compact(F.array(F.when(s <= e, row(gap)), F.when(~F.col("_end"), own)))
+    filled = marks.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
+    return filled.select(*sections.columns, *names[len(had) :])
+
+
+def _page_range(first: Column, last: Column) -> Column:
+    return F.concat(F.lit("Pages "), first.cast("string"), F.lit("–"), last.cast("string"))
 
 
 def gap_warning(filled: DataFrame) -> DataFrame:

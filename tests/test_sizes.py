@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import intervals, ladder, lifecycle, outline
+from quire.plans import fixtures
 
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
@@ -65,3 +66,21 @@ def test_ladders_and_probes_stay_in_their_rows(spark):
     probes = ladder.probes(line, 1500)
     assert [(round(r.x, 2), r.dpi, r.quality) for r in probes.collect()] == [(0.6, 101, 50)]
     assert "Exchange" not in plan_of(steps) and "Exchange" not in plan_of(probes)
+
+
+def test_gaps_read_sections_once_and_no_page_has_a_row(spark, tmp_path):
+    # customer 1: orders of 2, 1, 3 lines, one of them without a quantity; customer 2: one; an order of no lines, lines of no order
+    spark.createDataFrame([(10, 1), (11, 1), (15, 1), (12, 2), (13, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(10, 1, 5.0), (10, 2, 6.0), (11, 1, None), (15, 3, 1.0), (15, 1, 2.0), (15, 1, 2.0), (12, 1, 9.0), (99, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    s, n = fixtures.sections(spark, str(tmp_path)), fixtures.counts(spark, str(tmp_path))
+    paged = fixtures.pages(spark, str(tmp_path))
+    for made, of in ((s, fixtures.sections(spark, "", paged)), (n, fixtures.counts(spark, "", paged))):
+        assert made.dtypes == of.dtypes and sorted(made.collect()) == sorted(of.collect())
+    filled = intervals.fill_gaps(s.where("sec_idx <> 2").withColumn("title", F.when(F.col("sec_idx") == 1, " ").otherwise(F.col("title"))), n)
+    got = sorted((r.doc_id, r.start_page, r.end_page, r.title, r.protected, r.source) for r in filled.withColumn("source", F.coalesce("source", F.lit("own"))).collect())
+    assert got == [(1, 1, 2, "Pages 1–2", True, "own"), (1, 3, 3, "Pages 3–3 (not in a defined section)", False, "gap"), (1, 4, 6, "Order 15", False, "own"), (2, 1, 1, "Pages 1–1", False, "own")]
+    assert [tuple(r) for r in intervals.gap_warning(filled).collect()] == [(1, 1, "3–3")]
+    # the lines are read for the sections and for the counts, and counted before they are joined
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2 and "l_linenumber ASC" not in plan

@@ -29,7 +29,8 @@ def build_units(sections: DataFrame, weights: DataFrame) -> DataFrame:
     split = ~F.col("protected") & (F.col("end_page") > F.col("start_page"))
     whole = sections.where(~split).select("doc_id", "sec_idx", "start_page", "end_page", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size"), "protected", F.col("min_size_bytes").cast("long").alias("min_size"))
     pages = sections.where(split).select("doc_id", "sec_idx", "start_page", "end_page", "size_bytes", "min_size_bytes", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
-    weighted = pages.join(weights, ["doc_id", "page_no"], "left").withColumn("w", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).cast("long"))
+    # dealt by document once, which serves all windows that follow
+    weighted = pages.join(weights, ["doc_id", "page_no"], "left").withColumn("w", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).cast("long")).repartition("doc_id")
     section = Window.partitionBy("doc_id", "sec_idx")
     total = F.sum("w").over(section)
     share = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0)).cast(BIG) * F.col("w") / total).cast("long")
@@ -38,7 +39,7 @@ def build_units(sections: DataFrame, weights: DataFrame) -> DataFrame:
     sized = shared.withColumn("size", F.greatest(F.when(F.col("page_no") == F.col("end_page"), F.coalesce("size_bytes", F.lit(0)) - others).otherwise(F.col("share")), F.lit(1)).cast("long"))
     each = sized.select("doc_id", "sec_idx", F.col("page_no").alias("start_page"), F.col("page_no").alias("end_page"), "size", F.lit(False).alias("protected"), "min_size")
     order = Window.partitionBy("doc_id").orderBy("start_page", "sec_idx")
-    return whole.unionByName(each).withColumn("unit_idx", F.row_number().over(order))
+    return whole.repartition("doc_id").unionByName(each).withColumn("unit_idx", F.row_number().over(order))
 
 
 def greedy(units: DataFrame, cap: Column) -> DataFrame:
@@ -54,9 +55,10 @@ def greedy(units: DataFrame, cap: Column) -> DataFrame:
         return F.struct(alone.alias("closed"), F.when(begins, unit["size"]).otherwise(state["filled"] + unit["size"]).alias("filled"), F.when(begins, F.concat(state["starts"], F.array(unit["unit_idx"]))).otherwise(state["starts"]).alias("starts"))
 
     start = F.struct(F.lit(True).alias("closed"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<int>").alias("starts"))
-    starts = listed.select("doc_id", F.explode(F.aggregate("u", start, lambda s, u: step(s, u, F.col("_cap")), lambda s: s["starts"])).alias("unit_idx"), F.lit(1).alias("begins"))
-    order = Window.partitionBy("doc_id").orderBy("unit_idx")
-    return units.join(starts, ["doc_id", "unit_idx"], "left").withColumn("vol_idx", F.sum(F.coalesce("begins", F.lit(0))).over(order).cast("int")).drop("begins")
+    starts = listed.select("doc_id", F.explode(F.aggregate("u", start, lambda s, u: step(s, u, F.col("_cap")), lambda s: s["starts"])).alias("unit_idx"), F.lit(1).alias("_begins"))
+    order = Window.partitionBy("doc_id").orderBy("unit_idx", F.desc("_begins")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = units.repartition("doc_id").withColumn("_begins", F.lit(0)).unionByName(starts, allowMissingColumns=True)
+    return marked.withColumn("vol_idx", F.sum("_begins").over(order).cast("int")).where("_begins = 0").drop("_begins")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -294,8 +296,8 @@ def moved_starts(starts: DataFrame, moves: DataFrame, sections: DataFrame) -> Da
 def rollup(planned: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row per volume: range, sizes, sections in order with clipped ranges, and whether its floor is above the limit."""
     clipped = planned.groupBy("doc_id", "vol_idx", "sec_idx").agg(F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("units"), F.count_if(F.col("min_size").isNull()).alias("unknown"), F.sum("min_size").alias("floor"), F.bool_and("protected").alias("protected"))
-    whole = planned.groupBy("doc_id", "sec_idx").agg(F.min("start_page").alias("s"), F.max("end_page").alias("e"))
-    parts = clipped.join(whole, ["doc_id", "sec_idx"]).withColumn("partial", (F.col("start_page") > F.col("s")) | (F.col("end_page") < F.col("e")))
+    section = Window.partitionBy("doc_id", "sec_idx")
+    parts = clipped.withColumn("partial", (F.col("start_page") > F.min("start_page").over(section)) | (F.col("end_page") < F.max("end_page").over(section)))
     over = F.lit(False) if max_bytes is None else F.col("estimated_bytes") > max_bytes
     reach = F.lit(True) if max_bytes is None else F.coalesce(F.col("min_estimated_bytes") <= max_bytes, F.lit(True))
     volumes = parts.groupBy("doc_id", "vol_idx").agg(

@@ -31,10 +31,10 @@ def protected_in_range(ranges: DataFrame, protected: DataFrame) -> DataFrame:
 def coverage(ranges: DataFrame, pages: DataFrame, protected: DataFrame) -> DataFrame:
     """Per document: pages that no volume has, that several have, whether volumes are in order, protected sections cut."""
     # how many volumes have a page changes only where one begins or ends, so those places are enough
-    none = F.lit(None).cast(pages.schema["page_count"].dataType)
-    places = ranges.select("doc_id", F.col("start_page").alias("at"), F.lit(1).alias("d"), none.alias("page_count")).unionByName(ranges.select("doc_id", (F.col("end_page") + 1).alias("at"), F.lit(-1).alias("d"), none.alias("page_count")))
+    place = lambda at, d: F.struct(at.cast("long").alias("at"), F.lit(d).alias("d"))
+    places = ranges.select("doc_id", F.explode(F.array(place(F.col("start_page"), 1), place(F.col("end_page") + 1, -1))).alias("p")).select("doc_id", "p.*")
     ends = pages.select("doc_id", F.explode(F.array(F.lit(1).cast("long"), F.col("page_count").cast("long") + 1)).alias("at"), F.lit(0).alias("d"), "page_count")
-    changes = places.unionByName(ends).groupBy("doc_id", "at").agg(F.sum("d").alias("d"), F.max("page_count").alias("page_count"))
+    changes = places.unionByName(ends, allowMissingColumns=True).repartition("doc_id").groupBy("doc_id", "at").agg(F.sum("d").alias("d"), F.max("page_count").alias("page_count"))
     line = Window.partitionBy("doc_id").orderBy("at")
     parts = changes.select("doc_id", "at", F.sum("d").over(line).alias("n"), (F.lead("at").over(line) - F.col("at")).alias("long"), F.max("page_count").over(Window.partitionBy("doc_id")).alias("page_count"))
     inside = (F.col("at") >= 1) & (F.col("at") <= F.col("page_count"))

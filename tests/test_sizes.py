@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import intervals, ladder, lifecycle, outline
+from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
 from quire.plans import fixtures
 
 
@@ -84,3 +84,40 @@ def test_gaps_read_sections_once_and_no_page_has_a_row(spark, tmp_path):
     # the lines are read for the sections and for the counts, and counted before they are joined
     plan = filled._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 2 and "l_linenumber ASC" not in plan
+
+
+def test_volumes_and_coverage_deal_units_once(spark, tmp_path):
+    rng, cap = random.Random(20), 30
+    rows, want = [], {}
+    for d in range(20):
+        n, filled, vol, closed = rng.randint(1, 25), 0, 0, True
+        for i in range(1, n + 1):
+            size = rng.choice([1, 5, 9, 14, 31, 40])
+            if size > cap or closed or filled + size > cap:
+                vol, filled = vol + 1, 0
+            filled, closed = filled + size, size > cap
+            rows.append((d, i, (i + 2) // 3, i, i, size, i % 2 == 0, None))
+            want.setdefault((d, vol), []).append(i)
+    kind = "doc_id long, unit_idx int, sec_idx int, start_page int, end_page int, size long, protected boolean, min_size long"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/units")
+    v = partition.rollup(partition.greedy(spark.read.parquet(f"{tmp_path}/units"), F.lit(cap)))
+    last = {d: max(i for x, i, *_ in rows if x == d) for d in range(20)}
+    torn = lambda d, pages: any((i in pages) != (j in pages) for s in range(1, last[d] + 1, 3) for i in range(s, min(s + 3, last[d] + 1)) for j in range(s, min(s + 3, last[d] + 1)))
+    assert {(r.doc_id, r.vol_idx): (r.start_page, r.end_page, r.any_partial) for r in v.collect()} == {k: (p[0], p[-1], torn(k[0], p)) for k, p in want.items()}
+    ranges = v.select("doc_id", "vol_idx", "start_page", "end_page")
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange ") == 2 and "Join" not in plan
+    # some volumes left out, some longer than they were
+    kept = [(d, n, p[0], p[-1] + 2 * (n % 3 == 0)) for (d, n), p in want.items() if n % 4]
+    guards = [(d, s, min(s + 2, last[d])) for d in range(20) for s in range(1, last[d] + 1, 6)]
+    pages = spark.createDataFrame(list(last.items()), "doc_id long, page_count int")
+    made = validate.coverage(spark.createDataFrame(kept, "doc_id long, vol_idx int, start_page int, end_page int"), pages, spark.createDataFrame(guards, "doc_id long, start_page int, end_page int"))
+
+    def counted(d):
+        own = [(s, e) for x, _, s, e in kept if x == d]
+        times = [sum(s <= p <= e for s, e in own) for p in range(1, last[d] + 3)]
+        met = [[(a, b) for a, b in own if a <= e and b >= s] for x, s, e in guards if x == d]
+        bad = sum(bool(m) and (len(m) > 1 or not (m[0][0] <= g[1] and g[2] <= m[0][1])) for m, g in zip(met, [g for g in guards if g[0] == d], strict=True))
+        return times[: last[d]].count(0), sum(t > 1 for t in times), all(b[0] >= a[1] for a, b in zip(own, own[1:])), bad
+
+    assert {r.doc_id: (r.missing, r.duplicated, r.in_order, r.protected_split) for r in made.collect()} == {d: counted(d) for d in range(20)}

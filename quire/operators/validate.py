@@ -34,9 +34,8 @@ def coverage(ranges: DataFrame, pages: DataFrame, protected: DataFrame) -> DataF
     place = lambda at, d: F.struct(at.cast("long").alias("at"), F.lit(d).alias("d"))
     places = ranges.select("doc_id", F.explode(F.array(place(F.col("start_page"), 1), place(F.col("end_page") + 1, -1))).alias("p")).select("doc_id", "p.*")
     ends = pages.select("doc_id", F.explode(F.array(F.lit(1).cast("long"), F.col("page_count").cast("long") + 1)).alias("at"), F.lit(0).alias("d"), "page_count")
-    changes = places.unionByName(ends, allowMissingColumns=True).repartition("doc_id").groupBy("doc_id", "at").agg(F.sum("d").alias("d"), F.max("page_count").alias("page_count"))
-    line = Window.partitionBy("doc_id").orderBy("at")
-    parts = changes.select("doc_id", "at", F.sum("d").over(line).alias("n"), (F.lead("at").over(line) - F.col("at")).alias("long"), F.max("page_count").over(Window.partitionBy("doc_id")).alias("page_count"))
+    line = Window.partitionBy("doc_id").orderBy("at")  # a sum takes all changes at a place; between those there are no pages
+    parts = places.unionByName(ends, allowMissingColumns=True).select("doc_id", "at", F.sum("d").over(line).alias("n"), (F.lead("at").over(line) - F.col("at")).alias("long"), F.max("page_count").over(Window.partitionBy("doc_id")).alias("page_count"))
     inside = (F.col("at") >= 1) & (F.col("at") <= F.col("page_count"))
     counted = parts.groupBy("doc_id").agg(F.sum(F.when((F.col("n") == 0) & inside, F.col("long"))).alias("missing"), F.sum(F.when(F.col("n") > 1, F.col("long"))).alias("duplicated"))
     order = Window.partitionBy("doc_id").orderBy("vol_idx")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import intervals, ladder, lifecycle, outline, partition, validate
-from quire.plans import fixtures
+from quire.plans import fixtures, queries
 
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
@@ -121,3 +121,20 @@ def test_volumes_and_coverage_deal_units_once(spark, tmp_path):
         return times[: last[d]].count(0), sum(t > 1 for t in times), all(b[0] >= a[1] for a, b in zip(own, own[1:])), bad
 
     assert {r.doc_id: (r.missing, r.duplicated, r.in_order, r.protected_split) for r in made.collect()} == {d: counted(d) for d in range(20)}
+
+
+def test_gap_warning_counts_lines_before_it_joins_them(spark, tmp_path):
+    # customer d has orders of 1 to 4 lines; every fourth section is left out
+    orders = [(10 * d + i, d) for d in range(3) for i in range(1, 10)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n, 1.0) for k, _ in orders for n in range(k % 4 + 1)], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = queries.QUERIES["s10_gap_warning"](spark, str(tmp_path))
+    want = {}
+    for d in range(3):
+        at = 1
+        for i, k in enumerate(sorted(k for k, c in orders if c == d), 1):
+            if i % 4 == 0:
+                want.setdefault(d, []).append(f"{at}–{at + k % 4}")
+            at += k % 4 + 1
+    assert {r.doc_id: (r.n_gaps, r.ranges) for r in made.collect()} == {d: (len(g), ", ".join(g)) for d, g in want.items()}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2

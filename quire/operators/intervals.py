@@ -56,22 +56,37 @@ def violations(sections: DataFrame, pages: DataFrame) -> DataFrame:
 def fill_gaps(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """Sections with blank titles named, and an unprotected section for every hole."""
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), _page_range(F.col("start_page"), F.col("end_page")))
-    order = Window.partitionBy("doc_id").orderBy("start_page")
-    # a hole is made by the section after it, or by the document's end, so that sections are read once
-    ends = pages.select("doc_id", (F.col("page_count") + 1).alias("start_page"), (F.col("page_count") + 1).alias("end_page"), F.lit(True).alias("_end"))
-    marks = sections.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True).withColumn("_from", F.coalesce(F.lag("end_page").over(order), F.lit(0)) + 1)
-    s, e = F.col("_from"), F.col("start_page") - 1
-    gap = {"title": F.concat(_page_range(s, e), F.lit(" (not in a defined section)")), "start_page": s, "end_page": e, "protected": F.lit(False), "path": F.lit(""), "source": F.lit("gap")}
+    marks, gap = _marks(sections, pages), _gap()
     had = [c for c in sections.columns if c != "doc_id"]
     names = had + [c for c in gap if c not in had]
     kinds = {f.name: f.dataType for f in marks.schema}
     row = lambda values: F.struct(*[(values.get(c, F.lit(None)).cast(kinds[c]) if c in kinds else values.get(c, F.lit(None))).alias(c) for c in names])
     own = row({c: F.col(c) for c in had} | {"title": title})
-    made = F.array_compact(F.array(F.when(s <= e, row(gap)), F.when(~F.col("_end"), own)))
+    made = F.array_compact(F.array(F.when(F.expr(_HOLE), row(gap)), F.when(~F.col("_end"), own)))
     filled = marks.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
     return filled.select(*sections.columns, *names[len(had) :])
 
 
+def gaps(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sections alone that ``fill_gaps`` adds; nothing of the others but where they are is sorted."""
+    return _marks(sections.select("doc_id", "start_page", "end_page"), pages).where(_HOLE).select("doc_id", *[v.alias(c) for c, v in _gap().items()])
+
+
+_HOLE = "_from < start_page"
+
+
+def _marks(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections and documents' ends with the first page after what comes before: a hole is made by what is after it."""
+    order = Window.partitionBy("doc_id").orderBy("start_page")
+    ends = pages.select("doc_id", (F.col("page_count") + 1).alias("start_page"), (F.col("page_count") + 1).alias("end_page"), F.lit(True).alias("_end"))
+    return sections.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True).withColumn("_from", F.coalesce(F.lag("end_page").over(order), F.lit(0)) + 1)
+
+
+def _gap() -> dict[str, Column]:
+    s, e = F.col("_from"), F.col("start_page") - 1
+    return {"title": F.concat(_page_range(s, e), F.lit(" (not in a defined section)")), "start_page": s, "end_page": e, "protected": F.lit(False), "path": F.lit(""), "source": F.lit("gap")}
+
+
 def _page_range(first: Column, last: Column) -> Column:
     return F.concat(F.lit("Pages "), first.cast("string"), F.lit("–"), last.cast("string"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,28 @@ def test_gap_warning_counts_lines_before_it_joins_them(spark, tmp_path):
             at += k % 4 + 1
     assert {r.doc_id: (r.n_gaps, r.ranges) for r in made.collect()} == {d: (len(g), ", ".join(g)) for d, g in want.items()}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2
+
+
+def test_gap_warning_and_its_counts_share_one_shuffle(spark, tmp_path):
+    # order 4 is listed twice for customer 1, order 6 for two customers, order 8 for none
+    orders = [(1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (5, 1), (6, 1), (6, 2), (7, 2), (8, None), (9, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n, float(k)) for k in range(1, 10) for n in range(k % 3 + 1)], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    s = fixtures.sections(spark, str(tmp_path))
+    paged = fixtures.pages(spark, str(tmp_path))
+    of = fixtures.sections(spark, "", paged)
+    assert s.dtypes == of.dtypes and sorted(map(str, s.collect())) == sorted(map(str, of.collect()))
+    n = fixtures.lengths(s)
+    assert n.dtypes == fixtures.counts(spark, "", paged).dtypes and sorted(map(str, n.collect())) == sorted(map(str, fixtures.counts(spark, "", paged).collect()))
+    # the holes alone are those among the filled sections; a document none of whose sections is kept is one hole
+    kept = s.where("doc_id = 1 and sec_idx % 4 <> 0")
+    holes, filled = intervals.gaps(kept, n), intervals.fill_gaps(kept.withColumn("source", F.lit("own")), n)
+    assert sorted(map(str, holes.collect())) == sorted(map(str, filled.where("source = 'gap'").select(*holes.columns).collect()))
+    assert {r.doc_id: r.ranges for r in intervals.gap_warning(holes).collect()} == {1: "7–10", 2: "1–3", None: "1–4"}
+    for name in ("s10_gap_warning", "s8_fill_gaps"):
+        made = queries.QUERIES[name](spark, str(tmp_path))
+        got = made.collect()
+        final, initial = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")
+        assert "ReusedExchange [doc_id" in final and not re.search(r"Aggregate\(keys=\[doc_id#\d+L?, o_orderkey", initial)
+        if name == "s10_gap_warning":
+            assert [tuple(r) for r in got] == [(1, 1, "7–10")] and "Order " not in initial

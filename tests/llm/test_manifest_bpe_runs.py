@@ -123,6 +123,33 @@ def test_bpe(spark):
     assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(ids, RANKS).collect()} == {1: library.decode_bytes([15496, 995]), 2: b"", 3: b""}
 
 
+def test_parts_of_words_are_found_by_a_trie(spark, monkeypatch):
+    """Spark folds only merges whose tokens lie in a word, and looks up no part of it."""
+    rng = random.Random(11)
+    merges = byte_bpe.Ranks(RANKS)
+    parts = byte_bpe.Parts(merges.ranks)
+    words = ["".join(rng.choice(["a", "er", "tion", " the", "é", "中", "=", " "]) for _ in range(rng.randint(1, 9))).encode() for _ in range(300)] + [b"=" * 400, b"q", b" the"]
+    want = [sorted({merges.ranks[w[i:j]] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if w[i:j] in merges.ranks}) for w in words]
+    for places in (byte_bpe.PLACES, 7):  # words across several runs of places
+        monkeypatch.setattr(byte_bpe, "PLACES", places)
+        ranks, many = parts.find(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([len(w) for w in words]))
+        assert [x.tolist() for x in np.split(ranks, np.cumsum(many)[:-1])] == want
+    ranks, many = parts.find(np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64))
+    assert len(ranks) == len(many) == 0
+    plan = byte_bpe.encode(documents(spark, [(1, "s", "a")]), RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().numberedTreeString()
+    assert "aggregate(" in plan and not any(f in plan for f in ("xxhash64(", "substr", "element_at("))
+
+
+def test_words_of_every_character():
+    find = byte_bpe.Words(public_tokenizers.PATTERN).finder()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.Ranks(RANKS).ranks, special_tokens={})
+    for low in range(0, 0x20000, 1 << 10):
+        text = "".join(f"ab{c}the {c}12{c}!{c}" for c in map(chr, range(low, low + (1 << 10))) if not 0xD800 <= ord(c) < 0xE000)
+        words = find(text)
+        assert "".join(words) == text
+        assert [t for w in words for t in library._encode_single_piece(w)] == library.encode_ordinary(text)
+
+
 def test_ranks_that_are_no_merges(tmp_path):
     with open(RANKS, "rb") as f:
         lines = f.read().split(b"\n")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,57 @@ def test_plans(spark):
         assert sum(sum(g) ** 2 for g in got[d]) == sum(sum(g) ** 2 for g in want) and len(got[d]) == k
 
 
+def best_by_loops(sizes, k, cap):
+    """Sizes of the volumes of least squares, the latest cuts first among equals, by a plain loop over layers, ends and cuts."""
+    before = [0, *itertools.accumulate(sizes)]
+    n, ways, backs = len(sizes), {0: 0}, []
+    for g in range(1, k + 1):
+        now, back = {}, {}
+        for end in range(g, n + 1):
+            for cut in range(end - 1, -1, -1):
+                if end - cut > 1 and before[end] - before[cut] > cap:
+                    break
+                if cut in ways and (end not in now or ways[cut] + (before[end] - before[cut]) ** 2 < now[end]):
+                    now[end], back[end] = ways[cut] + (before[end] - before[cut]) ** 2, cut
+        ways = now
+        backs.append(back)
+    ends = [n]
+    for back in reversed(backs):
+        ends.append(back[ends[-1]])
+    return [sizes[a:b] for a, b in itertools.pairwise(reversed(ends))]
+
+
+@pytest.mark.parametrize("table, cuts", [(4096, 1 << 24), (0, 0)])
+def test_balanced_partition_of_a_document(monkeypatch, table, cuts):
+    # no Spark: tables and halved layers, cuts kept and made again give the same
+    monkeypatch.setattr(partition, "TABLE", table)
+    monkeypatch.setattr(partition, "CUTS", cuts)
+    rng = random.Random(11)
+    for _ in range(300):
+        n, largest = rng.randint(3, 25), rng.choice([2, 10, 1 << 40])
+        sizes = [rng.randint(0, largest) for _ in range(n)]
+        k = rng.randint(2, n - 1)
+        upto = np.cumsum(sizes)
+        least = partition._least_cap([0, *upto.tolist()], k)
+        for cap in (least, int(upto[-1]), least + largest):
+            starts = partition._least_squares(upto, partition._first(upto, cap), k).tolist()
+            assert [sizes[a:b] for a, b in itertools.pairwise([*starts, n])] == best_by_loops(sizes, k, cap)
+
+
+def test_large_documents_are_partitioned_exactly(spark):
+    # units times volumes times the longest run are beyond 4,000,000 for each, where volumes were split from greedy ones
+    rng = random.Random(12)
+    loose, long = [rng.randint(1, 50) for _ in range(220)], [rng.randint(1, 50) for _ in range(1800)]
+    caps = spark.createDataFrame([(1, sum(loose))], "doc_id long, cap long")
+    assert groups(partition.balanced(units(spark, {1: loose}), caps, 110)) == {1: best_by_loops(loose, 110, sum(loose))}
+    k = len(greedy(long, 300))
+    assert groups(partition.plan(units(spark, {1: long, 2: [5, 6]}), "max_size", max_bytes=300)) == {1: best_by_loops(long, k, least_cap(long, k, 300)), 2: [[5, 6]]}
+    most = sum(long) // 3 + 50
+    assert len(greedy(long, most)) == 3
+    limit = next(c for c in range(sum(long) // 3, most + 1) if len(greedy(long, c)) <= 3)
+    assert groups(partition.plan(units(spark, {1: long}), "both", max_bytes=most, k=3)) == {1: best_by_loops(long, 3, limit)}
+
+
 def test_too_much_work_is_split(spark, monkeypatch):
     docs = {1: [9, 2, 2, 30, 4, 4, 6, 1], 2: [3, 3]}
     monkeypatch.setattr(partition, "WORK_LIMIT", 20)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Partitions are exact for documents of any size.  Beyond 4,000,000 units of work the reference splits repeatedly instead,
-#: which gives other volumes: who wants that of ``balanced`` sets it here; no query does.
+#: which gives other volumes: who wants that of ``balanced`` sets it here; no query and no plan does.
 WORK_LIMIT: int | None = None
 #: A layer of the exact partition with no more ends times cuts is looked at as one table; this only saves time.
 TABLE = 4096
@@ -125,6 +125,15 @@ def _fits(before: list[int], cap: int, k: int) -> bool:
     return at >= n
 
 
+def _needed(before: list[int], cap: int) -> int:
+    """How many volumes greedy filling under a cap needs."""
+    at, n, volumes = 0, len(before) - 1, 0
+    while at < n:
+        at = max(at + 1, bisect_right(before, before[at] + cap) - 1)
+        volumes += 1
+    return volumes
+
+
 def work(units: DataFrame, caps: DataFrame, k: int | DataFrame) -> DataFrame:
     """A document's n, k and cap with work (units times volumes times the longest run within the cap) and exact.
 
@@ -316,18 +325,19 @@ def plan(units: DataFrame, mode: str, *, max_bytes: int | None = None, k: int |
     """Units with vol_idx under a mode: max_size, num_volumes, both, or adjusted (``starts`` of doc_id, unit_idx)."""
     if mode == "adjusted":
         return by_starts(units, starts)
-    counts: int | DataFrame = k if k is not None else 0
-    if mode == "max_size":
-        counts = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("k"))
-        return balanced(units, min_cap(units, counts, F.lit(max_bytes).cast("long")), counts)
     # a document of fewer units than k has one volume for each, which is what the balanced partition gives
-    caps = min_cap(units, counts)
-    if mode == "both":
-        fits = greedy(units, F.lit(max_bytes)).groupBy("doc_id").agg(F.max("vol_idx").alias("g"))
-        limited = min_cap(units, counts, F.lit(max_bytes).cast("long")).withColumnRenamed("cap", "limited")
-        both = caps.join(limited, "doc_id").join(fits, "doc_id")
-        caps = both.select("doc_id", F.when(F.col("g") <= k, F.col("limited")).otherwise(F.col("cap")).alias("cap"))
-    return balanced(units, caps, counts)
+    def begins(upto: np.ndarray) -> np.ndarray:
+        return _begins(upto, *_limits([0, *upto.tolist()], mode, max_bytes, k or 0))
+
+    return by_starts(units, _solved(_listed(units), ["upto"], begins))
+
+
+def _limits(before: list[int], mode: str, max_bytes: int | None, k: int) -> tuple[int, int]:
+    """A document's cap and its number of volumes under a mode of ``plan``; ``before`` as in ``_fits``."""
+    if mode == "max_size":
+        k = _needed(before, max_bytes)
+    fits = mode == "max_size" or mode == "both" and _needed(before, max_bytes) <= k
+    return _least_cap(before, k, max_bytes if fits else None), k
 
 
 def count_warnings(planned: DataFrame, requested: int) -> DataFrame:

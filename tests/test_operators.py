@@ -167,6 +167,13 @@ def test_large_documents_are_partitioned_exactly(spark):
     assert groups(partition.plan(units(spark, {1: long}), "both", max_bytes=most, k=3)) == {1: best_by_loops(long, 3, limit)}
 
 
+@pytest.mark.parametrize("mode, given", [("max_size", {"max_bytes": 30}), ("both", {"max_bytes": 30, "k": 3})])
+def test_plans_join_no_union(spark, mode, given):
+    # Spark joins a union of parts as if it had the parts of one side ("can't zip RDDs with unequal numbers of partitions")
+    plan = partition.plan(units(spark, {1: [7, 20, 9]}), mode, **given)
+    assert "Union" not in plan._jdf.queryExecution().toString()
+
+
 def test_too_much_work_is_split(spark, monkeypatch):
     docs = {1: [9, 2, 2, 30, 4, 4, 6, 1], 2: [3, 3]}
     monkeypatch.setattr(partition, "WORK_LIMIT", 20)

@@ -152,6 +152,32 @@ def test_suffix_order_with_many_strings(size):
     assert order[:5].tolist() == [size, size + 3, size + 1, size + 4, size + 6] and (order[5:] == np.flatnonzero(text == 255)).all()
 
 
+def test_matches_are_measured_at_the_heads_of_runs_only(monkeypatch):
+    # long repeats: every place behind a head whose match reached the limit was measured again
+    rng = random.Random(4)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(400))
+    strings = [passage, b"x" * 30 + passage[50:350], passage[:200] + b"yz" + passage[200:], b"x" * 150, b"x"]
+    index, measured, real = suffix_dedup.RunLengthIndex(strings, 100), [], suffix_dedup.RunLengthIndex._match
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "_match", lambda self, a, *rest: measured.append(len(a)) or real(self, a, *rest))
+    got, seen = index.later_windows(100), set()
+    for first, string in zip(index.first.tolist(), strings, strict=True):
+        for at in range(len(string) - 99):
+            assert got[first + at] == (string[at : at + 100] in seen)
+            seen.add(string[at : at + 100])
+    assert sum(measured) == len(index.head) - 1 < len(index.text)
+
+
+def test_blocks_are_not_cut_where_hashes_are_made_apart(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (700, 0, 99, 100, 1500, 101)]
+    whole = suffix_dedup.Blocks(texts, 100)
+    for windows in (1, 7, 64, 700):
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", windows)
+        parts = suffix_dedup.Blocks(texts, 100)
+        assert all((getattr(parts, c) == getattr(whole, c)).all() for c in ("start", "count", "gram", "own", "check"))
+    assert whole.count.sum() == sum(max(len(t) - 99, 0) for t in texts) and len(whole.start) > 20
+
+
 def test_kth_largest(spark):
     values = [random.Random(2).randrange(-(1 << 34), 1 << 34) for _ in range(500)] + [5] * 40
     df = spark.createDataFrame([(v,) for v in values], "key long")
